@@ -54,7 +54,7 @@ def _merge(largest: bool):
         held = None  # the last entry goes on into the next batch
         for batch in batches:
             if batch.num_rows:
-                t = pa.Table.from_batches([batch])
+                t = pa.table(batch.columns, names=batch.schema.names)  # every column may be null from here on
                 t = fold(pa.concat_tables([held, t]) if held is not None else t)
                 held = t.slice(len(t) - 1)
                 yield from t.slice(0, len(t) - 1).combine_chunks().to_batches()

@@ -161,3 +161,11 @@ def test_words_of_very_long_texts():
     t = "Ab\tc " * 700_000 + "\x85é"
     w = words(pa.array([t, None, "x"]), lower=True)
     assert w.counts().tolist() == [1_400_001, 0, 1] and len(set(w.hash.tolist())) == 4
+
+
+def test_runs_merge_over_batches():
+    schema = pa.schema([("shard", pa.int32()), ("run", pa.int32()), ("key", pa.binary()), ("keep_id", pa.int64()), pa.field("group_size", pa.int64(), nullable=False)])
+    rows = [(0, 0, b"a", 5, 1), (0, 0, b"a", 3, 2), (0, 0, b"b", None, 1), (0, 0, b"b", 4, 1), (0, 0, b"c", None, 1), (1, 0, b"c", 9, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, schema.types, strict=True)], schema=schema) for r in rows]
+    out = pa.Table.from_batches(exact_dedup._merge(False)(iter(batches))).to_pylist()
+    assert [tuple(r.values()) for r in out] == [(0, 0, b"a", 3, 3), (0, 0, b"b", 4, 2), (0, 0, b"c", None, 1), (1, 0, b"c", 9, 1)]
