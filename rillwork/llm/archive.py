@@ -36,8 +36,8 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, id_col: str
     ).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     facts = stored(own.drop("payload"), "page-facts")
     groups = facts.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_size"), F.max("payload_bytes").alias("_bytes"))
-    first = groups.select(F.col("payload_digest").alias("_digest"), F.col("first_id").alias("_first"))
-    own.join(first, own["page_id"].eqNullSafe(first["_first"]) & (own["payload_digest"] == first["_digest"])).dropDuplicates(["payload_digest"]).select(
+    place = lambda id_: F.concat_ws(":", "payload_digest", id_).alias("_place")  # noqa: E731  payloads move once: the join and what drops repeated rows share this key
+    own.select(place("page_id"), "payload_digest", "payload").join(groups.select(place("first_id")).hint("shuffle_hash"), "_place", "left_semi").dropDuplicates(["_place"]).select(
         "payload_digest", "payload"
     ).write.parquet(f"{folder}/payloads")
     rows = attach(facts, groups.drop("_bytes"), "payload_digest", "_size", facts.count())
