@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import archive, binary_packing, chat, exact_dedup, near_dedup, packing, quality
+from rillwork.llm import archive, binary_packing, chat, class_ngrams, exact_dedup, near_dedup, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.binary_sequences(_table(spark, sf_dir, "documents"))
 
 
+def op4_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngrams.class_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive.new_folder(spark)
     archive.write_archive(_table(spark, sf_dir, "pages"), folder)
@@ -49,7 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op2_nnls_packing, op3_binary_packing, op5_content_archive, op7_superminhash, op9_line_quality, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_chat_windows, op2_nnls_packing, op3_binary_packing, op4_class_ngrams, op5_content_archive, op7_superminhash, op9_line_quality, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
