@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import attach, slices, stored
+from rillwork.llm.common import attach, dropped, slices, stored
 from rillwork.llm.components import components
 from rillwork.llm.words import mix, shingles, words
 
@@ -118,6 +118,14 @@ def _set_rows(shingle: int):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            b = batch.slice(at, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("set")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], names=["node", "h"])
+
+
 def _confirm(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,26 +143,31 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _like(num: int, den: int):
-    """Places two signatures of SIZE must share so that a pair at the threshold is missed with a chance under 1e-9."""
+def _like(num: int, den: int) -> int:
+    """Places two signatures of SIZE must share so that a pair at the threshold is missed with a chance of some 1e-6."""
     t = num / den
-    return int(np.floor(SIZE * t - 6.2 * np.sqrt(SIZE * t * (1 - t))))
+    return int(np.floor(SIZE * t - 4.8 * np.sqrt(SIZE * t * (1 - t))))
 
 
 def _block_pairs(num: int, den: int, least: int):
-    """Inside a block (or between two) of a bucket: pairs of different components, near enough in size and signature."""
+    """Inside a block (or between two) of a bucket: pairs of different components, near enough in size and signature; each pair
+    in the first band that both share."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        node, root, n, side = (t[c].to_numpy() for c in ("node", "root", "n_shingles", "side"))
+        node, root, n, side, alone = (t[c].to_numpy() for c in ("node", "root", "n_shingles", "side", "alone"))
         s = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(len(t), SIZE)
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        band = t["band"][0].as_py()
         found = []
         for i in range(len(t)):
-            near = (root != root[i]) & (node > node[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
+            common = np.minimum(n - alone, n[i] - alone[i])
+            near = (root != root[i]) & (node > node[i]) & (den * common >= num * (n + n[i] - common))
             if side.any():
                 near &= side != side[i]
             at = np.flatnonzero(near)
             at = at[(s[at] == s[i]).sum(axis=1) >= least]
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
             found += [(node[i], node[j]) for j in at]
         found = np.array(found, np.int64).reshape(-1, 2)
         return pa.table([found[:, 0], found[:, 1]], names=["a", "b"])
@@ -162,7 +175,7 @@ def _block_pairs(num: int, den: int, least: int):
     return run
 
 
-def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = stored(
@@ -170,10 +183,8 @@ def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     )
     named = prints.filter("node is not null and doc_id is not null")
     nodes = stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
-    buckets = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    stars = buckets.join(centres, "bucket").filter("node != a").select("a", F.col("node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    traits = nodes.select("node", "n_shingles", "signature")
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    traits = nodes.select("node", "n_shingles", "signature", "bands")
     left, right = (traits.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
     least = _like(num, den)
 
@@ -181,65 +192,61 @@ def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, SIZE) for c in ("s_a", "s_b"))
-                same = (x == y).sum(axis=1)
-                b = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same.astype(np.int32))], names=["a", "b", "same"])
-                yield b.filter(pa.array(same >= least))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    sized = f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
-    likely = stored(stars.join(left, "a").join(right, "b").filter(sized).select("a", "b", "s_a", "s_b").mapInArrow(alike, "a bigint, b bigint, same int"), "likely")
+    def likely(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(right, "b").join(left, "a").filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+        return stored(near.select("a", "b", "s_a", "s_b").mapInArrow(alike, "a bigint, b bigint"), "likely")
 
-    def members(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Full sets of the nodes in pairs, made again from one document's text each."""
-        wanted = nodes.select("node", "doc_id").join(members(pairs), "node").withColumnRenamed("doc_id", "_d")
+    def sets_of(members: DataFrame) -> DataFrame:
+        """Full sets of some nodes, made again from one document's text each."""
+        wanted = nodes.select("node", "doc_id").join(members, "node").withColumnRenamed("doc_id", "_d")
         texts = own.join(wanted.select("_d").distinct().hint("shuffle_hash"), own["doc_id"] == F.col("_d"), "left_semi").select("text")
         made = texts.mapInArrow(_set_rows(shingle), "node bigint, set binary")
         return stored(made.join(wanted.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a bigint, b bigint")
-
-    # first one link for each node, to the centre that looks most alike; then those that would join different components
-    sets = sets_of(likely)
-    best = likely.groupBy("b").agg(F.max(F.struct("same", "a")).alias("m")).select("m.a", "b")
-    links = stored(confirmed(best, sets), "confirmed")
-    roots = stored(components(links), "roots")
-    apart = _apart(likely, roots)
-    links = stored(links.union(confirmed(apart, sets)), "confirmed")
-    roots = stored(components(links), "roots")
-    # buckets whose members are still apart: pairs inside blocks of at most `block` members, by signature
-    placed = buckets.join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        out = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a bigint, b bigint"), "confirmed")
+        dropped(sets)
+        return out
+
+    # each bucket has a centre, another one in each round, and each node tries the centre that it meets in most buckets
+    links, placed = None, buckets.withColumn("root", F.col("node"))
+    for turn in range(2):
+        centres = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("root").alias("_root"))).alias("c"), F.count("*").alias("_n")).filter("_n > 1").select("bucket", "c.a", "c._root")
+        met = placed.join(centres, "bucket").filter("root != _root").groupBy("node", "a").agg(F.count("*").alias("_k"))
+        pairs = met.groupBy("node").agg(F.max(F.struct("_k", "a")).alias("m")).select("m.a", F.col("node").alias("b"))
+        pairs = likely(pairs)
+        found = confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        links = found if links is None else links.union(found)
+        roots = stored(components(links), "roots")
+        placed = buckets.join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # buckets whose members are still apart: pairs inside blocks of at most `block` members, by signature and by how many of its
+    # shingles a node has alone among all these members: those are in no intersection, so copies that differ too much by edits of
+    # their own make no pairs
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket", "_n")
+    sets = sets_of(placed.join(mixed, "bucket").select("node").distinct())
+    alone = sets.mapInArrow(_elements, "node bigint, h bigint").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("_n")).filter("_n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    traits = stored(traits.join(sets.select("node"), "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "traits")
     parts = F.ceil(F.col("_n") / block).cast("int")
-    own_part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    part, other = F.col("_part"), F.col("_other")
     dealt = (
         placed.join(mixed, "bucket")
-        .select("bucket", "node", "root", parts.alias("_parts"), own_part.alias("_part"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("bucket", "node", "root", F.least("_part", "_other").alias("p"), F.greatest("_part", "_other").alias("q"), (F.when(F.col("_part") < F.col("_other"), 1).when(F.col("_part") > F.col("_other"), 2).otherwise(0)).alias("side"))
+        .select("bucket", "band", "node", "root", F.sequence(F.lit(0), parts - 1).alias("_all"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("_part"))
+        .withColumn("_other", F.explode("_all"))
+        .select("bucket", "band", "node", "root", F.least(part, other).alias("p"), F.greatest(part, other).alias("q"), F.when(part < other, 1).when(part > other, 2).otherwise(0).alias("side"))
         .join(traits, "node")
     )
-    close = stored(dealt.groupBy("bucket", "p", "q").applyInArrow(_block_pairs(num, den, least), "a bigint, b bigint").distinct(), "close")
-    rest = close.join(likely, ["a", "b"], "left_anti")
-    if not rest.isEmpty():
-        links = stored(links.union(confirmed(rest, sets_of(rest))), "confirmed")
-        roots = stored(components(links), "roots")
+    close = stored(dealt.groupBy("bucket", "p", "q").applyInArrow(_block_pairs(num, den, least), "a bigint, b bigint"), "close")
+    if not close.isEmpty():
+        roots = stored(components(links.union(confirmed(close, sets))), "roots")
     joined = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     answer = joined.join(lowest, "root").select(F.col("node").alias("_node"), "component_id")
     return _answered(prints, answer)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes aren't in one component yet."""
-    ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}")) for x in "ab")
-    out = pairs.join(ra, "a", "left").join(rb, "b", "left")
-    return out.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
-
-
 def _answered(prints: DataFrame, answer: DataFrame) -> DataFrame:
     """Every document with its node's component. Documents of one node are many where copies are: such nodes are met by broadcast."""
     rows = prints.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("_node"))
