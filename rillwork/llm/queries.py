@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import archive, binary_packing, chat, class_ngrams, exact_dedup, near_dedup, packing, quality
+from rillwork.llm import archive, binary_packing, chat, class_ngrams, exact_dedup, gumbel_segments, html_wrapper, near_dedup, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,22 @@ def op5_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read_records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's sampled segmentations, and of the texts that they decode to."""
+    samples = gumbel_segments.sample_segmentations(_table(spark, sf_dir, "documents"), k=3)
+    return gumbel_segments.decode(samples).select(
+        "doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op2_nnls_packing, op3_binary_packing, op4_class_ngrams, op5_content_archive, op7_superminhash, op9_line_quality, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_chat_windows, op2_nnls_packing, op3_binary_packing, op4_class_ngrams, op5_content_archive, op6_gumbel_segments, op7_superminhash, op8_wrapper_text, op9_line_quality, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
