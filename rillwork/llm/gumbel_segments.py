@@ -20,6 +20,7 @@ bytes of texts at a time, or one longer text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -264,8 +265,8 @@ def _ids(piece: np.ndarray, size: np.ndarray, first_byte: int) -> tuple[np.ndarr
     return np.where(piece[own] < 0, first_byte + byte, piece[own]), np.bincount(run, weights=n, minlength=len(size)).astype(np.int64)
 
 
-def _texts_as_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts with marks, bounds of words, first word of each text (and the number of words)."""
+def _texts_as_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts with marks, bounds of words, first word of each text (and the number of words), hashes of words."""
     cp = code_points("".join(texts))
     cp = np.where(cp == MARK, np.uint64(OWN_MARK), np.where(cp == 32, np.uint64(MARK), cp))
     size = np.array([len(t) for t in texts], np.int64)
@@ -278,38 +279,103 @@ def _texts_as_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     mark = cp == MARK
     first[1:] |= mark[1:] & ~mark[:-1]
     starts = np.flatnonzero(first)
-    return cp, np.r_[starts, len(cp)], np.searchsorted(starts, bounds)
-
-
-@np.errstate(over="ignore")  # hashes wrap around
-def sample_batch(texts: list[str], keys: np.ndarray, vocabulary: Pieces, k: int, alpha: float) -> list[tuple]:
-    """For each text its samples: (text, sample, ids, log_prob, perturbed, log_inclusion), the largest perturbed value first."""
-    return list(_sampled(texts, keys, vocabulary, k, alpha))
-
-
-def _sampled(texts: list[str], keys: np.ndarray, vocabulary: Pieces, k: int, alpha: float) -> Iterator[tuple]:
-    cp, starts, first = _texts_as_words(texts)
-    n_words, docs = len(starts) - 1, len(texts)
-    for d in np.flatnonzero(np.diff(first) == 0):
-        yield int(d), 0, np.zeros(0, np.uint32), 0.0, float(_gumbel(keys[d : d + 1] + _C[0])[0]), 0.0
-    if not n_words:
-        return
-    up = _hashes(cp)
-    size = np.diff(starts)
-    h = mix((up[starts[1:]] - up[starts[:-1]]) * _powers("back", _BACK, len(cp) + 1)[starts[:-1]] + size.astype(np.uint64))
-    _, at, kind = np.unique(h, return_index=True, return_inverse=True)
-    own = np.cumsum(size[at]) - size[at]
-    take = np.repeat(starts[at] - own, size[at]) + np.arange(size[at].sum())
-    lat = Lattice(cp[take], np.r_[own, len(take)], vocabulary, alpha)
-    kinds = len(at)
+    firsts = np.searchsorted(starts, bounds)
+    starts = np.append(starts, len(cp))
+    up, back = _hashes(cp), _powers("back", _BACK, len(cp) + 1)
+    h = mix((up[starts[1:]] - up[starts[:-1]]) * back[starts[:-1]] + np.diff(starts).astype(np.uint64))
+    return cp.astype(np.uint32), starts, firsts, h
+
+
+class Pool:
+    """Segmentations of words: the best one of each kind of word, then those that a batch has drawn."""
+
+    def __init__(self, lat: Lattice, first_byte: int):
+        self.lat, self.first_byte = lat, first_byte
+        self.n = self.n_edges = self.n_ids = 0
+        kinds, edges = len(lat.best_size), len(lat.best_edges)
+        self.edges, self.ids = np.empty(edges, np.int32), np.empty(edges, np.uint32)
+        self.begin, self.size, self.id_begin, self.id_size = (np.empty(kinds, np.int32) for _ in range(4))
+        self.log = np.empty(kinds)
+        self.append(lat.best_edges, lat.best_size, lat.best_log)
+        self.kept = self.n, self.n_edges, self.n_ids
+
+    def reset(self) -> None:
+        self.n, self.n_edges, self.n_ids = self.kept
+
+    def append(self, edges: np.ndarray, size: np.ndarray, log: np.ndarray) -> None:
+        ids, id_size = _ids(self.lat.piece[edges], size, self.first_byte)
+
+        def put(name: str, at: int, values: np.ndarray) -> None:
+            old = getattr(self, name)
+            if at + len(values) > len(old):
+                grown = np.empty(max(2 * len(old), at + len(values)), old.dtype)
+                grown[:at] = old[:at]
+                setattr(self, name, old := grown)
+            old[at : at + len(values)] = values
+
+        put("edges", self.n_edges, edges)
+        put("ids", self.n_ids, ids)
+        put("begin", self.n, self.n_edges + np.cumsum(size) - size)
+        put("size", self.n, size)
+        put("id_begin", self.n, self.n_ids + np.cumsum(id_size) - id_size)
+        put("id_size", self.n, id_size)
+        put("log", self.n, log)
+        self.n, self.n_edges, self.n_ids = self.n + len(size), self.n_edges + len(edges), self.n_ids + len(ids)
+
+    def path(self, seg: int) -> tuple:
+        return tuple(self.edges[self.begin[seg] : self.begin[seg] + self.size[seg]].tolist())
+
+    def ids_of(self, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these segmentations in a row, and how many each has."""
+        n = self.id_size[seg]
+        return self.ids[np.repeat(self.id_begin[seg] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def sample_batch(texts: list[str], keys: np.ndarray, vocabulary: Pieces, k: int, alpha: float, part: int = 1 << 19) -> Iterator[tuple]:
+    """For each text its samples: (text, sample, ids, log_prob, perturbed, log_inclusion), the largest perturbed value first.
+
+    Words of all texts share their lattices; sampling goes through texts of about `part` characters at a time.
+    """
+    parts, held = [0], 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > part:
+            parts.append(i)
+            held = 0
+        held += len(t)
+    parts = list(zip(parts, [*parts[1:], len(texts)], strict=True))
+    with np.errstate(over="ignore"):  # hashes wrap around
+        split = [_texts_as_words(texts[a:z]) for a, z in parts]
+        hashed = np.concatenate([h for *_, h in split])
+        if len(hashed):
+            _, at, kind = np.unique(hashed, return_index=True, return_inverse=True)
+            cp = np.concatenate([x[0] for x in split])
+            moved = np.cumsum([0] + [len(x[0]) for x in split])
+            starts = np.concatenate([x[1][:-1] + m for x, m in zip(split, moved, strict=False)])
+            size = np.diff(np.r_[starts, len(cp)])[at]
+            own = np.cumsum(size) - size
+            take = np.repeat(starts[at] - own, size) + np.arange(size.sum())
+            pool = Pool(Lattice(cp[take].astype(np.uint64), np.r_[own, len(take)], vocabulary, alpha), vocabulary.first_byte)
+            del cp, starts, take
+    word = 0
+    for (a, _), (_, _, first, h) in zip(parts, split, strict=True):
+        with np.errstate(over="ignore"):
+            rows = [(d, 0, np.zeros(0, np.uint32), 0.0, float(_gumbel(keys[a + d : a + d + 1] + _C[0])[0]), 0.0) for d in np.flatnonzero(np.diff(first) == 0).tolist()]
+            if len(h):
+                pool.reset()
+                rows += _sampled(first, kind[word : word + len(h)], keys[a : a + len(first) - 1], pool, k)
+        word += len(h)
+        for d, *rest in rows:
+            yield a + d, *rest
+
+
+def _sampled(first: np.ndarray, kind: np.ndarray, keys: np.ndarray, pool: Pool, k: int) -> list[tuple]:
+    """Samples of the texts that have words; kind: of each word; first: the first word of each text, and the number of words."""
+    lat, docs, n_words = pool.lat, len(first) - 1, len(kind)
     doc = np.repeat(np.arange(docs), np.diff(first))
     place = np.arange(n_words) - first[doc]
     base = keys[doc] + place.astype(np.uint64) * _C[1]
     live = np.flatnonzero(np.diff(first) > 0)
-    p_best = np.exp(lat.best_log)[kind]
-    store, sizes, logs = [lat.best_edges], [lat.best_size], [lat.best_log]  # segmentations: the best of each kind first
-    ids, n_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held = kinds
+    p_best, only = np.exp(pool.log[kind]), lat.rest[lat.start[kind]] <= NONE
     # of each text: the queue's nodes (perturbed, sample whose prefix it has, word, segmentations shut out)
     queue: list[list[tuple]] = [[] for _ in range(docs)]
     chosen: list[np.ndarray] = []
@@ -324,44 +390,28 @@ def _sampled(texts: list[str], keys: np.ndarray, vocabulary: Pieces, k: int, alp
         fresh = on[doc] & (place >= since[doc])
         seg = kind.copy() if r == 0 else np.stack(chosen)[parent[doc], np.arange(n_words)]
         f = np.flatnonzero(fresh)
-        other = f[_uniform(base[f] + salt) >= p_best[f]]
-        other = other[lat.rest[lat.start[kind[other]]] > NONE]
         seg[f] = kind[f]
+        other = f[(_uniform(base[f] + salt) >= p_best[f]) & ~only[f]]
         if len(other):
-            e, n, lp = lat.others(kind[other], base[other] + salt * np.uint64(3))
-            seg[other] = held + np.arange(len(other))
-            store.append(e)
-            sizes.append(n)
-            logs.append(lp)
-            held += len(other)
+            seg[other] = pool.n + np.arange(len(other))
+            pool.append(*lat.others(kind[other], base[other] + salt * np.uint64(3)))
         if given:
-            seg[[w for w, _ in given.values()]] = held + np.arange(len(given))
-            store.append(np.array([x for _, s in given.values() for x in s], np.int64))
-            sizes.append(np.array([len(s) for _, s in given.values()], np.int64))
-            logs.append(np.array([lat.log_c[list(s)].sum() for _, s in given.values()]))
-            held += len(given)
+            seg[[w for w, _ in given.values()]] = pool.n + np.arange(len(given))
+            paths = [s for _, s in given.values()]
+            pool.append(np.array([x for s in paths for x in s], np.int64), np.array([len(s) for s in paths], np.int64), np.array([lat.log_c[list(s)].sum() for s in paths]))
         chosen.append(seg)
-        new_edges = np.concatenate(store[bool(r) :] or [np.zeros(0, np.int64)])
-        new_ids, new_n = _ids(lat.piece[new_edges], np.concatenate(sizes[bool(r) :] or [np.zeros(0, np.int64)]), vocabulary.first_byte)
-        ids, n_ids = np.concatenate([ids, new_ids]), np.concatenate([n_ids, new_n])
-        edges, n_edges, log = np.concatenate(store), np.concatenate(sizes), np.concatenate(logs)
-        store, sizes, logs = [edges], [n_edges], [log]
-        begin = np.cumsum(n_edges) - n_edges
-        lw = log[seg]
+        lw = pool.log[seg]
         before = np.cumsum(lw) - lw
         gone = np.exp(lw)
         with np.errstate(divide="ignore"):
             side = np.where(gone < 1 - NONE, np.log1p(-np.minimum(gone, 1.0)), -np.inf)
-        mass = before - before[first[doc]] + side
-        perturbed = -np.logaddexp(-top[doc], -(mass + _gumbel(base + salt * np.uint64(5))))
+        perturbed = -np.logaddexp(-top[doc], -(before - before[first[doc]] + side + _gumbel(base + salt * np.uint64(5))))
         perturbed[~fresh] = -np.inf
-        total = np.add.reduceat(lw, first[live])
-        total = dict(zip(live.tolist(), total.tolist(), strict=True))
-
-        id_begin = np.cumsum(n_ids) - n_ids
+        total = np.zeros(docs)
+        total[live] = np.add.reduceat(lw, first[live])
         w = np.flatnonzero(on[doc])
-        n = n_ids[seg[w]]
-        out = ids[np.repeat(id_begin[seg[w]] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4")
+        out, n = pool.ids_of(seg[w])
+        out = out.astype("<u4", copy=False)
         id_bounds = np.r_[0, np.cumsum(np.bincount(doc[w], weights=n, minlength=docs).astype(np.int64))]
 
         following, given, next_since, next_parent, next_top = [], {}, since.copy(), parent.copy(), top.copy()
@@ -369,11 +419,10 @@ def _sampled(texts: list[str], keys: np.ndarray, vocabulary: Pieces, k: int, alp
             a, z = int(first[d]), int(first[d + 1])
             own_side = perturbed[a:z]
             many = min(k - r, z - a)
-            for i in np.argpartition(-own_side, many - 1)[:many] if many < z - a else range(z - a):
+            for i in np.argpartition(own_side, -many)[-many:].tolist() if many < z - a else range(z - a):
                 if own_side[i] > -np.inf:
-                    s = int(seg[a + i])
-                    queue[d].append((float(own_side[i]), r, a + int(i), [tuple(edges[begin[s] : begin[s] + n_edges[s]].tolist())]))
-            results[d][r] = (out[id_bounds[d] : id_bounds[d + 1]], total[d], float(top[d]))
+                    queue[d].append((float(own_side[i]), r, a + i, [pool.path(seg[a + i])]))
+            results[d][r] = (out[id_bounds[d] : id_bounds[d + 1]], float(total[d]), float(top[d]))
             q = queue[d]
             q.sort(key=lambda x: -x[0])
             del q[k - r :]
@@ -385,7 +434,7 @@ def _sampled(texts: list[str], keys: np.ndarray, vocabulary: Pieces, k: int, alp
                 shut = [*shut, drawn]
                 rest = 1.0 - sum(float(np.exp(lat.log_c[list(x)].sum())) for x in shut)
                 if rest > NONE:
-                    pre = float(log[chosen[p][a:word]].sum())
+                    pre = float(pool.log[chosen[p][a:word]].sum())
                     g = float(_gumbel(base[word : word + 1] + np.uint64(r + 2) * _C[2] * np.uint64(11))[0])
                     q.append((float(-np.logaddexp(-value, -(pre + np.log(rest) + g))), p, word, shut))
                 given[d] = (word, drawn)
@@ -394,11 +443,13 @@ def _sampled(texts: list[str], keys: np.ndarray, vocabulary: Pieces, k: int, alp
         going, since, parent, top = np.array(following, np.int64), next_since, next_parent, next_top
         if not len(going):
             break
+    rows = []
     for d in live.tolist():
-        threshold = max((x[0] for x in queue[d]), default=-np.inf)
+        threshold = max((x[0] for x in queue[d]), default=-math.inf)
         for r, (x, lp, g) in results[d].items():
             gap = lp - threshold
-            yield d, r, x, lp, g, float(gap if gap < -30 else np.log(-np.expm1(-np.exp(gap))) if gap < 4 else 0.0)
+            rows.append((d, r, x, lp, g, gap if gap < -30 else math.log(-math.expm1(-math.exp(gap))) if gap < 4 else 0.0))
+    return rows
 
 
 def _samples(path: str, k: int, alpha: float, seed: int, limit: int):
@@ -408,7 +459,7 @@ def _samples(path: str, k: int, alpha: float, seed: int, limit: int):
             names = b.column("doc_id").to_pylist()
             keys = np.array([n % (1 << 64) if n is not None else xxhash.xxh3_64_intdigest(t) for n, t in zip(names, texts, strict=True)], np.uint64)
             keys = mix(keys * np.uint64(3) + np.array([n is None for n in names], np.uint64) + np.uint64(seed % (1 << 64)) * _C[0])
-            rows = sample_batch(texts, keys, pieces(path), k, alpha)
+            rows = list(sample_batch(texts, keys, pieces(path), k, alpha))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -425,7 +476,7 @@ def _samples(path: str, k: int, alpha: float, seed: int, limit: int):
 
 
 def sample_segmentations(
-    docs: DataFrame, k: int = 3, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 2 << 20
+    docs: DataFrame, k: int = 3, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 3 << 19
 ) -> DataFrame:
     """Up to k rows for each document: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids (unsigned 32-bit, little-endian)."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
