@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,7 @@ class Pieces:
                 hashes.append(h[-1])
                 beginnings += h[:-1].tolist()
                 self.longest = max(self.longest, len(cp))
+        self.table = pa.array(self.bytes, pa.large_binary())
         order = np.argsort(np.array(hashes, np.uint64))
         self.hashes, self.ids = np.append(np.array(hashes, np.uint64)[order], np.uint64(2**64 - 1)), np.array(ids)[order]
         self.bucket = np.searchsorted(self.hashes, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
@@ -452,46 +454,75 @@ def _sampled(first: np.ndarray, kind: np.ndarray, keys: np.ndarray, pool: Pool,
     return rows
 
 
-def _samples(path: str, k: int, alpha: float, seed: int, limit: int):
+def decoded(ids: np.ndarray, bounds: np.ndarray, vocabulary: Pieces) -> pa.Array:
+    """Texts of runs of piece ids: their bytes one after another, without the leading mark."""
+    joined = vocabulary.table.take(pa.array(ids))
+    at = np.frombuffer(joined.buffers()[1], np.int64)[bounds] if len(ids) else np.zeros(len(bounds), np.int64)
+    data = joined.buffers()[2] or pa.py_buffer(b"")
+    return pc.utf8_slice_codeunits(pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(at.tobytes()), data), 1).cast(pa.string())
+
+
+def _samples(path: str, k: int, alpha: float, seed: int, limit: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pieces(path)
         for b in slices(batches, "text", limit):
             texts = [x or "" for x in b.column("text").to_pylist()]
             names = b.column("doc_id").to_pylist()
             keys = np.array([n % (1 << 64) if n is not None else xxhash.xxh3_64_intdigest(t) for n, t in zip(names, texts, strict=True)], np.uint64)
             keys = mix(keys * np.uint64(3) + np.array([n is None for n in names], np.uint64) + np.uint64(seed % (1 << 64)) * _C[0])
-            rows = list(sample_batch(texts, keys, pieces(path), k, alpha))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[d] for d in cols[0]], pa.int64()),
-                    pa.array(cols[1], pa.int32()),
-                    pa.array([len(x) for x in cols[2]], pa.int64()),
-                    *(pa.array(cols[i], pa.float64()) for i in (3, 4, 5)),
-                    pa.array([x.tobytes() for x in cols[2]], pa.binary()),
-                ],
-                names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids"],
-            )
+            rows, held = [], 0
+            for row in sample_batch(texts, keys, vocabulary, k, alpha):
+                rows.append(row)
+                held += len(row[2])
+                if held > limit:
+                    yield batch_of(rows, names, vocabulary)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows, names, vocabulary)
+
+    def batch_of(rows: list[tuple], names: list, vocabulary: Pieces) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        bounds = np.r_[0, np.cumsum([len(x) for x in cols[2]])]
+        ids = np.concatenate(cols[2]).astype("<u4", copy=False)
+        out = [
+            pa.array([names[d] for d in cols[0]], pa.int64()),
+            pa.array(cols[1], pa.int32()),
+            pa.array(np.diff(bounds)),
+            *(pa.array(cols[i], pa.float64()) for i in (3, 4, 5)),
+            pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer((4 * bounds).astype(np.int64).tobytes()), pa.py_buffer(ids)]).cast(pa.binary()),
+        ]
+        names_out = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids"]
+        return pa.RecordBatch.from_arrays([*out, decoded(ids, bounds, vocabulary)], names=[*names_out, "text"]) if with_text else pa.RecordBatch.from_arrays(out, names=names_out)
 
     return run
 
 
 def sample_segmentations(
-    docs: DataFrame, k: int = 3, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 3 << 19
+    docs: DataFrame,
+    k: int = 3,
+    alpha: float = 1.0,
+    seed: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    path: str | None = None,
+    limit: int = 3 << 19,
+    with_text: bool = False,
 ) -> DataFrame:
-    """Up to k rows for each document: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids (unsigned 32-bit, little-endian)."""
+    """Up to k rows for each document: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids (unsigned 32-bit,
+    little-endian), and, if asked for, the text that the ids decode to."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_samples(path or default_vocabulary(), k, alpha, seed, limit), SAMPLES)
+    return own.mapInArrow(_samples(path or default_vocabulary(), k, alpha, seed, limit, with_text), SAMPLES + ", text string" * with_text)
 
 
 def decode(samples: DataFrame, path: str | None = None) -> DataFrame:
-    """The samples with the text of their ids in a column `text`."""
+    """Rows with ids, with the text of their ids in a column `text`."""
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path).bytes
         for batch in batches:
             for b in slices(iter([batch]), "ids", 8 << 20):
-                texts = [b"".join(map(table.__getitem__, np.frombuffer(x.as_buffer(), "<u4").tolist()))[1:].decode() for x in b.column("ids")]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+                runs = [np.frombuffer(x.as_buffer(), "<u4") for x in b.column("ids")]
+                texts = decoded(np.concatenate(runs), np.r_[0, np.cumsum([len(x) for x in runs])], pieces(path))
+                yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "text"])
 
     return samples.mapInArrow(run, T.StructType([*samples.schema.fields, T.StructField("text", T.StringType())]))

@@ -42,8 +42,7 @@ def op5_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's sampled segmentations, and of the texts that they decode to."""
-    samples = gumbel_segments.sample_segmentations(_table(spark, sf_dir, "documents"), k=3)
-    return gumbel_segments.decode(samples).select(
+    return gumbel_segments.sample_segmentations(_table(spark, sf_dir, "documents"), k=3, with_text=True).select(
         "doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     )
 

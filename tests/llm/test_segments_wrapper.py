@@ -81,6 +81,8 @@ def test_segmentation_round_trip(spark, vocabulary):
     assert sorted(r.sample for r in by[0]) == [0, 0, 1, 1, 2, 2] and len({bytes(r.ids) for r in by[0]}) == 3
     assert all(r.log_inclusion <= 0 for r in out)
     assert gs.sample_segmentations(docs.limit(0)).count() == 0
+    both = gs.sample_segmentations(docs, k=3, alpha=0.4, with_text=True).collect()
+    assert sorted((r.doc_id or -1, r.sample, r.text) for r in both) == sorted((r.doc_id or -1, r.sample, r.text) for r in out)
 
 
 def page(menu, article, extra="", host="a.example"):
