@@ -37,15 +37,11 @@ def materialize(primitives: DataFrame, editable: DataFrame, d: float, most: floa
     half = F.col("width") / 2
     span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - half) / d), F.floor((F.greatest(a, b) + half) / d)))
     at = p.withColumn("r", span(F.col("y0"), F.col("y1"))).withColumn("c", span(F.col("x0"), F.col("x1"))).join(editable, ["r", "c"])
-    parts = []
-    for i in range(samples):
-        for j in range(samples):
-            x, y = (F.col("c") + (j + 0.5) / samples) * d, (F.col("r") + (i + 0.5) / samples) * d
-            parts.append(profile(distance_to_segment(x, y, *(F.col(k) for k in ("x0", "y0", "x1", "y1"))), F.col("width"), F.col("kind")))
-    total = parts[0]
-    for x in parts[1:]:
-        total = total + x
-    dz = at.groupBy("cand", "cell").agg(F.sum(F.col("height") * total / (samples * samples)).alias("dz")).filter("dz != 0")
+    n = samples * samples
+    at = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = at.withColumns({"sx": (F.col("c") + (F.col("k") % samples + 0.5) / samples) * d, "sy": (F.col("r") + (F.floor(F.col("k") / samples) + 0.5) / samples) * d})
+    at = at.withColumn("far", distance_to_segment(*(F.col(k) for k in ("sx", "sy", "x0", "y0", "x1", "y1")))).filter("far < width / 2")
+    dz = at.groupBy("cand", "cell").agg((F.sum(F.col("height") * profile(F.col("far"), F.col("width"), F.col("kind"))) / n).alias("dz")).filter("dz != 0")
     return dz.withColumn("dz", F.greatest(F.lit(-most), F.least(F.lit(most), F.col("dz"))))
 
 

@@ -123,9 +123,9 @@ def a28(spark, sf):
     return rows.agg(F.sha2(F.array_join(F.expr("array_sort(collect_list(struct(r, h))).h"), ""), 256).alias("problem_hash"))
 
 
-@query("c3_materialize", f"{V}, {EDITS} SELECT cand, cell, round(dz, 6) AS dz FROM edits")
+@query("c3_materialize", f"{V}, {EDITS} SELECT cand, cell, round(dz + 0.000000123::DOUBLE, 6) AS dz FROM edits")
 def c3(spark, sf):
-    return _edits(spark, sf).withColumn("dz", F.round("dz", 6))
+    return _edits(spark, sf).withColumn("dz", F.round(F.col("dz") + 0.000000123, 6))
 
 
 @query("c4_volumes", f"{V}, {EDITS} SELECT cand, round(sum(greatest(-dz, 0) * 25), 6) AS cut_m3, round(sum(greatest(dz, 0) * 25), 6) AS fill_m3 FROM edits GROUP BY cand")

@@ -1 +1,135 @@
-"""Queries."""
+"""Queries of the simulation's expressions, one step, runs and the analytic cases."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from rillwork.functions import hydraulics as H
+from rillwork.operators import flow, validation
+from rillwork.plans.registry import query
+from rillwork.sources import domain as D
+
+V = f"WITH {D.SQL}"
+#: Pairs of states on both sides of a face, from the rows of lineitem.
+PAIRS = "pr AS (SELECT l_orderkey AS face, l_linenumber AS k, floor(l_quantity / 10) * 0.25::DOUBLE AS hl, l_discount * 10 AS hr, (l_tax - 0.04) * 50 AS ul, (l_discount - 0.05) * 40 AS ur, l_tax AS vl, l_discount AS vr, l_tax - 0.03 AS rise FROM lineitem)"
+
+
+def _pairs(spark, sf):
+    return D.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS face", "l_linenumber AS k", "floor(l_quantity / 10) * 0.25D AS hl", "l_discount * 10 AS hr", "(l_tax - 0.04D) * 50 AS ul", "(l_discount - 0.05D) * 40 AS ur", "l_tax AS vl", "l_discount AS vr", "l_tax - 0.03D AS rise"
+    )
+
+
+def _c(*names):
+    return tuple(F.col(n) for n in names)
+
+
+@query("a16_velocity", f"WITH {PAIRS} SELECT face, k, round(2 * hl * ul / (hl * hl + CASE WHEN hl * hl > 1e-10 THEN hl * hl ELSE 1e-10 END), 7) AS u, round(sqrt(9.81::DOUBLE * hr), 7) AS c FROM pr")
+def a16(spark, sf):
+    return _pairs(spark, sf).select("face", "k", F.round(H.velocity(*_c("hl", "ul")), 7).alias("u"), F.round(H.celerity(F.col("hr")), 7).alias("c"))
+
+
+@query("a17_reconstruction", f"WITH {PAIRS} SELECT face, k, round(greatest(hl - greatest(rise, 0), 0), 9) AS a, round(greatest(hr - greatest(-rise, 0), 0), 9) AS b FROM pr")
+def a17(spark, sf):
+    a, b = H.reconstructed(*_c("hl", "hr", "rise"))
+    return _pairs(spark, sf).select("face", "k", F.round(a, 9).alias("a"), F.round(b, 9).alias("b"))
+
+
+@query("a18_crest_face", f"WITH {PAIRS} SELECT face, k, round(greatest(hl - vl, 0), 9) AS a, round(greatest(hr - vr, 0), 9) AS b FROM pr")
+def a18(spark, sf):
+    a, b = H.over_crest(*_c("hl", "hr", "vl", "vr"))
+    return _pairs(spark, sf).select("face", "k", F.round(a, 9).alias("a"), F.round(b, 9).alias("b"))
+
+
+HLL = f"""{PAIRS}, s AS (SELECT *, sqrt(9.81::DOUBLE * hl) AS cl, sqrt(9.81::DOUBLE * hr) AS cr FROM pr), w AS (SELECT *, (ul + ur) / 2 + cl - cr AS us, (cl + cr) / 2 + (ul - ur) / 4 AS cs FROM s),
+    b AS (SELECT *, CASE WHEN hl <= 1e-6 THEN ur - 2 * cr WHEN hr <= 1e-6 THEN ul - cl ELSE least(ul - cl, us - cs) END AS lo, CASE WHEN hl <= 1e-6 THEN ur + cr WHEN hr <= 1e-6 THEN ul + 2 * cl ELSE greatest(ur + cr, us + cs) END AS hi FROM w),
+    m AS (SELECT *, CASE WHEN hl <= 1e-6 AND hr <= 1e-6 THEN 0 WHEN lo >= 0 THEN hl * ul WHEN hi <= 0 THEN hr * ur ELSE (hi * hl * ul - lo * hr * ur + lo * hi * (hr - hl)) / (hi - lo) END AS mass,
+    CASE WHEN hl <= 1e-6 AND hr <= 1e-6 THEN 0 WHEN lo >= 0 THEN hl * ul * ul + 4.905::DOUBLE * hl * hl WHEN hi <= 0 THEN hr * ur * ur + 4.905::DOUBLE * hr * hr
+    ELSE (hi * (hl * ul * ul + 4.905::DOUBLE * hl * hl) - lo * (hr * ur * ur + 4.905::DOUBLE * hr * hr) + lo * hi * (hr * ur - hl * ul)) / (hi - lo) END AS normal FROM b)"""
+
+
+@query("a19_hll_flux", f"WITH {HLL} SELECT face, k, round(mass, 6) AS mass, round(normal, 6) AS normal, round(CASE WHEN mass > 1e-9 THEN mass * vl WHEN mass < -1e-9 THEN mass * vr ELSE 0 END, 6) AS tangential FROM m")
+def a19(spark, sf):
+    f = H.hll(*_c("hl", "ul", "vl", "hr", "ur", "vr"))
+    return _pairs(spark, sf).select("face", "k", *(F.round(f[n], 6).alias(n) for n in ("mass", "normal", "tangential")))
+
+
+@query("a21_friction", f"WITH {PAIRS} SELECT face, k, round(CASE WHEN hl < 1e-6 THEN 0 ELSE ul / (1 + 0.5::DOUBLE * 0.009::DOUBLE * abs(ul) * pow(hl, -7.0::DOUBLE / 3)) END, 7) AS q FROM pr")
+def a21(spark, sf):
+    q = H.friction(F.col("ul"), F.abs("ul"), F.col("hl"), F.lit(0.009), F.lit(0.5))
+    return _pairs(spark, sf).select("face", "k", F.round(H.flushed(q), 7).alias("q"))
+
+
+@query("a23_critical_depth", f"WITH {PAIRS} SELECT face, k, round(cbrt(ul * ul / 9.81::DOUBLE), 7) AS h FROM pr")
+def a23(spark, sf):
+    return _pairs(spark, sf).select("face", "k", F.round(H.critical_depth(F.col("ul")), 7).alias("h"))
+
+
+@query("a25_inertial_discharge", f"WITH {PAIRS} SELECT face, k, round(CASE WHEN hl > 1e-6 THEN (ul - 9.81::DOUBLE * hl * 0.5 * rise) / (1 + 9.81::DOUBLE * 0.0009::DOUBLE * 0.5 * abs(ul) * pow(hl, -7.0::DOUBLE / 3)) ELSE 0 END, 6) AS q FROM pr")
+def a25(spark, sf):
+    return _pairs(spark, sf).select("face", "k", F.round(H.inertial_discharge(F.col("ul"), F.col("hl"), F.col("rise"), F.lit(0.0009), 0.5), 6).alias("q"))
+
+
+@query("a26_bed_jump", f"WITH {PAIRS} SELECT face, k, CASE WHEN k % 2 = 0 THEN rise ELSE vr - vl END AS jump, CASE WHEN k % 2 = 0 THEN abs(rise) ELSE greatest(vl, vr) END AS climb FROM pr")
+def a26(spark, sf):
+    signed = F.col("k") % 2 == 0
+    return _pairs(spark, sf).select("face", "k", F.when(signed, F.col("rise")).otherwise(F.col("vr") - F.col("vl")).alias("jump"), F.when(signed, F.abs("rise")).otherwise(F.greatest("vl", "vr")).alias("climb"))
+
+
+@query("s1_initial_state", f"{V} SELECT cell, CASE WHEN wall THEN 0 ELSE greatest(greatest(0.05::DOUBLE, 1100 - z), 0) END AS h FROM cells")
+def s1(spark, sf):
+    return D.cells(spark, sf).select("cell", F.when(F.col("wall"), 0.0).otherwise(F.greatest(F.lit(0.05), 1100 - F.col("z"), F.lit(0.0))).alias("h"))
+
+
+@query("s2_courant_rate", f"WITH {PAIRS} SELECT k, round(max(CASE WHEN hl > 1e-6 THEN (abs(ul) / hl + sqrt(9.81::DOUBLE * hl)) / 2 + (abs(ur) / hl + sqrt(9.81::DOUBLE * hl)) / 2 ELSE 0 END), 7) AS rate FROM pr GROUP BY k")
+def s2(spark, sf):
+    return _pairs(spark, sf).groupBy("k").agg(F.round(F.max(H.courant_rate(*_c("hl", "ul", "ur"), 2.0, 2.0)), 7).alias("rate"))
+
+
+@query("a20_flux_update", f"WITH {PAIRS}, f AS (SELECT face, sum(hl) AS i, sum(hr) AS o FROM pr GROUP BY face) SELECT face, round(1 - 0.25::DOUBLE * (o - i), 7) AS h FROM f")
+def a20(spark, sf):
+    """What enters and leaves a cell over all of its faces."""
+    return _pairs(spark, sf).groupBy("face").agg(F.sum("hl").alias("i"), F.sum("hr").alias("o")).select("face", F.round(1 - 0.25 * (F.col("o") - F.col("i")), 7).alias("h"))
+
+
+def _state(spark, sf):
+    cells = D.cells(spark, sf)
+    return cells.select("cell", "r", "c", F.when(F.col("wall"), 1200.0).otherwise((F.col("z") - 900) * 0.01).alias("z"), "n", "wall", F.when(F.col("wall"), 0.0).otherwise(1.0).alias("h"), F.lit(0.1).alias("qx"), F.lit(-0.05).alias("qy"))
+
+
+@query("s7_one_step")
+def s7(spark, sf):
+    """The whole step as one query; tests hold it against the kernel."""
+    return flow.one_step(_state(spark, sf), 0.01, 5.0, 5.0, rain=1e-5)
+
+
+def _valley(nx=40, ny=32, d=4.0):
+    x, y = np.meshgrid((np.arange(nx) + 0.5) * d, (np.arange(ny) + 0.5) * d)
+    return flow.Grid(10 + 0.02 * y - 0.3 * np.exp(-(((x - 80) / 20) ** 2)) + 0.03 * np.sin(x / 9), 0.03, dx=d, dy=d)
+
+
+@query("s15_candidate_runs")
+def s15(spark, sf):
+    """Peaks of a search generation: each supplier below 8 is a candidate with a berm of its own."""
+    edits = D.table(spark, sf, "supplier").filter("s_suppkey < 8").selectExpr("s_suppkey AS cand", "explode(sequence(0, 9)) AS i").selectExpr("cand", "cast((6 + cand) * 40 + 12 + i AS bigint) AS cell", "0.05D * cand AS dz")
+    p = flow.Params(120.0, 30.0, rain=((0, 50 * validation.MMH),))
+    return flow.run_candidates(edits, _valley(), p, np.zeros((32, 40))).groupBy("cand").agg(F.count("*").alias("n_cells"), F.round(F.sum("peak"), 9).alias("sum_peak"), F.max("t_peak").alias("t_peak"))
+
+
+@query("s25_inertial_runs")
+def s25(spark, sf):
+    edits = D.table(spark, sf, "supplier").filter("s_suppkey < 4").selectExpr("s_suppkey AS cand", "cast(500 + s_suppkey AS bigint) AS cell", "0.1D AS dz")
+    p = flow.Params(120.0, 30.0, rain=((0, 50 * validation.MMH),), scheme="inertial")
+    return flow.run_candidates(edits, _valley(), p, np.zeros((32, 40))).groupBy("cand").agg(F.count("*").alias("n_cells"), F.round(F.sum("peak"), 9).alias("sum_peak"))
+
+
+@query("e33_validation")
+def e33(spark, sf):
+    return validation.checks(spark)
+
+
+@query("e32_bench_case", f"{V} SELECT step, count(*) AS cell_updates, round(count(*) / 0.5, 3) AS per_second, round(count(*) * 24 / 0.5 / 1e9, 12) AS gb_per_second FROM traj GROUP BY step")
+def e32(spark, sf):
+    n = F.count("*")
+    return D.traj(spark, sf).groupBy("step").agg(n.alias("cell_updates"), F.round(n / 0.5, 3).alias("per_second"), F.round(n * 24 / 0.5 / 1e9, 12).alias("gb_per_second"))

@@ -1 +1,193 @@
-"""Queries."""
+"""Queries of the ranking, sequence, attribution and corridor operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from rillwork.operators import ranking as K
+from rillwork.operators import search
+from rillwork.operators.storms import running
+from rillwork.plans.raster import NY, _ny
+from rillwork.plans.registry import query
+from rillwork.sources import domain as D
+
+V = f"WITH {D.SQL}"
+ORDER = "feasible DESC, CASE WHEN feasible THEN j END, CASE WHEN NOT feasible THEN violation END, CASE WHEN NOT feasible THEN -breach END, eval_index"
+
+
+@query("e11_deb_rank", f"{V} SELECT generation, eval_index, row_number() OVER (PARTITION BY generation ORDER BY {ORDER}) AS rank FROM trace")
+def e11(spark, sf):
+    w = Window.partitionBy("generation").orderBy(*K.deb_order())
+    return D.trace(spark, sf).select("generation", "eval_index", F.row_number().over(w).alias("rank"))
+
+
+BUCKET = "eval_index div 4096"
+
+
+@query("e13_budget", f"{V}, f AS (SELECT eval_index, eval_index = min(eval_index) OVER (PARTITION BY key) AS is_first FROM trace) SELECT eval_index, is_first, sum(is_first::INT) OVER (ORDER BY eval_index)::BIGINT AS sims FROM f")
+def e13(spark, sf):
+    first = K.first_of_key(D.trace(spark, sf).select("eval_index", "key"))
+    return running(first, "eval_index", F.expr(BUCKET), {"sims": F.col("is_first").cast("bigint")}, F.sum).select("eval_index", "is_first", "sims")
+
+
+@query("e15_top_seeds", f"{V}, b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {ORDER}) AS k FROM trace WHERE level = 2) SELECT eval_index, key, j FROM b WHERE k = 1 ORDER BY {ORDER} LIMIT 4")
+def e15(spark, sf):
+    one = D.trace(spark, sf).filter("level = 2").groupBy("key").agg(F.min(K.deb_struct()).alias("o"), F.min_by("j", K.deb_struct()).alias("j"))
+    return one.orderBy("o").limit(4).select("o.eval_index", "key", "j")
+
+
+@query("e16_final_best", f"{V} SELECT eval_index, j FROM trace WHERE level = 1 AND feasible ORDER BY {ORDER} LIMIT 1")
+def e16(spark, sf):
+    return D.trace(spark, sf).filter("level = 1 AND feasible").agg(F.min(F.struct("j", "eval_index")).alias("m")).select("m.eval_index", "m.j")
+
+
+PTS = "pt AS (SELECT l_orderkey AS id, l_linenumber AS k, l_extendedprice AS a, l_quantity * (1 - l_discount) AS b FROM lineitem)"
+
+
+@query("e17_pareto", f"WITH {PTS}, lo AS (SELECT a, min(b) AS b FROM pt GROUP BY a), f AS (SELECT a, b, min(b) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM lo) SELECT id, k, pt.a, pt.b FROM pt JOIN f ON pt.a = f.a AND pt.b = f.b WHERE m IS NULL OR f.b < m")
+def e17(spark, sf):
+    pts = D.table(spark, sf, "lineitem").selectExpr("l_orderkey AS id", "l_linenumber AS k", "l_extendedprice AS a", "l_quantity * (1 - l_discount) AS b")
+    return K.pareto(pts, "a", "b").select("id", "k", "a", "b")
+
+
+@query("e30_best_so_far", f"{V} SELECT eval_index, min(CASE WHEN feasible AND level = 1 THEN j END) OVER (ORDER BY eval_index) AS best FROM trace")
+def e30(spark, sf):
+    return running(D.trace(spark, sf), "eval_index", F.expr(BUCKET), {"best": F.when(F.col("feasible") & (F.col("level") == 1), F.col("j"))}).select("eval_index", "best")
+
+
+@query("e30_status_counts", f"{V} SELECT level, feasible, count(*) AS n, min(j) AS best FROM trace GROUP BY 1, 2")
+def e30b(spark, sf):
+    return D.trace(spark, sf).groupBy("level", "feasible").agg(F.count("*").alias("n"), F.min("j").alias("best"))
+
+
+@query("e31_seeds_study", f"{V} SELECT level, breach AS seed, median(j) AS median_j, min(j) AS min_j, max(j) AS max_j FROM trace GROUP BY 1, 2")
+def e31(spark, sf):
+    return D.trace(spark, sf).groupBy("level", F.col("breach").alias("seed")).agg(F.median("j").alias("median_j"), F.min("j").alias("min_j"), F.max("j").alias("max_j"))
+
+
+@query("e21_utilization", f"{V} SELECT generation, least(1, round(sum(j) FILTER (feasible) / sum(j), 9)) AS u FROM trace GROUP BY generation")
+def e21(spark, sf):
+    return D.trace(spark, sf).groupBy("generation").agg(F.least(F.lit(1.0), F.round(F.sum(F.when(F.col("feasible"), F.col("j"))) / F.sum("j"), 9)).alias("u"))
+
+
+@query("e7_kendall", f"{V}, a AS (SELECT generation AS g, eval_index AS i, j AS x, key AS y FROM trace) SELECT a.g AS generation, round(sum(sign((a.x - b.x) * (a.y - b.y))) / count(*), 9) AS tau FROM a JOIN a b ON a.g = b.g AND a.i < b.i GROUP BY 1")
+def e7(spark, sf):
+    """Generations have 64 rows at most."""
+    return K.kendall(D.trace(spark, sf), "j", "key", "eval_index", "generation").withColumn("tau", F.round("tau", 9))
+
+
+@query("e8_new_candidates", f"{V}, known AS (SELECT DISTINCT key FROM trace WHERE generation < 2) SELECT key, min(eval_index) AS eval_index, count(*) AS asked FROM trace WHERE generation >= 2 AND key NOT IN (SELECT key FROM known) GROUP BY key")
+def e8(spark, sf):
+    t = D.trace(spark, sf)
+    return t.filter("generation >= 2").join(t.filter("generation < 2").select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min("eval_index").alias("eval_index"), F.count("*").alias("asked"))
+
+
+@query("e9_record_status", f"{V} SELECT eval_index, CASE WHEN NOT feasible AND breach = 0 THEN 'static_infeasible' WHEN NOT feasible THEN 'guard_abort' ELSE 'ok' END AS status, CASE WHEN NOT feasible AND breach = 0 THEN 1e300 ELSE j END AS j, CASE WHEN NOT feasible AND breach = 0 THEN 1e6 + violation ELSE violation END AS violation FROM trace")
+def e9(spark, sf):
+    static = ~F.col("feasible") & (F.col("breach") == 0)
+    return D.trace(spark, sf).select("eval_index", F.when(static, "static_infeasible").when(~F.col("feasible"), "guard_abort").otherwise("ok").alias("status"), F.when(static, 1e300).otherwise(F.col("j")).alias("j"), F.when(static, 1e6 + F.col("violation")).otherwise(F.col("violation")).alias("violation"))
+
+
+@query("e12_static_resample", f"{V}, a AS (SELECT generation, eval_index, feasible, row_number() OVER (PARTITION BY generation ORDER BY feasible DESC, CASE WHEN feasible THEN eval_index ELSE -eval_index END) AS k FROM trace) SELECT generation, eval_index, feasible FROM a WHERE k = 1")
+def e12(spark, sf):
+    """The first proposal of a slot that passes, else the last one."""
+    pick = F.struct(~F.col("feasible"), F.when(F.col("feasible"), F.col("eval_index")).otherwise(-F.col("eval_index")), F.col("eval_index").alias("e"), F.col("feasible").alias("f"))
+    return D.trace(spark, sf).groupBy("generation").agg(F.min(pick).alias("m")).select("generation", F.col("m.e").alias("eval_index"), F.col("m.f").alias("feasible"))
+
+
+SUB = f"sub AS (SELECT m AS mask, (SELECT sum(r_regionkey * 3 + 1) FROM region WHERE (m >> r_regionkey) & 1 = 1)::DOUBLE AS s FROM range(32) AS t(m)), sb AS (SELECT mask, 100 - coalesce(s, 0) - (mask & 3) * 0.5::DOUBLE AS j FROM sub)"
+
+
+def _subsets(spark, sf):
+    regions = D.table(spark, sf, "region")
+    bits = regions.crossJoin(spark.range(32).withColumnRenamed("id", "mask")).withColumn("v", F.expr("IF((shiftright(mask, r_regionkey) & 1) = 1, r_regionkey * 3 + 1, 0)"))
+    return bits.groupBy("mask").agg(F.sum("v").alias("s")).select("mask", (100 - F.col("s") - F.expr("mask & 3") * 0.5).alias("j"))
+
+
+@query("e27_ablation_subsets", f"WITH {SUB} SELECT mask, j FROM sb")
+def e27(spark, sf):
+    return _subsets(spark, sf)
+
+
+@query("e28_shapley", f"WITH {SUB}, p AS (SELECT i, a.mask, b.j - a.j AS g, bit_count(a.mask::BIGINT) AS s FROM range(5) AS t(i), sb a JOIN sb b ON b.mask = a.mask | (1 << i) WHERE a.mask & (1 << i) = 0) SELECT i, round(sum(g * factorial(s::INT) * factorial((4 - s)::INT) / factorial(5)), 9) AS shapley, max(g) FILTER (mask | (1 << i) = 31) AS leave_one_out, max(g) FILTER (mask = 0) AS alone FROM p GROUP BY i")
+def e28(spark, sf):
+    return K.shapley(_subsets(spark, sf), 5).withColumn("shapley", F.round("shapley", 9))
+
+
+@query("e3_sobol_bins", "SELECT k::INT AS k, b::BIGINT AS bin, 1::BIGINT AS n FROM range(12) AS x(k), range(64) AS y(b)")
+def e3(spark, sf):
+    """64 points put one into each of 64 bins of every coordinate."""
+    return search.sobol_points(spark, 64, 12, 7).groupBy("k", F.floor(F.col("u") * 64).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("e2_random_points")
+def e2(spark, sf):
+    return search.random_points(spark, 256, 6, 11)
+
+
+FLOW = "fl AS (SELECT cell, r, c, z - 1000 AS qx, (n - 0.025::DOUBLE) * 4000 AS qy FROM cells)"
+UP = f"""{FLOW}, nb AS (SELECT (r + i) * 50 + c + j AS cell, cell AS source, (qx * j + qy * i) / sqrt((i * i + j * j)::DOUBLE) AS inflow FROM fl, (SELECT a.d AS i, b.d AS j FROM (VALUES (-1), (0), (1)) AS a(d), (VALUES (-1), (0), (1)) AS b(d) WHERE a.d <> 0 OR b.d <> 0)
+    WHERE r + i BETWEEN 0 AND {NY} - 1 AND c + j BETWEEN 0 AND 49), up AS (SELECT cell, source, inflow FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY inflow DESC, source) AS k FROM nb) WHERE k = 1 AND inflow > 0)"""
+
+
+def _flow(spark, sf):
+    return D.cells(spark, sf).selectExpr("cell", "r", "c", "z - 1000 AS qx", "(n - 0.025D) * 4000 AS qy")
+
+
+@query("e22_corridor_starts", f"{V}, {UP} SELECT cell, source, round(inflow, 6) AS inflow FROM up WHERE cell IN (SELECT cell FROM asset_cells) AND source NOT IN (SELECT cell FROM asset_cells)")
+def e22(spark, sf):
+    target = D.asset_cells(spark, sf).select("cell").distinct()
+    up = K.upstream(_flow(spark, sf), D.NX, _ny(spark, sf)).join(target, "cell", "left_semi").join(target.withColumnRenamed("cell", "source"), "source", "left_anti")
+    return up.select("cell", "source", F.round("inflow", 6).alias("inflow"))
+
+
+@query(
+    "e23_corridor_trace",
+    f"""WITH RECURSIVE {D.SQL}, {UP}, walk(start, i, cell) AS (SELECT cell, 0, cell FROM up WHERE cell % 97 = 0 UNION ALL SELECT start, i + 1, up.source FROM walk JOIN up ON up.cell = walk.cell WHERE i < 40) SELECT start, i, cell FROM walk""",
+)
+def e23(spark, sf):
+    """Walks upstream along each cell's strongest inflow. Walkers double their reach each round, so 40 steps are six joins."""
+    up = K.upstream(_flow(spark, sf), D.NX, _ny(spark, sf)).select("cell", "source")
+    jumps = {1: up}
+    for k in (1, 2, 4, 8, 16):
+        half = jumps[k]
+        jumps[2 * k] = half.join(half.select(F.col("cell").alias("source"), F.col("source").alias("far")), "source").select("cell", F.col("far").alias("source"))
+    walk = up.filter("cell % 97 = 0").select(F.col("cell").alias("start"), F.lit(0).alias("i"), "cell")
+    for k in (1, 2, 4, 8, 16, 32):
+        walk = walk.union(walk.join(jumps[k], "cell").select("start", (F.col("i") + k).alias("i"), F.col("source").alias("cell")))
+    return walk.filter("i <= 40")
+
+
+@query("e24_corridor_clip", f"{V}, t AS (SELECT cell, step, h >= 0.2 AS good FROM traj), i AS (SELECT cell, step, good, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY step) AS g FROM t), r AS (SELECT cell, min(step) AS start, max(step) AS stop, count(*) AS n FROM i WHERE good GROUP BY cell, g HAVING count(*) >= 3) SELECT cell, start, stop FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, start) AS k FROM r) WHERE k = 1")
+def e24(spark, sf):
+    return K.longest_run(D.traj(spark, sf).select("cell", "step", (F.col("h") >= 0.2).alias("good")), "cell", "step", "good", 3)
+
+
+@query("e25_arc_length", f"{V}, c AS (SELECT cell, step, h, coalesce(sum(h) OVER (PARTITION BY cell ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0, sum(h) OVER (PARTITION BY cell) AS total FROM traj) SELECT cell, step, round((total / 2 - s0) / h, 6) AS part FROM c WHERE total / 2 > s0 + 1e-9 AND total / 2 <= s0 + h + 1e-9")
+def e25(spark, sf):
+    """The segment of each polyline that holds its middle, and how far along it that is."""
+    w = Window.partitionBy("cell").orderBy("step")
+    c = D.traj(spark, sf).select("cell", "step", "h", F.coalesce(F.sum("h").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("s0"), F.sum("h").over(Window.partitionBy("cell")).alias("total"))
+    return c.filter("total / 2 > s0 + 1e-9 AND total / 2 <= s0 + h + 1e-9").select("cell", "step", F.round((F.col("total") / 2 - F.col("s0")) / F.col("h"), 6).alias("part"))
+
+
+@query("e6_normal_equations", f"{V} SELECT a.k AS i, b.k AS j, round(sum(a.u * b.u), 4) AS s FROM theta a JOIN theta b USING (cand) WHERE a.k <= b.k GROUP BY 1, 2")
+def e6(spark, sf):
+    t = D.theta(spark, sf).select("cand", "k", "u")
+    return t.join(t.select("cand", F.col("k").alias("j"), F.col("u").alias("v")), "cand").filter("k <= j").groupBy(F.col("k").alias("i"), "j").agg(F.round(F.sum(F.col("u") * F.col("v")), 4).alias("s"))
+
+
+@query("e5_cma_search")
+def e5(spark, sf):
+    """A short two-level search of an analytic objective, evaluated as tables."""
+
+    def evaluate(level):
+        def run(points):
+            square = F.aggregate("u", F.lit(0.0), lambda a, x: a + (x - 0.3) * (x - 0.3))
+            return points.select("cand", (F.col("u")[0] > 0.1).alias("feasible"), (square + 0.01 * (level - 1)).alias("j"), F.greatest(0.1 - F.col("u")[0], F.lit(0.0)).alias("violation"))
+
+        return run
+
+    t = search.optimize(spark, search.CmaEs(3, seed=5), evaluate, [2, 1], [0.5, 0.5], 40)
+    return spark.createDataFrame([(r["eval_index"], r["level"], r["feasible"], r["j"]) for r in t], "eval_index int, level int, feasible boolean, j double")
