@@ -505,7 +505,7 @@ def sample_segmentations(
     id_col: str = "doc_id",
     text_col: str = "text",
     path: str | None = None,
-    limit: int = 3 << 19,
+    limit: int = 3 << 20,
     with_text: bool = False,
 ) -> DataFrame:
     """Up to k rows for each document: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids (unsigned 32-bit,
