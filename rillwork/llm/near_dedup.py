@@ -25,6 +25,7 @@ from rillwork.llm.components import components
 from rillwork.llm.words import mix, shingles, words
 
 SIZE = 128
+PARITY = 2048
 _STEP = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 56) - 1)
 
@@ -126,6 +127,17 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], names=["node", "h"])
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set the parity of its elements in PARITY places. Two sets' parities differ in no more places than the sets in elements."""
+    for b in batches:
+        if b.num_rows:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("set")]
+            bits = np.zeros((len(sets), PARITY), np.uint8)
+            for i, x in enumerate(sets):
+                bits[i] = np.bincount((mix(x) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=["node", "parity"])
+
+
 def _confirm(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,13 +162,14 @@ def _like(num: int, den: int) -> int:
 
 
 def _block_pairs(num: int, den: int, least: int):
-    """Inside a block (or between two) of a bucket: pairs of different components, near enough in size and signature; each pair
-    in the first band that both share."""
+    """Inside a block (or between two) of a bucket: pairs of different components, near enough in size, signature and parities (these
+    bound the elements that only one of both has from below, so they lose no link); each pair in the first band that both share."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         node, root, n, side, alone = (t[c].to_numpy() for c in ("node", "root", "n_shingles", "side", "alone"))
         s = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(len(t), SIZE)
+        parity = np.frombuffer(b"".join(t["parity"].to_pylist()), np.uint64).reshape(len(t), PARITY // 64)
         bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
         band = t["band"][0].as_py()
         found = []
@@ -167,6 +180,8 @@ def _block_pairs(num: int, den: int, least: int):
                 near &= side != side[i]
             at = np.flatnonzero(near)
             at = at[(s[at] == s[i]).sum(axis=1) >= least]
+            apart = np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1, dtype=np.int64)
+            at = at[(den + num) * apart <= (den - num) * (n[at] + n[i])]
             at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
             found += [(node[i], node[j]) for j in at]
         found = np.array(found, np.int64).reshape(-1, 2)
@@ -228,7 +243,7 @@ def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket", "_n")
     sets = sets_of(placed.join(mixed, "bucket").select("node").distinct())
     alone = sets.mapInArrow(_elements, "node bigint, h bigint").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("_n")).filter("_n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    traits = stored(traits.join(sets.select("node"), "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "traits")
+    traits = stored(traits.join(sets.mapInArrow(_parities, "node bigint, parity binary"), "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "traits")
     parts = F.ceil(F.col("_n") / block).cast("int")
     part, other = F.col("_part"), F.col("_other")
     dealt = (
