@@ -15,8 +15,8 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lose at most half of their words to failed lines; texts stay as they are."""
-    return clean(docs)
+    """Documents that pass the base rules and lose at most half of their words to failed lines; their texts go on without those lines."""
+    return clean(docs, remove_lines=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

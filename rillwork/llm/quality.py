@@ -1,8 +1,13 @@
 """Line-first cleaning of texts.
 
-Each line is judged by itself: a line fails as punctuation-poor (several words, and hardly any letters beside symbols), as
-navigation (its words parted by bars or arrows), as boilerplate (a fixed phrase) or as a repeat of an earlier line. Failed
-lines go; a document that loses more than MAX_LOST of its word characters is rejected, as is one that fails the base rules.
+Each line is judged by itself and beside its neighbours: a line fails as symbols (several words, and hardly any letters beside
+symbols), as punctuation-poor (a long line with next to no sentence punctuation), as navigation (its words parted by bars or arrows,
+or one of RUN_LINES or more short lines on end that all end without punctuation, empty lines aside), as boilerplate (a short line that
+is fixed phrases for the most part) or as a repeat of an earlier line. Failed lines go; a document that loses more than MAX_LOST of
+its word characters is rejected, as is one that fails the base rules. Both are judged on the text as it came.
+
+Punctuation is that of many scripts, after a word or, for scripts without spaces, anywhere; closing quotes and brackets after it don't
+matter. Thai and Lao lines, which part sentences with spaces, are not judged by it.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows and ties each give their own row; a
 null identifier stays null; an empty table gives an empty result; other columns pass through clean() and don't matter to judged().
@@ -11,6 +16,7 @@ All work is per row, so there is no hot key; a text of any length is read in who
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,12 @@ MIN_WORDS = 50
 MAX_LOST = 0.5
 #: Share of symbols in a line's characters from which it fails, and of bar-like words.
 MAX_SYMBOLS, MAX_BARS = 0.2, 0.2
+#: Words from which a line is long, and the most words for each mark of punctuation in it.
+LONG_WORDS, WORDS_A_MARK = 30, 60
+#: Most words and word characters of a menu entry, and how many on end make a menu.
+SHORT_WORDS, SHORT_CHARS, RUN_LINES = 5, 40, 5
+#: Most words of a line of boilerplate, and the share of its word characters that phrases hold more than.
+BOILERPLATE_WORDS, BOILERPLATE_SHARE = 20, 0.5
 
 #: Phrases, in lower case, that mark a line of boilerplate.
 BOILERPLATE = (
@@ -42,6 +54,11 @@ BOILERPLATE = (
 #: Words that part the entries of a menu.
 BARS = ("|", "»", "›", "•", "·", ">", ">>", "/")
 
+#: Punctuation of sentences and their parts: after a word; in scripts without spaces; what may close after it.
+MARKS, WIDE_MARKS, CLOSERS = ".!?:;,…،؛؟۔։।॥།።፣၊။។‽", "。、！，．：；？｡､", "\"')]}»”’›」』）】*_"
+
+_PHRASE = re.compile("|".join(sorted(map(re.escape, BOILERPLATE), key=len, reverse=True)))
+
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 VERDICTS = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, lost_share double, n_lines bigint, n_failed_lines bigint"
 _BAR_HASHES = words(pa.array(BARS)).hash
@@ -87,6 +104,52 @@ def _repeats(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     return again
 
 
+def _endings(data: np.ndarray, at: np.ndarray, chars: str) -> np.ndarray:
+    """Bytes of the character among `chars` that ends with the byte at each place, or 0."""
+    out = np.zeros(len(at), np.int64)
+    for size in (1, 2, 3):
+        codes = [int.from_bytes(c.encode(), "big") for c in chars if len(c.encode()) == size]
+        code = np.zeros(len(at), np.int64)
+        for k in range(size):
+            code = code * 256 + data[np.maximum(at - (size - 1 - k), 0)]
+        out[np.isin(code, codes)] = size
+    return out
+
+
+def _punctuation(w: Words, line_of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line: marks of punctuation, whether its last word ends with one, whether it has Thai or Lao letters."""
+    at, open_ = w.end - 1, np.ones(len(w.end), bool)
+    for _ in range(3):
+        size = np.where(open_, _endings(w.data, at, CLOSERS), 0)
+        open_ = (size > 0) & (at - size >= w.start)
+        at = np.where(open_, at - size, at)
+    ends = _endings(w.data, at, MARKS + WIDE_MARKS) > 0
+    high = np.flatnonzero(w.data >= 0x80)
+    wide = high[_endings(w.data, high, WIDE_MARKS) > 0]
+    lead = high[w.data[high] == 0xE0]
+    second = w.data[np.minimum(lead + 1, len(w.data) - 1)]
+    spaced = lead[(second >= 0xB8) & (second <= 0xBB)]
+    word_of = lambda places: np.searchsorted(w.start, places, side="right") - 1
+    inside = word_of(wide)
+    inside = inside[~(ends[inside] & (at[inside] == wide))]  # those at a word's end count already
+    marks = np.bincount(line_of[ends], minlength=lines) + np.bincount(line_of[inside], minlength=lines)
+    ended = np.zeros(lines, bool)
+    ended[line_of] = ends  # the last word of a line stays
+    thai = np.bincount(line_of[word_of(spaced)], minlength=lines) > 0
+    return marks, ended, thai
+
+
+def _menus(row: np.ndarray, entry: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Whether each line is among RUN_LINES or more entries on end; full: the lines with words."""
+    out = np.zeros(len(row), bool)
+    if len(full):
+        new = np.ones(len(full), bool)
+        new[1:] = (row[full][1:] != row[full][:-1]) | (entry[full][1:] != entry[full][:-1])
+        run = np.cumsum(new) - 1
+        out[full] = entry[full] & (np.bincount(run)[run] >= RUN_LINES)
+    return out
+
+
 def _judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Verdict columns of each row, and all lines: row, start, end, whether it failed."""
     w = words(texts)
@@ -108,12 +171,16 @@ def _judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np
     failed = dup.copy()
     failed |= (held >= 3) & (symbols[end] - symbols[start] > MAX_SYMBOLS * np.maximum(line_chars, 1))
     failed |= (held >= 5) & (bars > MAX_BARS * held)
+    marks, ended, thai = _punctuation(w, line_of, len(start))
+    failed |= (held >= LONG_WORDS) & (marks * WORDS_A_MARK < held) & ~thai
+    failed |= _menus(row, (held > 0) & (held <= SHORT_WORDS) & (line_chars <= SHORT_CHARS) & ~ended & ~thai, full)
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    some = np.zeros(w.rows, bool)
     for phrase in BOILERPLATE:
-        for i in np.flatnonzero(pc.match_substring(low, phrase).to_numpy(zero_copy_only=False)):
-            at = np.searchsorted(row, i)
-            for k, line in enumerate(texts[int(i)].as_py().split("\n")):
-                failed[at + k] |= phrase in line.lower()
+        some |= pc.match_substring(low, phrase).to_numpy(zero_copy_only=False)
+    for k in np.flatnonzero(some[row] & (held > 0) & (held <= BOILERPLATE_WORDS)):
+        phrases = _PHRASE.findall(w.data[start[k] : end[k]].tobytes().decode().lower())
+        failed[k] |= sum(len(x.replace(" ", "")) for x in phrases) > BOILERPLATE_SHARE * line_chars[k]
     total = np.bincount(w.row, weights=word_chars, minlength=w.rows)
     lost = np.bincount(row, weights=line_chars * failed, minlength=w.rows)
     repeat = repeated_words(w)
@@ -150,7 +217,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = words(b.column("_text")).data.tobytes()
         texts = pc.fill_null(b.column("_text"), "").to_pylist()
         for i in np.unique(row[failed]):
-            texts[i] = "\n".join(data[s:e].decode() for s, e, f in zip(start[row == i], end[row == i], failed[row == i], strict=True) if not f)
+            of = slice(*np.searchsorted(row, [i, i + 1]))
+            texts[i] = "\n".join(data[s:e].decode() for s, e, f in zip(start[of], end[of], failed[of], strict=True) if not f)
         out = b.drop_columns(["_text"]).append_column("_clean", pa.array(texts, pa.string())).append_column("_kept", pa.array(found["kept"]))
         yield out
 

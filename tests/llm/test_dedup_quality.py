@@ -152,6 +152,47 @@ def test_quality(spark):
     assert text == clean
 
 
+PROSE = "The committee asked how a privacy policy should read, and whether terms of use bind a reader who never saw them. "
+
+
+def lost(text):
+    found, _ = quality._judge(pa.array([text]))
+    return found["lost_share"][0]
+
+
+def test_a_phrase_in_prose_is_no_boilerplate():
+    more = " ".join(f"Sentence {i} of the report tells of point {i * 7}, plainly." for i in range(30))
+    assert lost(PROSE + more) == 0 == lost(more + "\n" + PROSE + more)
+    for line in ("All rights reserved.", "Privacy Policy | Terms of Use", "© 2024 Acme Corp. ALL RIGHTS RESERVED", "Please enable JavaScript!\r"):
+        assert 0 < lost(f"{more}\n{line}\n{more} End.") < 0.1
+
+
+def test_menu_of_one_entry_a_line(spark):
+    menu = "\n".join(["Home", "About us", "Contact", "", "Our services »"] + [f"Item number {i}" for i in range(200)])
+    prose = "\n\n".join(f"Line {i} has w{i}, x{i} with y{i} and z{i}." for i in range(20))
+    rows = [(1, menu, "", "", None, None), (2, prose + "\n" + "\n".join(menu.split("\n")[:5]), "", "", None, None), (3, prose, "", "", None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    verdict = {r["doc_id"]: (r["kept"], r["n_failed_lines"]) for r in quality.judged(docs).collect()}
+    assert verdict == {1: (False, 204), 2: (True, 0), 3: (True, 0)}  # four entries are no menu yet
+    assert lost("Title of it\n" + prose) == 0 and lost("\n".join(f"He said {i}.”" for i in range(30))) == 0
+
+
+def test_sentence_punctuation():
+    bare = " ".join(f"cheap{i} shoes{i}" for i in range(100))
+    assert lost(bare) == 1 and lost(bare + ".") == 1
+    assert lost(" ".join(f"some six words make sentence {i}{m}" for i in range(20) for m in (".", "?\"", "。", "।", "؟"))) == 0
+    assert lost(" ".join(["เขา ไป ตลาด"] * 30)) == 0
+    assert lost("これは文です。これも文です " * 40) == 0 and lost(None) == lost("") == lost("\n\n") == 0
+
+
+def test_pipeline_removes_failed_lines(spark):
+    import corpus_pipeline
+
+    prose = "\n".join(f"Line {i} has w{i}, x{i} with y{i} and z{i}." for i in range(20))
+    docs = spark.createDataFrame([(1, f"All rights reserved.\n{prose}\nLine 0 has w0, x0 with y0 and z0.", "", "", None, None)], DOCS)
+    assert [r["text"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()] == [prose]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality.judged(none).count() == exact_dedup.exact_duplicates(none).count() == near_dedup.near_components(none).count() == 0
