@@ -4,12 +4,12 @@ A page becomes a tree of its block elements; neighbours of one label (tag, class
 a host merge into its template: matched nodes add up their pages, text digests and characters inside links. Tasks merge the trees
 that they hold first, then templates of a host meet in blocks of `fan_in`, round by round, so that a host with a third of all pages
 is nobody's single group. A node's text that at least half of its pages repeat (and MIN_PAGES of them) is template; what varies is a
-slot. Slots that are boxes of another role (menu, advert, form, comments: by element, class, id or ARIA role) or mostly links over the
+slot. Merging keeps a template small by forgetting what few of its pages have; so the texts of each label path are also counted over the
+host in one aggregation, and what is constant on a path that at most FEW of the pages have is template as well. Slots that are boxes of another role (menu, advert, form, comments: by element, class, id or ARIA role) or mostly links over the
 whole host are left out; `article` or `main` elements, where a page has them, hold the content.
 
 Defined cases: a null or empty html gives an empty text; a page alone on its host has no template, and roles decide; equal pages of a
-host count once; where the constant part would take more than half of a page's text the pages are copies of one another, and it stays;
-a null url is a host of its own; repeated rows stay repeated; elements deeper than MAX_DEPTH join the element at that depth; an empty
+host count once; where no text varies over a host at all its pages are copies of one another, and their text stays; a null url is a host of its own; repeated rows stay repeated; elements deeper than MAX_DEPTH join the element at that depth; an empty
 table gives an empty result; other columns don't matter. White space is what str.split takes for it.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rillwork.llm.common import attach, slices, stored
 
-MIN_PAGES, SHARE, MAX_DEPTH, RARE = 4, 0.5, 100, 0.05
+MIN_PAGES, SHARE, MAX_DEPTH, RARE, FEW = 4, 0.5, 100, 0.05, 0.2
 #: Templates of all hosts together are broadcast up to this many bytes, and joined by host beyond.
 BROADCAST_BYTES = 8 << 20
 
@@ -160,7 +160,7 @@ def fold(node: Node) -> list:
     chars, links = node.link_chars()
     out = [node.label, 1, {_digest(own): 1} if own else {}, chars, links, []]
     if not node.aside:
-        for run in runs(node.children()):
+        for run in runs([x for x in node.children() if not x.aside]):
             out[5].append(fold_run(run))
     return out
 
@@ -231,11 +231,10 @@ def merge(a: list, b: list, add=int.__add__) -> list:
 
 
 def pruned(t: list, least: int = 64) -> list:
-    """Without texts and nodes that few of a node's pages have: they are slots anyway. Small templates keep everything."""
-    if t[1] < least:
-        return t
-    few = max(2, t[1] * RARE)
-    return [*t[:2], {k: n for k, n in t[2].items() if n >= few}, *t[3:5], [pruned(x, min(least, x[1])) for x in t[5] if x[1] >= few]]
+    """Without texts that few of a node's pages have, which are slots anyway, and without nodes that few of the template's pages
+    have, which rare_texts() counts. A node keeps its texts until it has `least` pages itself."""
+    few = t[1] * RARE if t[1] >= least else 0
+    return [*t[:2], {k: n for k, n in t[2].items() if n >= few}, *t[3:5], [pruned(x, least) for x in t[5] if x[1] >= few]]
 
 
 def _merged(trees: list[list]) -> list:
@@ -250,6 +249,48 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([json.dumps(fold(parse(x or "")), separators=(",", ":")) for x in b.column("html").to_pylist()])], names=["host", "tree"])
 
 
+def _below(path: int, label: str) -> int:
+    """The path of a child."""
+    return _signed(f"{path} {label}")
+
+
+def _signed(text: str) -> int:
+    return (xxhash.xxh3_64_intdigest(text) ^ (1 << 63)) - (1 << 63)
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each label path of a tree once with a null digest, and once with each of its texts."""
+    for b in slices(batches, "tree"):
+        hosts, found = [], []
+        for host, tree in zip(b.column("host").to_pylist(), b.column("tree").to_pylist(), strict=True):
+            seen: set[tuple[int, str | None]] = set()
+            waiting = [(0, json.loads(tree))]
+            while waiting:
+                above, t = waiting.pop()
+                path = _below(above, t[0])
+                seen.add((path, None))
+                seen.update((path, k) for k in t[2])
+                waiting += [(path, x) for x in t[5]]
+            hosts += [host] * len(seen)
+            found += seen
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], names=["host", "path", "digest"])
+
+
+def rare_texts(trees: DataFrame) -> DataFrame:
+    """One row (host, more) per host; more as JSON: varies, whether any text does, and rare, the constant texts of rare paths."""
+    counts = stored(trees.mapInArrow(_paths, "host string, path bigint, digest string").groupBy("host", "path", "digest").agg(F.count("*").alias("n")), "paths")
+    whole = counts.filter("digest is null").select("host", "path", F.col("n").alias("pages"))
+    texts = counts.filter("digest is not null")
+    fixed = texts.filter(F.col("n") >= MIN_PAGES).join(whole, ["host", "path"]).filter(F.col("n") >= SHARE * F.col("pages"))
+    hosts = whole.filter(F.col("path") == _below(0, "html")).select("host", F.col("pages").alias("of"))
+    rare = fixed.join(hosts, "host").withColumn("key", F.when(F.col("pages") <= FEW * F.col("of"), F.concat_ws(":", F.col("path").cast("string"), "digest")))
+    by_host = rare.groupBy("host").agg(F.count("*").alias("fixed"), F.sort_array(F.collect_list("key")).alias("rare"))
+    # a host without texts varies as little as one whose texts are all constant
+    held = hosts.join(texts.groupBy("host").agg(F.count("*").alias("texts")), "host", "left").join(by_host, "host", "left")
+    varies = F.coalesce("texts", F.lit(0)) > F.coalesce("fixed", F.lit(0))
+    return held.select("host", F.to_json(F.struct(varies.alias("varies"), F.coalesce("rare", F.array().cast("array<string>")).alias("rare"))).alias("more"))
+
+
 def _partial(most: int = 4096, chunk: int = 64):
     """Templates of the trees that a task holds; `most` trees wait at a time."""
 
@@ -284,15 +325,15 @@ def host_of(url: str) -> Column:
 
 
 def host_templates(pages: DataFrame, fan_in: int = 32) -> DataFrame:
-    """One row (host, tree) per host; tree: the host's template as JSON."""
+    """One row (host, tree) per host; tree: the host's template as JSON, with what rare_texts() says of the host as its last item."""
     own = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
-    trees = own.mapInArrow(_trees, "host string, tree string").dropDuplicates(["host", "tree"])
+    trees = stored(own.mapInArrow(_trees, "host string, tree string").dropDuplicates(["host", "tree"]), "trees")
     made = stored(trees.mapInArrow(_partial(), "host string, tree string"), "templates")
     while True:
         counts = made.groupBy("host").agg(F.count("*").alias("n"))
         most = counts.agg(F.max("n")).first()[0] or 0
         if most <= 1:
-            return made
+            break
         # templates meet in blocks of about fan_in, and in one if there are no more
         blocks = F.ceil(F.lit(most) / fan_in).cast("int")
         made = stored(
@@ -300,6 +341,9 @@ def host_templates(pages: DataFrame, fan_in: int = 32) -> DataFrame:
         )
 
 
+    return made.join(rare_texts(trees), "host").select("host", F.concat(F.expr("left(tree, length(tree) - 1)"), F.lit(","), "more", F.lit("]")).alias("tree"))
+
+
 def _merge_block(t: pa.Table) -> pa.Table:
     trees = sorted(t["tree"].to_pylist())
     return pa.table([t["host"].slice(0, 1), pa.array([json.dumps(_merged([json.loads(x) for x in trees]), separators=(",", ":"))])], names=["host", "tree"])
@@ -311,17 +355,19 @@ def _constant(own: list[str], t: list | None) -> bool:
 
 def main_text(page: str, template: list | None) -> str:
     root = parse(page)
+    more = template[6] if template is not None and len(template) > 6 else {"varies": True, "rare": ()}
     scope = _has(root, "article") or _has(root, "main")
     found: list[tuple[str, bool]] = []  # block, constant over the host
 
-    def walk(node: Node, t: list | None, inside: bool) -> None:
+    def walk(node: Node, t: list | None, inside: bool, above: int) -> None:
         inside |= node.tag == scope
+        path = _below(above, node.label)
         own = node.own()
         here = bool(own) and (inside or not scope)
         if here and not inside:
             chars, links = (t[3], t[4]) if t is not None and t[1] >= MIN_PAGES else node.link_chars()
             here = 2 * links <= chars
-        fixed = here and _constant(own, t)
+        fixed = here and (_constant(own, t) or f"{path}:{_digest(own)}" in more["rare"])
         blocks = iter(own)
         places = {}
         if t is not None:
@@ -340,11 +386,10 @@ def main_text(page: str, template: list | None) -> str:
                     found.append((block, fixed))
                 open_text = False
             if isinstance(x, Node) and not x.aside:
-                walk(x, places.get(id(x)), inside)
+                walk(x, places.get(id(x)), inside, path)
 
-    walk(root, template, False)
-    total, fixed = sum(len(x) for x, _ in found), sum(len(x) for x, f in found if f)
-    return " ".join(x for x, f in found if not f or 2 * fixed > total)
+    walk(root, template, False, 0)
+    return " ".join(x for x, f in found if not f or not more["varies"])
 
 
 def _has(root: Node, tag: str) -> str:
@@ -366,6 +411,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(known) > 256:
                     known.clear()
                 known[tree] = json.loads(tree)
+                known[tree][6]["rare"] = set(known[tree][6]["rare"])
             texts.append(main_text(page or "", known.get(tree)))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

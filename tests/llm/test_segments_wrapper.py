@@ -152,3 +152,21 @@ def test_templates_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(hw, "BROADCAST_BYTES", 0)  # the way of many hosts
     assert {r.page_id: r.text for r in hw.main_texts(pages.repartition(40)).collect()} == want
     assert hw.host_templates(pages.repartition(40), fan_in=3).count() == 1
+
+
+def test_short_articles_beside_long_template_text(spark):
+    body = "<div id=top>" + "words that every page of the host has " * 9 + "</div><div id=story><p>short {0}</p></div>"
+    rows = [(i, "http://a.example/", body.format(i)) for i in range(20)]
+    rows += [(100 + i, "http://b.example/", f"<div id=top>all the same</div><div class={'x' * (i + 1)}></div>") for i in range(9)]
+    out = {r.page_id: r.text for r in hw.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == {i: f"short {i}" for i in range(20)} | {100 + i: "all the same" for i in range(9)}
+
+
+@pytest.mark.parametrize("every", [33, 100])
+def test_constant_boxes_on_few_pages(spark, every):
+    """A box on three or one in a hundred pages of a large host, and one with a text of its own on each of them."""
+    box = "<section><p>Meet us in town</p></section><h4>note {0}</h4>"
+    rows = [(i, "http://a.example/", f"<div id=story><p>story {i} of many</p></div>" + (box.format(i) if i % every == 0 else "")) for i in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6)
+    out = {r.page_id: r.text for r in hw.main_texts(pages).collect()}
+    assert out == {i: f"story {i} of many" + (f" note {i}" if i % every == 0 else "") for i in range(1500)}
