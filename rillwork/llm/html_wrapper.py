@@ -5,8 +5,10 @@ a host merge into its template: matched nodes add up their pages, text digests a
 that they hold first, then templates of a host meet in blocks of `fan_in`, round by round, so that a host with a third of all pages
 is nobody's single group. A node's text that at least half of its pages repeat (and MIN_PAGES of them) is template; what varies is a
 slot. Merging keeps a template small by forgetting what few of its pages have; so the texts of each label path are also counted over the
-host in one aggregation, and what is constant on a path that at most FEW of the pages have is template as well. Slots that are boxes of another role (menu, advert, form, comments: by element, class, id or ARIA role) or mostly links over the
-whole host are left out; `article` or `main` elements, where a page has them, hold the content.
+host in one aggregation, and what is constant on a path that at most FEW of the pages have is template as well. Slots that are boxes of another role (menu, advert, form, comments) or mostly links over the whole host are left out. Elements
+that have such a role in HTML are out at once. A class, id or ARIA role only makes a candidate, and only where the whole name says so
+(`comments`, `cookie-notice`, `left-sidebar`, not `comments-open` or `has-sidebar`). Candidates are part of trees and templates, and one
+is content after all if it is an article or main element, has one in it, or holds most of the page's text that varies over the host; `article` or `main` elements, where a page has them, hold the content.
 
 Defined cases: a null or empty html gives an empty text; a page alone on its host has no template, and roles decide; equal pages of a
 host count once; where no text varies over a host at all its pages are copies of one another, and their text stays; a null url is a host of its own; repeated rows stay repeated; elements deeper than MAX_DEPTH join the element at that depth; an empty
@@ -43,6 +45,12 @@ BESIDE = set(
     "newsletter subscribe subscription nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars side footer masthead topbar toolbar comment comments "
     "commentlist reply replies respond disqus social share sharing related recommended recommendations widget widgets pagination pager login signup search contentinfo complementary form skip".split()
 )
+# Words that may stand beside those and leave their meaning: places, and kinds of boxes.
+NEUTRAL = set("site page top bottom left right primary secondary main global box area block bar list item items links link section inner outer wrap wrapper container first last".split())
+
+# Those of them that name readers' replies, which may be longer than the article.
+REPLIES = set("comment comments commentlist reply replies respond disqus".split())
+BESIDE_MARK = " !"  # at the end of a candidate's label
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -50,10 +58,10 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("aside", "items", "label", "tag")
+    __slots__ = ("aside", "beside", "items", "label", "tag")
 
-    def __init__(self, tag: str, label: str, aside: bool):
-        self.tag, self.label, self.aside, self.items = tag, label, aside, []
+    def __init__(self, tag: str, label: str, aside: bool, beside: bool = False):
+        self.tag, self.label, self.aside, self.beside, self.items = tag, label, aside, beside, []
 
     def children(self) -> list[Node]:
         return [x for x in self.items if isinstance(x, Node)]
@@ -79,11 +87,18 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
     """inside: within an article or main element, whose own header stays."""
     names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     named = " ".join(names.get(k, "") for k in ("class", "id"))
-    parts = {x.lower() for x in _PART.findall(f"{named} {names.get('role', '')}")}
-    aside = tag in ASIDE or (tag == "header" and not inside) or (tag not in ("html", "body", "main") and bool(parts & BESIDE))
+    beside = tag not in ("html", "body", "main") and any(map(_says_beside, f"{named} {names.get('role', '')}".split()))
+    aside = tag in ASIDE or (tag == "header" and not inside)
     aside |= "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
     label = re.sub(r"\d+", "", f"{tag} {' '.join(sorted(names.get('class', '').split()))} #{names.get('id', '')}") if named.strip() else tag
-    return Node(tag, label, aside)
+    label += BESIDE_MARK if beside else ""
+    return Node(tag, label, aside, beside)
+
+
+def _says_beside(name: str) -> bool:
+    """Whether a class, id or role as a whole names a box beside the article."""
+    parts = {x.lower() for x in _PART.findall(name)}
+    return bool(parts & BESIDE) and parts <= BESIDE | NEUTRAL
 
 
 def parse(page: str) -> Node:
@@ -261,32 +276,32 @@ def _signed(text: str) -> int:
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each label path of a tree once with a null digest, and once with each of its texts."""
     for b in slices(batches, "tree"):
-        hosts, found = [], []
+        hosts, found, besides = [], [], []
         for host, tree in zip(b.column("host").to_pylist(), b.column("tree").to_pylist(), strict=True):
-            seen: set[tuple[int, str | None]] = set()
-            waiting = [(0, json.loads(tree))]
+            seen: dict[tuple[int, str | None], bool] = {}
+            waiting = [(0, json.loads(tree), False)]
             while waiting:
-                above, t = waiting.pop()
-                path = _below(above, t[0])
-                seen.add((path, None))
-                seen.update((path, k) for k in t[2])
-                waiting += [(path, x) for x in t[5]]
+                above, t, beside = waiting.pop()
+                path, beside = _below(above, t[0]), beside or t[0].endswith(BESIDE_MARK)
+                seen |= dict.fromkeys([(path, None), *((path, k) for k in t[2])], beside)
+                waiting += [(path, x, beside) for x in t[5]]
             hosts += [host] * len(seen)
             found += seen
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], names=["host", "path", "digest"])
+            besides += seen.values()
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string()), pa.array(besides, pa.bool_())], names=["host", "path", "digest", "beside"])
 
 
 def rare_texts(trees: DataFrame) -> DataFrame:
-    """One row (host, more) per host; more as JSON: varies, whether any text does, and rare, the constant texts of rare paths."""
-    counts = stored(trees.mapInArrow(_paths, "host string, path bigint, digest string").groupBy("host", "path", "digest").agg(F.count("*").alias("n")), "paths")
+    """One row (host, more) per host; more as JSON: varies, whether any text outside of candidates does, and rare, the constant texts of rare paths."""
+    counts = stored(trees.mapInArrow(_paths, "host string, path bigint, digest string, beside boolean").groupBy("host", "path", "digest", "beside").agg(F.count("*").alias("n")), "paths")
     whole = counts.filter("digest is null").select("host", "path", F.col("n").alias("pages"))
     texts = counts.filter("digest is not null")
     fixed = texts.filter(F.col("n") >= MIN_PAGES).join(whole, ["host", "path"]).filter(F.col("n") >= SHARE * F.col("pages"))
     hosts = whole.filter(F.col("path") == _below(0, "html")).select("host", F.col("pages").alias("of"))
     rare = fixed.join(hosts, "host").withColumn("key", F.when(F.col("pages") <= FEW * F.col("of"), F.concat_ws(":", F.col("path").cast("string"), "digest")))
-    by_host = rare.groupBy("host").agg(F.count("*").alias("fixed"), F.sort_array(F.collect_list("key")).alias("rare"))
+    by_host = rare.groupBy("host").agg(F.count_if(~F.col("beside")).alias("fixed"), F.sort_array(F.collect_list("key")).alias("rare"))
     # a host without texts varies as little as one whose texts are all constant
-    held = hosts.join(texts.groupBy("host").agg(F.count("*").alias("texts")), "host", "left").join(by_host, "host", "left")
+    held = hosts.join(texts.groupBy("host").agg(F.count_if(~F.col("beside")).alias("texts")), "host", "left").join(by_host, "host", "left")
     varies = F.coalesce("texts", F.lit(0)) > F.coalesce("fixed", F.lit(0))
     return held.select("host", F.to_json(F.struct(varies.alias("varies"), F.coalesce("rare", F.array().cast("array<string>")).alias("rare"))).alias("more"))
 
@@ -353,9 +368,51 @@ def _constant(own: list[str], t: list | None) -> bool:
     return bool(own) and t is not None and t[1] >= MIN_PAGES and t[2].get(_digest(own), 0) >= max(MIN_PAGES, SHARE * t[1])
 
 
+def _places(node: Node, t: list | None) -> dict[int, list]:
+    """The template's node for each child that has one."""
+    out = {}
+    if t is not None:
+        groups = runs([x for x in node.children() if not x.aside])
+        if t[5] and groups:
+            for i, j in align([fold_run(g) for g in groups], t[5]):
+                out |= {id(x): t[5][j] for x in groups[i]}
+    return out
+
+
+def _settle(root: Node, template: list | None, more: dict) -> bool:
+    """Clears `beside` of candidates that are content; whether one is because of its share of the page's text.
+
+    The share is of text that varies over the host and isn't links; of all text but links where only candidates vary at all."""
+    held: list[tuple[Node, int]] = []
+
+    def weigh(node: Node, t: list | None, above: int) -> tuple[int, bool]:
+        path = _below(above, node.label)
+        own = node.own()
+        chars, links = (t[3], t[4]) if t is not None and t[1] >= MIN_PAGES else node.link_chars()
+        fixed = 2 * links > chars or (more["varies"] and (_constant(own, t) or f"{path}:{_digest(own)}" in more["rare"]))
+        n, article = 0 if fixed else sum(map(len, own)), node.tag in ("article", "main") and not node.beside
+        places = _places(node, t)
+        for x in node.children():
+            if not x.aside:
+                held_text, has = weigh(x, places.get(id(x)), path)
+                n, article = n + held_text, article or has
+        if node.beside:
+            node.beside = not article and node.tag not in ("article", "main")
+            if node.beside:
+                held.append((node, n))
+        return n, article
+
+    total, _ = weigh(root, template, 0)
+    most = [x for x, n in held if n and (n == total if REPLIES & {y.lower() for y in _PART.findall(x.label)} else 2 * n > total)]
+    for x in most:
+        x.beside = False
+    return bool(most)
+
+
 def main_text(page: str, template: list | None) -> str:
     root = parse(page)
     more = template[6] if template is not None and len(template) > 6 else {"varies": True, "rare": ()}
+    keep = not _settle(root, template, more) and not more["varies"]
     scope = _has(root, "article") or _has(root, "main")
     found: list[tuple[str, bool]] = []  # block, constant over the host
 
@@ -369,12 +426,7 @@ def main_text(page: str, template: list | None) -> str:
             here = 2 * links <= chars
         fixed = here and (_constant(own, t) or f"{path}:{_digest(own)}" in more["rare"])
         blocks = iter(own)
-        places = {}
-        if t is not None:
-            groups = runs([x for x in node.children() if not x.aside])
-            if t[5] and groups:
-                for i, j in align([fold_run(g) for g in groups], t[5]):
-                    places |= {id(x): t[5][j] for x in groups[i]}
+        places = _places(node, t)
         open_text = False
         for x in [*node.items, None]:
             if isinstance(x, tuple):
@@ -385,11 +437,11 @@ def main_text(page: str, template: list | None) -> str:
                 if here:
                     found.append((block, fixed))
                 open_text = False
-            if isinstance(x, Node) and not x.aside:
+            if isinstance(x, Node) and not x.aside and not x.beside:
                 walk(x, places.get(id(x)), inside, path)
 
     walk(root, template, False, 0)
-    return " ".join(x for x, f in found if not f or not more["varies"])
+    return " ".join(x for x, f in found if not f or keep)
 
 
 def _has(root: Node, tag: str) -> str:
@@ -398,7 +450,7 @@ def _has(root: Node, tag: str) -> str:
         x = waiting.pop()
         if x.tag == tag:
             return tag
-        waiting += [y for y in x.children() if not y.aside]
+        waiting += [y for y in x.children() if not y.aside and not y.beside]
     return ""
 
 

@@ -170,3 +170,23 @@ def test_constant_boxes_on_few_pages(spark, every):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6)
     out = {r.page_id: r.text for r in hw.main_texts(pages).collect()}
     assert out == {i: f"story {i} of many" + (f" note {i}" if i % every == 0 else "") for i in range(1500)}
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ['article class="post comments-open"', 'div class="content no-sidebar"', 'div id="content" class="has-sidebar"', 'div class="content-sidebar-wrap"', 'div class="social"', 'article class="widget"'],
+)
+def test_articles_in_boxes_that_sound_like_others(spark, opening):
+    tag = opening.split()[0]
+    body = "<div class=ad>buy {0}</div><div class='site-footer-links'>every page says so</div><" + opening + "><p>story {0} says {0} and more, at length</p></" + tag + "><div id=comments>reply {0}</div>"
+    assert hw.main_text(body.format(7).replace("every page says so", ""), None) == "story 7 says 7 and more, at length"
+    pages = spark.createDataFrame([(i, "http://a.example/", body.format(i)) for i in range(12)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in hw.main_texts(pages).collect()} == {i: f"story {i} says {i} and more, at length" for i in range(12)}
+
+
+def test_long_replies_and_changing_adverts(spark):
+    long = "<article><p>short {0}</p><section id=comments><article class=comment>" + "reply {0} " * 50 + "</article></section></article>"
+    copies = "<div><p>one and the same article of some length</p></div><div class=ad>buy {0}</div>"
+    rows = [(i, "http://a.example/", long.format(i)) for i in range(6)] + [(10 + i, "http://b.example/", copies.format(i)) for i in range(6)]
+    out = {r.page_id: r.text for r in hw.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == {i: f"short {i}" for i in range(6)} | {10 + i: "one and the same article of some length" for i in range(6)}
