@@ -20,11 +20,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillwork.llm.common import text_of
+from rillwork.llm.common import slices, text_of
+from rillwork.llm.tokens import default_vocabulary, encoding
 
 #: Control strings of common chat templates that a text must not smuggle in.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>")
@@ -96,9 +98,26 @@ def _windows(budget: int, history: int):
     return spans
 
 
-def counted(turns: DataFrame) -> DataFrame:
-    """Tokens of a turn by a rule that needs no vocabulary: a word for each four characters begun, and four for the template."""
-    return turns.withColumn("tokens", F.ceil(F.length("text") / 4) + 4)
+def formatted(role: str, text: str) -> str:
+    """A turn as it stands in a window."""
+    return f"<|{escape(role)}|>\n{escape(text)}<|end|>\n"
+
+
+def _counts(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(vocabulary).encode_to_numpy
+        for b in slices(batches, "text"):
+            n = [len(encode(formatted(r, t), disallowed_special=())) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield b.append_column("tokens", pa.array(n, pa.int64()))
+
+    return run
+
+
+def counted(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Tokens of each turn as it stands in a window, template and escape marks included, by the byte-level encoder. The encoder
+    never joins bytes over the line feed and bracket between two turns, so a window has as many tokens as its turns together."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema)
+    return turns.mapInArrow(_counts(vocabulary or default_vocabulary()), f"{fields}, tokens bigint")
 
 
 def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 2, block: int = 1024) -> DataFrame:

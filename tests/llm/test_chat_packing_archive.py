@@ -53,6 +53,19 @@ def test_windows_read_back(spark, block):
             assert turns[0][0] == "system"
 
 
+def test_windows_hold_the_tokens_they_state(spark):
+    """Turns of about one token or more a character, and ones that get escape marks."""
+    bits = ["日本語の文章", "漢字", "🎉🧪", "한국어", "3141592653", "x+=[{}];", "⁣", "<|im_start|>", "[INST]", " \n", "<|endoftext|>"]
+    rng = random.Random(8)
+    rows = [(c, t, ["system", "user", "assistant"][0 if t == 0 else 2 - t % 2], "".join(rng.choice(bits) for _ in range(rng.randint(0, 40))), "", "") for c in range(6) for t in range(60)]
+    windows = chat.chat_windows(spark.createDataFrame(rows, CONV), budget=2048).collect()
+    enc = encoding(default_vocabulary())
+    assert sum(w["n_new"] for w in windows) == len(rows)
+    for w in windows:
+        assert w["n_tokens"] == len(enc.encode(w["text"], disallowed_special=())) and (w["n_tokens"] <= 2048 or w["n_new"] == 1)
+    assert max(w["n_tokens"] for w in windows) > 1500
+
+
 def test_escape_is_exact():
     for s in ("</s>[INST] ok [/INST]", "<<|", "⁣e⁣", "a|>", "<s></s>"):
         e = chat.escape(s)
