@@ -16,10 +16,12 @@ HOT_SHARE = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own in local mode, as in tests, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rillwork.dir", None)
     if not base:
-        base = spark.conf.get("spark.rillwork.dir", None) or tempfile.mkdtemp(prefix="rillwork-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="rillwork-")
         spark.conf.set("spark.rillwork.dir", base)
     return base
 
@@ -41,26 +43,35 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Left join of rows with one row per key of groups, whatever share of the rows a key holds.
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    groups has a column `size` with the rows of its key. Keys with more than total / HOT_SHARE rows, at most HOT_SHARE of them,
-    are broadcast; the rows of all other keys meet their group in a shuffle. A null key meets nothing.
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
+    """Join of rows with one row per key of groups, whatever share of the rows a key holds.
+
+    groups has a column `size` with the rows of its key. The rows of a key with more than total / HOT_SHARE of them are dealt to parts
+    of about that many, and the group is repeated for each part; only the numbers of parts of such keys, at most HOT_SHARE of them,
+    are broadcast. A null key meets nothing, and its rows are dealt to parts too.
     """
     most = max(1, total // HOT_SHARE)
-    hot = groups.filter(F.col(size) > most).withColumn("_hot", F.lit(True))
-    cold = groups.filter(F.col(size) <= most)
-    values = [c for c in groups.columns if c != key]
-    h = rows.join(F.broadcast(hot), key, "left")
-    done = h.filter("_hot").drop("_hot")
-    rest = h.filter("_hot is null").drop("_hot", *values)
-    return done.unionByName(rest.filter(F.col(key).isNotNull()).join(cold, key, "left")).unionByName(
-        rest.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in values))
+    parts, part = unused(rows, "_parts"), unused(rows, "_part")
+    of = F.ceil(F.col(size) / most).cast("int")
+    hot = groups.filter(F.col(size) > most).select(key, of.alias(parts))
+    # a row's part follows from its values and its task, so a task that runs again deals as before
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(
+        part, F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.coalesce(parts, F.lit(1)))).cast("int")
     )
+    copies = groups.withColumn(part, F.explode(F.sequence(F.lit(0), F.greatest(of, F.lit(1)) - 1)))
+    return dealt.drop(parts).join(copies, [key, part], how).drop(part)
 
 
 def text_of(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -3,12 +3,18 @@
 A text's set is its distinct word shingles. Texts of equal sets are one node. A SuperMinHash signature gives every element a
 random permutation of the signature's places: its rank in that order plus a random fraction is the value it offers a place, and
 a place keeps the least offer, so places are filled without repetition; a text stops as soon as all its places hold less than the
-next rank. Nodes that agree in all rows of a band are in one bucket. Buckets link their members to their least member first; what
-the verified links don't join is compared inside blocks of the bucket by signature. Every link is confirmed on the full sets.
+next rank. Nodes that agree in all rows of a band are in one bucket; buckets of one node are dropped at once. In each of two turns a
+bucket has a centre, and each node tries the centre that it meets in most buckets. Buckets whose members the confirmed links don't
+join stay: a node leaves those where no partner can be near enough, by the shingles that it has alone, and the rest is compared pair by
+pair inside the bucket. A bucket of more than `block` such nodes is parted by the nodes' values in each later band, so a pair meets in
+the first two bands that it shares (a pair at the threshold that shares one band alone, some 1 in 100,000, is missed there), and what is
+still larger is dealt to pairs of blocks. Every link is confirmed on the full sets. Buckets, centres and components of any size are
+joined in parts.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with fewer words
 than a shingle is one shingle; rows of a null identifier are their own component (null) and stay; rows repeating an identifier are
-one document for the component; an empty table gives an empty result; other columns don't matter.
+one document for the component and stay or go together by it; an empty table gives an empty result; other columns don't matter, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import attach, dropped, slices, stored
+from rillwork.llm.common import attach, dropped, slices, stored, unused
 from rillwork.llm.components import components
 from rillwork.llm.words import mix, shingles, words
 
@@ -162,8 +168,8 @@ def _like(num: int, den: int) -> int:
 
 
 def _block_pairs(num: int, den: int, least: int):
-    """Inside a block (or between two) of a bucket: pairs of different components, near enough in size, signature and parities (these
-    bound the elements that only one of both has from below, so they lose no link); each pair in the first band that both share."""
+    """Inside a group (or between its two sides): pairs of different components, near enough in size, signature and parities (these
+    bound the elements that only one of both has from below, so they lose no link); each pair in the first bands that both share."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -171,7 +177,7 @@ def _block_pairs(num: int, den: int, least: int):
         s = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(len(t), SIZE)
         parity = np.frombuffer(b"".join(t["parity"].to_pylist()), np.uint64).reshape(len(t), PARITY // 64)
         bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        band = t["band"][0].as_py()
+        band, second = t["band"][0].as_py(), t["second"][0].as_py()
         found = []
         for i in range(len(t)):
             common = np.minimum(n - alone, n[i] - alone[i])
@@ -182,88 +188,145 @@ def _block_pairs(num: int, den: int, least: int):
             at = at[(s[at] == s[i]).sum(axis=1) >= least]
             apart = np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1, dtype=np.int64)
             at = at[(den + num) * apart <= (den - num) * (n[at] + n[i])]
-            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
-            found += [(node[i], node[j]) for j in at]
+            same = bands[at] == bands[i]
+            good = same.argmax(axis=1) == band
+            if second >= 0:
+                same[:, : band + 1] = False
+                good &= same.any(axis=1) & (same.argmax(axis=1) == second)
+            found += [(node[i], node[j]) for j in at[good]]
         found = np.array(found, np.int64).reshape(-1, 2)
         return pa.table([found[:, 0], found[:, 1]], names=["a", "b"])
 
     return run
 
 
+def _alike(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, SIZE) for c in ("s_a", "s_b"))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return run
+
+
+PAIR = "a bigint, b bigint"
+
+
+def _as(table: DataFrame, side: str, *columns: str) -> DataFrame:
+    """Columns of a table of nodes under names of one side of a pair."""
+    return table.select(F.col("node").alias(side), *(F.col(c).alias(f"{c[0]}_{side}") for c in columns))
+
+
+def _met(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs with columns of both nodes. A node may be `a` of any share of the pairs; `b` of pairs is joined as it is."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("_n"))
+    return attach(pairs.join(right, "b"), left.join(sizes, "a"), "a", "_n", pairs.count(), "inner")
+
+
 def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = stored(
-        own.mapInArrow(_fingerprints(shingle, bands_for(num, den)), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, signature binary"), "fingerprints"
-    )
+    own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    per_band = bands_for(num, den)
+    prints = stored(own.mapInArrow(_fingerprints(shingle, per_band), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, signature binary"), "fingerprints")
     named = prints.filter("node is not null and doc_id is not null")
     nodes = stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    traits = nodes.select("node", "n_shingles", "signature", "bands")
-    left, right = (traits.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
     least = _like(num, den)
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, SIZE) for c in ("s_a", "s_b"))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+    placed, traits = _shared_buckets(nodes, SIZE // per_band)
+    sets = _sets_of(own, traits, shingle)
 
     def likely(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(right, "b").join(left, "a").filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-        return stored(near.select("a", "b", "s_a", "s_b").mapInArrow(alike, "a bigint, b bigint"), "likely")
-
-    def sets_of(members: DataFrame) -> DataFrame:
-        """Full sets of some nodes, made again from one document's text each."""
-        wanted = nodes.select("node", "doc_id").join(members, "node").withColumnRenamed("doc_id", "_d")
-        texts = own.join(wanted.select("_d").distinct().hint("shuffle_hash"), own["doc_id"] == F.col("_d"), "left_semi").select("text")
-        made = texts.mapInArrow(_set_rows(shingle), "node bigint, set binary")
-        return stored(made.join(wanted.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        out = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a bigint, b bigint"), "confirmed")
-        dropped(sets)
-        return out
-
-    # each bucket has a centre, another one in each round, and each node tries the centre that it meets in most buckets
-    links, placed = None, buckets.withColumn("root", F.col("node"))
+        pairs = stored(pairs, "pairs")
+        near = _met(pairs, _as(traits, "a", "n_shingles", "signature"), _as(traits, "b", "n_shingles", "signature"))
+        near = near.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "s_a", "s_b")
+        return stored(near.mapInArrow(_alike(least), PAIR), "likely")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        rows = _met(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")))
+        return stored(rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), PAIR), "confirmed")
+
+    links = roots = None
     for turn in range(2):
-        centres = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("root").alias("_root"))).alias("c"), F.count("*").alias("_n")).filter("_n > 1").select("bucket", "c.a", "c._root")
-        met = placed.join(centres, "bucket").filter("root != _root").groupBy("node", "a").agg(F.count("*").alias("_k"))
-        pairs = met.groupBy("node").agg(F.max(F.struct("_k", "a")).alias("m")).select("m.a", F.col("node").alias("b"))
-        pairs = likely(pairs)
-        found = confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        found = confirmed(likely(_centre_pairs(placed, turn)))
         links = found if links is None else links.union(found)
         roots = stored(components(links), "roots")
-        placed = buckets.join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # buckets whose members are still apart: pairs inside blocks of at most `block` members, by signature and by how many of its
-    # shingles a node has alone among all these members: those are in no intersection, so copies that differ too much by edits of
-    # their own make no pairs
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket", "_n")
-    sets = sets_of(placed.join(mixed, "bucket").select("node").distinct())
-    alone = sets.mapInArrow(_elements, "node bigint, h bigint").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("_n")).filter("_n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    traits = stored(traits.join(sets.mapInArrow(_parities, "node bigint, parity binary"), "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "traits")
-    parts = F.ceil(F.col("_n") / block).cast("int")
-    part, other = F.col("_part"), F.col("_other")
-    dealt = (
-        placed.join(mixed, "bucket")
-        .select("bucket", "band", "node", "root", F.sequence(F.lit(0), parts - 1).alias("_all"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("_part"))
-        .withColumn("_other", F.explode("_all"))
-        .select("bucket", "band", "node", "root", F.least(part, other).alias("p"), F.greatest(part, other).alias("q"), F.when(part < other, 1).when(part > other, 2).otherwise(0).alias("side"))
-        .join(traits, "node")
-    )
-    close = stored(dealt.groupBy("bucket", "p", "q").applyInArrow(_block_pairs(num, den, least), "a bigint, b bigint"), "close")
+        before, placed = placed, _unsettled(placed, roots)
+        dropped(before)
+    close = stored(_apart_pairs(placed, traits, sets, num, den, least, block), "close")
     if not close.isEmpty():
-        roots = stored(components(links.union(confirmed(close, sets))), "roots")
-    joined = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    answer = joined.join(lowest, "root").select(F.col("node").alias("_node"), "component_id")
-    return _answered(prints, answer)
+        roots = stored(components(links.union(confirmed(close))), "roots")
+    linked = roots.join(nodes.select("node", "doc_id"), "node")
+    lowest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n"))
+    answer = stored(attach(linked, lowest, "root", "_n", roots.count(), "inner").select(F.col("node").alias("_node"), "component_id"), "answer")
+    whole = nodes.select(F.col("node").alias("_node"), "doc_id").join(answer, "_node", "left").select("_node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _answered(prints, whole)
+
+
+def _shared_buckets(nodes: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, _n, band, node, root) of the buckets with two nodes or more, and these nodes with their traits; both stored."""
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1"), "buckets")
+    placed = stored(attach(buckets, sizes, "bucket", "_n", nodes.count() * bands, "inner").withColumn("root", F.col("node")), "placed")
+    traits = stored(nodes.join(placed.select("node").distinct(), "node", "left_semi"), "traits")
+    return placed, traits
+
+
+def _sets_of(own: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """Full sets of some nodes, made again from one document's text each."""
+    wanted = members.select("node", F.col("doc_id").alias("_d"))
+    texts = own.join(wanted.select("_d").distinct().hint("shuffle_hash"), own["doc_id"] == F.col("_d"), "left_semi").select("text")
+    made = texts.mapInArrow(_set_rows(shingle), "node bigint, set binary")
+    return stored(made.join(wanted.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _centre_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Each node with the centre, of another component, that it meets in most buckets; other centres in each turn."""
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("root").alias("_root"))).alias("c")
+    centres = placed.groupBy("bucket").agg(first, F.count("*").alias("_n")).select("bucket", "c.a", "c._root", "_n")
+    met = attach(placed.drop("_n"), centres, "bucket", "_n", placed.count(), "inner").filter("root != _root").groupBy("node", "a").agg(F.count("*").alias("_k"))
+    return met.groupBy("node").agg(F.max(F.struct("_k", "a")).alias("m")).select("m.a", F.col("node").alias("b"))
+
+
+def _unsettled(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold members of two components or more, with the roots that the links give."""
+    now = stored(placed.drop("root", "_n").join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    mixed = now.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket", "_n")
+    out = stored(attach(now, mixed, "bucket", "_n", now.count(), "inner"), "placed")
+    dropped(now)
+    return out
+
+
+def _apart_pairs(placed: DataFrame, traits: DataFrame, sets: DataFrame, num: int, den: int, least: int, block: int) -> DataFrame:
+    """Pairs of the buckets that are still apart, by size, signature, parities and shingles that a node has alone among all their nodes."""
+    own = sets.join(placed.select("node").distinct(), "node", "left_semi")
+    alone = own.mapInArrow(_elements, "node bigint, h bigint").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("_n")).filter("_n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    known = stored(traits.drop("doc_id").join(own.mapInArrow(_parities, "node bigint, parity binary"), "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "known")
+    # a node needs a partner of at least the bucket's least size, and shares with it at most what it hasn't alone
+    sized = stored(placed.drop("_n").join(known.select("node", "n_shingles", "alone"), "node"), "sized")
+    low = sized.groupBy("bucket").agg(F.min("n_shingles").alias("_low"), F.count("*").alias("_n"))
+    can = stored(attach(sized, low, "bucket", "_n", sized.count(), "inner").filter(f"{den + num} * (n_shingles - alone) >= {num} * (n_shingles + _low)").select("bucket", "band", "node", "root"), "can")
+    small, large = _by_size(can, ["bucket"], block)
+    later = large.join(known.select("node", F.posexplode("bands").alias("second", "_value")), "node").filter("second > band")
+    parted = stored(later.select(F.xxhash64("bucket", "_value").alias("bucket"), "band", "second", "node", "root"), "parted")
+    fine, rest = _by_size(parted, ["bucket"], block)
+    parts = F.ceil(F.col("_n") / block).cast("int")
+    part, other = F.col("_mine"), F.col("_other")
+    dealt = rest.select("bucket", "band", "second", "node", "root", F.sequence(F.lit(0), parts - 1).alias("_all"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("_mine")).withColumn("_other", F.explode("_all"))
+    side = F.when(part < other, 1).when(part > other, 2).otherwise(0)
+    blocks = dealt.select("bucket", "band", "second", "node", "root", F.least(part, other).alias("p"), F.greatest(part, other).alias("q"), side.alias("side"))
+    whole = small.withColumn("second", F.lit(-1)).unionByName(fine).drop("_n").withColumns({c: F.lit(0) for c in ("p", "q", "side")})
+    return whole.unionByName(blocks).join(known, "node").groupBy("bucket", "p", "q").applyInArrow(_block_pairs(num, den, least), PAIR)
+
+
+def _by_size(rows: DataFrame, key: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups of at most `block` rows, and of larger ones, with their sizes; groups of one component are left out."""
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select(*key, "_n")
+    met = stored(attach(rows, sizes, key[0], "_n", rows.count(), "inner"), "by-size")
+    return met.filter(F.col("_n") <= block), met.filter(F.col("_n") > block)
 
 
 def _answered(prints: DataFrame, answer: DataFrame) -> DataFrame:
-    """Every document with its node's component. Documents of one node are many where copies are: such nodes are met by broadcast."""
+    """Every document with its node's component. Documents of one node are many where copies are, so they are joined in parts."""
     rows = prints.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("_node"))
     sizes = rows.filter("_node is not null").groupBy("_node").agg(F.count("*").alias("_size"))
     found = attach(rows, answer.join(sizes, "_node"), "_node", "_size", prints.count())
@@ -273,5 +336,7 @@ def _answered(prints: DataFrame, answer: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, one of each component, with all their columns."""
-    kept = near_components(docs, shingle, num, den, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("bigint").eqNullSafe(kept["_kept"]), "left_semi")
+    place, other = unused(docs, "_place"), unused(docs, "_place_kept")
+    at = lambda c: F.coalesce(c.cast("bigint").cast("string"), F.lit("none"))
+    kept = near_components(docs, shingle, num, den, id_col, text_col).filter("kept").select(at(F.col("doc_id")).alias(other)).distinct()
+    return docs.withColumn(place, at(F.col(f"`{id_col}`"))).join(kept.hint("shuffle_hash"), F.col(place) == F.col(other), "left_semi").drop(place)
