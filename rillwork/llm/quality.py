@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillwork.llm.common import slices, text_of
+from rillwork.llm.common import slices, text_of, unused
 from rillwork.llm.words import Words, mix, span_hashes, words
 
 MIN_WORDS = 50
@@ -150,8 +151,8 @@ def _menus(row: np.ndarray, entry: np.ndarray, full: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Verdict columns of each row, and all lines: row, start, end, whether it failed."""
+def _judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
+    """Verdict columns of each row, and all lines: row, start, end, whether it failed; and the bytes that they are in."""
     w = words(texts)
     n = w.counts()
     starts_char = (w.data & 0xC0) != 0x80
@@ -197,7 +198,7 @@ def _judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np
         "lost_share": share,
         "n_lines": np.bincount(row[full], minlength=w.rows),
         "n_failed_lines": np.bincount(row[failed & (held > 0)], minlength=w.rows),
-    }, (row, start, end, failed)
+    }, (row, start, end, failed, w.data)
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +209,34 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts, base_failed, kept, the share of word characters its failed lines hold, lines and failed lines."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_verdicts, VERDICTS)
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_verdicts, VERDICTS)
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "_text"):
-        found, (row, start, end, failed) = _judge(b.column("_text"))
-        data = words(b.column("_text")).data.tobytes()
-        texts = pc.fill_null(b.column("_text"), "").to_pylist()
-        for i in np.unique(row[failed]):
-            of = slice(*np.searchsorted(row, [i, i + 1]))
-            texts[i] = "\n".join(data[s:e].decode() for s, e, f in zip(start[of], end[of], failed[of], strict=True) if not f)
-        out = b.drop_columns(["_text"]).append_column("_clean", pa.array(texts, pa.string())).append_column("_kept", pa.array(found["kept"]))
-        yield out
+#: Bytes of texts that clean() judges at a time, beside whatever else their rows hold; a longer text is judged alone.
+CLEAN_BYTES = 1 << 20
+
+
+def _cleaned(text: str, clean: str, kept: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text, CLEAN_BYTES):
+            texts = b.column(text)
+            found, (row, start, end, failed, data) = _judge(texts)
+            lossy = np.unique(row[failed & (end >= start)])
+            out = pc.fill_null(texts, "")
+            if len(lossy):
+                values = out.to_pylist()
+                for i in lossy:
+                    of = slice(*np.searchsorted(row, [i, i + 1]))
+                    values[i] = "\n".join(data[s:e].tobytes().decode() for s, e, f in zip(start[of], end[of], failed[of], strict=True) if not f)
+                out = pa.array(values, pa.string())
+            yield b.drop_columns([text]).append_column(clean, out).append_column(kept, pa.array(found["kept"]))
+
+    return run
 
 
 def clean(docs: DataFrame, text_col: str = "text", remove_lines: bool = False) -> DataFrame:
     """The documents that stay, with all their columns; with remove_lines, their texts without the failed lines."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.withColumn("_text", text_of(text_col)).mapInArrow(_cleaned, f"{fields}, _clean string, _kept boolean").filter("_kept")
-    return (out.withColumn(text_col, F.col("_clean")) if remove_lines else out).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text, cleaned, kept = (unused(docs, x) for x in ("_text", "_clean", "_kept"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(cleaned, T.StringType()), T.StructField(kept, T.BooleanType())])
+    out = docs.withColumn(text, text_of(text_col)).mapInArrow(_cleaned(text, cleaned, kept), schema).filter(F.col(kept))
+    return out.select(*(F.col(cleaned).alias(c) if remove_lines and c == text_col else F.col(f"`{c}`") for c in docs.columns))
