@@ -9,8 +9,9 @@ Template: <|role|>, line feed, escaped text, <|end|>, line feed. Inside texts an
 control string from its rest, and the mark itself is doubled up, so reading back is exact.
 
 Defined cases: a null text or role is empty; null turns come first; ties go by role and text, repeated rows are turns of their
-own; rows of a null conversation are one conversation. Blocks of `block` turns bound a group, so a huge conversation is spread
-over tasks; a window doesn't cross a block, but its history does. An empty table gives an empty result; other columns don't matter.
+own; rows of a null conversation are one conversation. Turns are numbered within their conversation, and blocks of `block` of them bound
+a group, so a huge conversation is spread over tasks, whatever its turn numbers are; a window doesn't cross a block, but its history
+does. An empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillwork.llm.common import slices, text_of
+from rillwork.llm.common import attach, stored, text_of
 from rillwork.llm.tokens import default_vocabulary, encoding
 
 #: Control strings of common chat templates that a text must not smuggle in.
@@ -69,13 +70,15 @@ def _window(turns: list, system: list, first: int, last: int, keep: int) -> tupl
     return len(repeated), last - first, "".join(out), loss
 
 
-def _windows(budget: int, history: int):
+def _windows(budget: int, history: int, vocabulary: str):
     def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoding(vocabulary).encode_to_numpy
+        tokens = lambda t: len(encode(formatted(t["role"], t["text"]), disallowed_special=()))
         for frame in frames:
             rows = []
             for conv, block, own, carried, system in frame.itertuples(index=False):
-                turns = [(i - len(carried), t["role"], t["text"], t["tokens"]) for i, t in enumerate([*carried, *own])]
-                fixed = [(-len(carried) - 1, t["role"], t["text"], t["tokens"]) for t in system] if block else turns[:1] if turns[0][1] == "system" else []
+                turns = [(i - len(carried), t["role"], t["text"], tokens(t)) for i, t in enumerate([*carried, *own])]
+                fixed = [(-len(carried) - 1, t["role"], t["text"], tokens(t)) for t in system] if block else turns[:1] if turns[0][1] == "system" else []
                 prefix = [0]
                 for t in turns:
                     prefix.append(prefix[-1] + t[3])
@@ -99,70 +102,93 @@ def _windows(budget: int, history: int):
 
 
 def formatted(role: str, text: str) -> str:
-    """A turn as it stands in a window."""
+    """A turn as it stands in a window. A turn's tokens are the byte-level encoder's of this; it never joins bytes over the line feed
+    and bracket between two turns, so a window has as many tokens as its turns together."""
     return f"<|{escape(role)}|>\n{escape(text)}<|end|>\n"
 
 
-def _counts(vocabulary: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_to_numpy
-        for b in slices(batches, "text"):
-            n = [len(encode(formatted(r, t), disallowed_special=())) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            yield b.append_column("tokens", pa.array(n, pa.int64()))
-
-    return run
-
-
-def counted(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Tokens of each turn as it stands in a window, template and escape marks included, by the byte-level encoder. The encoder
-    never joins bytes over the line feed and bracket between two turns, so a window has as many tokens as its turns together."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema)
-    return turns.mapInArrow(_counts(vocabulary or default_vocabulary()), f"{fields}, tokens bigint")
-
-
-def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 2, block: int = 1024) -> DataFrame:
+def numbered(turns: DataFrame, block: int) -> DataFrame:
+    """Adds `block`, the turn's place in its conversation, in order of turn, role and text, by blocks of that many.
+
+    Places are counted within stretches of turn numbers; a stretch that repeated numbers make long is parted by turn, role and the
+    beginning of the text. What a stretch has before it is a running sum over stretches."""
+    key = lambda *c: F.concat_ws("\x01", *(F.coalesce(F.col(x).cast("string"), F.lit("\x02")) for x in c))
+    total = turns.count()
+    turns = turns.withColumn("stretch", F.floor(F.col("turn") / block)).withColumn("_key", key("conv_id", "stretch"))
+    sizes = turns.groupBy("_key", "conv_id", "stretch").agg(F.count("*").alias("_n"))
+    long = sizes.filter(F.col("_n") > 4 * block).select("_key", "_n")
+    at = F.struct("turn", "role", F.substring("text", 1, 8).alias("text"))
+    if long.isEmpty():
+        turns = turns.withColumn("part", F.lit(None).cast(turns.select(at.alias("p")).schema["p"].dataType))
+    else:
+        turns = attach(turns, long, "_key", "_n", total).withColumn("part", F.when(F.col("_n").isNotNull(), at)).drop("_n")
+        turns = turns.withColumn("_key", F.concat_ws("\x01", "_key", F.sha2(F.to_json("part"), 256)))
+        sizes = turns.groupBy("_key", "conv_id", "stretch", "part").agg(F.count("*").alias("_n"))
+    order = ("stretch", "part") if "part" in sizes.columns else ("stretch",)
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_key", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("turn", "role", "text")) - 1
+    placed = attach(turns.withColumn("_place", place), bases, "_key", "_n", total)
+    return placed.withColumn("block", F.floor((F.col("_base") + F.col("_place")) / block)).drop("_key", "_n", "_base", "_place", "stretch", "part")
+
+
+def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 2, block: int = 1024, vocabulary: str | None = None) -> DataFrame:
     """Formatted windows of each conversation: conv_id, block, window, n_repeated, n_new, n_tokens, text, loss (spans of code points)."""
-    turns = counted(
-        conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
-    ).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(0)))
-    turn = F.struct("turn", "role", "text", "tokens")
-    low = turns.groupBy("conv_id").agg(F.min("block").alias("low"))
-    blocks = turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(turn)).alias("own"))
+    own = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
+    turns = numbered(own, block)
+    blocks = stored(turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("own")), "blocks")
     # what a block repeats from the one before it, and the conversation's first turn if that is the system's
-    by_block = Window.partitionBy("conv_id").orderBy("block")
-    tails = blocks.select("conv_id", "block", F.slice("own", F.greatest(F.lit(1), F.size("own") - history + 1), history).alias("tail"), F.slice("own", 1, 1).alias("head"))
-    tails = tails.select("conv_id", "block", F.coalesce(F.lag("tail").over(by_block), F.slice("tail", 1, 0)).alias("carried"), F.first("head").over(by_block).alias("head"))
-    system = F.filter("head", lambda t: t["role"] == "system")
-    placed = (
-        blocks.join(tails.withColumn("_c", F.col("conv_id")).withColumn("_b", F.col("block")).drop("conv_id", "block"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
-        .join(low.withColumnRenamed("conv_id", "_l"), F.col("conv_id").eqNullSafe(F.col("_l")))
-        .select("conv_id", (F.col("block") - F.col("low")).alias("block"), "own", "carried", system.alias("system"))
-    )
-    return placed.mapInPandas(_windows(budget, history), WINDOWS)
+    edges = blocks.select("conv_id", "block", F.slice("own", F.greatest(F.lit(1), F.size("own") - history + 1), history).alias("tail"), F.slice("own", 1, 1).alias("head"))
+    key = lambda b: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), b)
+    tails = edges.select(key(F.col("block") + 1).alias("_at"), F.col("tail").alias("carried"))
+    heads = edges.filter("block = 0").select(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("_of"), F.filter("head", lambda t: t["role"] == "system").alias("system"))
+    sizes = blocks.groupBy(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("_of")).agg(F.count("*").alias("_n"))
+    rows = blocks.withColumn("_at", key(F.col("block"))).join(tails, "_at", "left").withColumn("_of", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+    placed = attach(rows, heads.join(sizes, "_of"), "_of", "_n", blocks.count()).select("conv_id", "block", "own", F.coalesce("carried", F.slice("own", 1, 0)).alias("carried"), "system")
+    return placed.mapInPandas(_windows(budget, history, vocabulary or default_vocabulary()), WINDOWS)
 
 
 READ = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint"
 
 
-def _reading(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for conv, windows in frame.itertuples(index=False):
-            turns, loss, formatted, n = hashlib.sha256(), hashlib.sha256(), 0, [0, 0]
-            for w in windows:
-                for role, text in turns_of(w["text"])[w["n_repeated"] :]:
-                    turns.update(f"{role}\n{text}\n".encode())
-                    n[0] += 1
-                for text in loss_texts(w["text"], w["loss"]):
-                    loss.update(text.encode())
-                    n[1] += len(text)
-                formatted += len(w["text"])
-            rows.append((conv, n[0], turns.hexdigest(), n[1], loss.hexdigest(), formatted, len(windows)))
-        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"])
+def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows in order of conversation, block and window; one conversation's digests are open at a time."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    open_, rows = None, []
+
+    def closed() -> tuple:
+        conv, turns, loss, n = open_
+        return conv, n[0], turns.hexdigest(), n[1], loss.hexdigest(), n[2], n[3]
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    for b in batches:
+        for i in range(b.num_rows):
+            conv, repeated, text, spans = (b.column(c)[i].as_py() for c in ("conv_id", "n_repeated", "text", "loss"))
+            if open_ is None or open_[0] != conv:
+                if open_ is not None:
+                    rows.append(closed())
+                open_ = conv, hashlib.sha256(), hashlib.sha256(), [0, 0, 0, 0]
+            _, turns, loss, n = open_
+            for role, said in turns_of(text)[repeated:]:
+                turns.update(f"{role}\n{said}\n".encode())
+                n[0] += 1
+            for said in loss_texts(text, spans):
+                loss.update(said.encode())
+                n[1] += len(said)
+            n[2] += len(text)
+            n[3] += 1
+        if rows:
+            yield out()
+            rows = []
+    if open_ is not None:
+        rows.append(closed())
+        yield out()
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of each conversation from its windows alone: all turns, and all text under the loss mask. A digest needs its
-    conversation's text in one place."""
-    whole = windows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "window", "n_repeated", "text", "loss"))).alias("w"))
-    return whole.mapInPandas(_reading, READ)
+    """Digests of each conversation from its windows alone: all turns, and all text under the loss mask. A SHA-256 goes through its
+    conversation's windows one after another, so these are one task's; it holds one window at a time and sorting may spill."""
+    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "block", "window").select("conv_id", "n_repeated", "text", "loss").mapInArrow(_reading, READ)

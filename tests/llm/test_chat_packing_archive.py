@@ -193,8 +193,7 @@ def test_archive(spark, tmp_path):
         want.append((p or 0, n, sha(h), "revisit" if again else "response", first if again else None))
     assert got == sorted(want, key=lambda r: (r[0], r[1], r[2], r[3]))
     assert spark.read.parquet(f"{folder}/payloads").count() == 4
-    records = {(r["page_id"], bytes(r["record"])) for r in archive.original_records(spark, folder).collect()}
-    by = {p: rec for p, rec in records}
+    by = {int(r["header"].split("<urn:page:")[1].split(">")[0]): bytes(r["record"]) for r in archive.original_records(spark, folder).collect() if "<urn:page:" in r["header"]}
     assert by[3].endswith(b"\r\n\r\n" + big.encode() + b"\r\n\r\n") and b"WARC-Refers-To: <urn:page:3>" in by[5] and b"Content-Length: 0" in by[5]
 
 
@@ -204,6 +203,48 @@ def test_archive_empty(spark, tmp_path):
 
 
 def test_archive_damage_is_noticed(spark, tmp_path):
-    p = spark.createDataFrame([("00", bytearray(b"x"))], "payload_digest string, payload binary")
-    with pytest.raises(Exception, match="damaged payload"):
-        archive.verified_payloads(p).collect()
+    """An archive that another session wrote, whose payload isn't what its header says."""
+    good = hashlib.sha256(b"x").hexdigest()
+    for payload, length in ((b"x", "1"), (b"y", "1"), (b"x", "2")):
+        folder = f"{tmp_path}/{payload.decode()}{length}"
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha256:{good}\r\nContent-Length: {length}\r\n\r\n"
+        spark.createDataFrame([(good, bytearray(payload))], "payload_digest string, payload binary").write.parquet(f"{folder}/payloads")
+        spark.createDataFrame([(good, 1, head)], "payload_digest string, copies bigint, header string").write.parquet(f"{folder}/records")
+        if (payload, length) == (b"x", "1"):
+            assert [r["payload_digest"] for r in archive.read_records(spark, folder).collect()] == [good]
+        else:
+            with pytest.raises(Exception, match="damaged payload"):
+                archive.read_records(spark, folder).collect()
+
+
+def test_archive_hot_small_payload(spark, tmp_path):
+    """Most pages have one small payload."""
+    rows = [(i, "u", "tiny" if i % 4 else f"page {i} " * 20) for i in range(4000)]
+    archive.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "h"))
+    got = archive.read_records(spark, str(tmp_path / "h"))
+    assert sorted((r["page_id"], r["payload_digest"]) for r in got.collect()) == [(i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows]
+
+
+def test_repeated_turn_numbers_are_spread(spark):
+    """Far more turns of one number than a block holds: blocks stay bounded, order and digests exact."""
+    rng = random.Random(4)
+    rows = [(1, rng.choice([None, 0, 0, 5]), rng.choice(["user", "assistant"]), f"{rng.choice('abcdefghijklmnop' * 2)} said {i}", None, None) for i in range(900)]
+    rows += [(2, t, "user", f"t {t}", None, None) for t in range(-5, 40)]
+    windows = chat.chat_windows(spark.createDataFrame(rows, CONV), budget=256, block=16)
+    assert max(r["n"] for r in windows.groupBy("conv_id", "block").sum("n_new").withColumnRenamed("sum(n_new)", "n").collect()) <= 16
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.read_back(windows).collect()}
+    convs = {}
+    for r in rows:
+        convs.setdefault(r[0], []).append(r)
+    for c, turns in convs.items():
+        turns.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        assert got[c][:2] == (len(turns), hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in turns).encode()).hexdigest())
+
+
+def test_ids_must_fit_their_width(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="fit"):
+        binary_packing.binary_sequences(docs, window=70_000)
+    with pytest.raises(Exception, match="does not fit"):
+        binary_packing.binary_sequences(docs, end=70_000).collect()
+    assert binary_packing.binary_sequences(docs, end=70_000, wide=True).count() == 1
