@@ -74,6 +74,8 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[list[int]]:
 def binary_sequences(docs: DataFrame, window: int = 2048, chunk_mb: int = 8, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 1, pad: int = 0, wide: bool = False) -> DataFrame:
     """Packed sequences of all documents; chunk_mb: text that is packed together."""
     path, width = vocabulary or default_vocabulary(), "<u4" if wide else "<u2"
+    if max(window, pad) > np.iinfo(width).max:
+        raise ValueError("window and pad must fit the width of ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
@@ -96,6 +98,8 @@ def binary_sequences(docs: DataFrame, window: int = 2048, chunk_mb: int = 8, id_
         size = 0
         for b in slices(batches, "text"):
             for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text"), path, end), strict=True):
+                if ids.max() > np.iinfo(width).max:
+                    raise ValueError(f"id {ids.max()} does not fit {width}; set wide")
                 held += [(doc, s, ids[s : s + window]) for s in range(0, len(ids), window)]
                 size += len(ids) * 4
             if size > chunk_mb << 20:
@@ -104,9 +108,10 @@ def binary_sequences(docs: DataFrame, window: int = 2048, chunk_mb: int = 8, id_
         if held:
             yield from out()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, SEQUENCES)
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(pack, SEQUENCES)
 
 
-def write_sequences(found: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The matrices as Parquet files of binary columns, written by the tasks that made them."""
+def write_sequences(found: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """The matrices as Parquet files of binary columns, written by the tasks that made them; gives them as read back."""
     found.write.mode(mode).parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)

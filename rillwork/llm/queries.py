@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.llm import archive, binary_packing, chat, class_ngrams, exact_dedup, gumbel_segments, html_wrapper, near_dedup, packing, quality
+from rillwork.llm.common import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,8 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary_packing.binary_sequences(_table(spark, sf_dir, "documents"))
+    """The matrices as read back from the files that the tasks wrote."""
+    return binary_packing.write_sequences(binary_packing.binary_sequences(_table(spark, sf_dir, "documents")), new_folder(spark, "sequences"))
 
 
 def op4_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def op4_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = archive.new_folder(spark)
+    folder = new_folder(spark, "archive")
     archive.write_archive(_table(spark, sf_dir, "pages"), folder)
     return archive.read_records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
