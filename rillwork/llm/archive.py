@@ -1,12 +1,16 @@
 """Content-addressed WARC archive.
 
 Each distinct payload is stored once under its SHA-256; each record's exact header block is a row of its own table, naming that
-digest. Records come back through a join of both and are verified: the payload read must have the digest and the length that
-the header says. Equal payloads of at least `least` bytes make revisit records of all but the smallest page identifier's.
+digest. Records come back through a join of both and are verified: the payload of a rebuilt record must have the digest and the length
+that its header says. Equal payloads of at least `least` bytes make revisit records of all but the smallest page identifier's.
+
+Copies of a payload fold in their tasks before they move. Payloads are bucketed by digest, so rebuilding records moves the headers to
+them and no payload again. A digest with a large share of the records (payloads too small for revisits) is broadcast, if its payload is
+below BROADCAST_BYTES; those are at most HOT_SHARE.
 
 Defined cases: null html is an empty payload; a null url gives an empty target; rows repeating identifier and payload are records of
 their own, all of the same kind; a group whose identifiers are all null has responses only; an empty table gives empty archives;
-other columns don't matter. A digest that holds a large share of the rows is met by a broadcast of at most HOT_SHARE groups.
+other columns don't matter.
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import attach, shared_folder, stored, text_of
+from rillwork.llm.common import HOT_SHARE, attach, stored, text_of
 
 LEAST = 100
+#: Payloads up to this size are broadcast where a large share of the records has them; and bytes of payloads that a bucket holds about.
+BROADCAST_BYTES, BUCKET_BYTES = 4096, 64 << 20
 #: Fixed values of the archive format.
 VERSION, LINE = "WARC/1.1", "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -28,18 +34,19 @@ def _lines(*fields: tuple[str, Column]) -> Column:
 
 
 def write_archive(pages: DataFrame, folder: str, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2026-01-01T00:00:00Z") -> None:
-    """Writes folder/payloads (payload_digest, payload) and folder/records (page_id, payload_digest, header)."""
+    """Writes folder/payloads (payload_digest, payload) and folder/records (payload_digest, copies, header)."""
+    spark = pages.sparkSession
     own = pages.select(
-        F.col(id_col).cast("bigint").alias("page_id"),
+        F.col(f"`{id_col}`").cast("bigint").alias("page_id"),
         F.regexp_replace(text_of(url_col), r"[\r\n]", " ").alias("url"),
         text_of(html_col).cast("binary").alias("payload"),
     ).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     facts = stored(own.drop("payload"), "page-facts")
     groups = facts.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_size"), F.max("payload_bytes").alias("_bytes"))
-    place = lambda id_: F.concat_ws(":", "payload_digest", id_).alias("_place")  # noqa: E731  payloads move once: the join and what drops repeated rows share this key
-    own.select(place("page_id"), "payload_digest", "payload").join(groups.select(place("first_id")).hint("shuffle_hash"), "_place", "left_semi").dropDuplicates(["_place"]).select(
-        "payload_digest", "payload"
-    ).write.parquet(f"{folder}/payloads")
+    size = groups.agg(F.sum("_bytes")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    distinct = own.groupBy("payload_digest").agg(F.first("payload").alias("payload"))
+    distinct.repartition(buckets, "payload_digest").write.bucketBy(buckets, "payload_digest").option("path", f"{folder}/payloads").saveAsTable(_payloads(folder))
     rows = attach(facts, groups.drop("_bytes"), "payload_digest", "_size", facts.count())
     again = (F.col("payload_bytes") >= least) & (F.col("page_id") != F.col("first_id"))
     kind = F.when(again, "revisit").otherwise("response")
@@ -55,7 +62,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, id_col: str
         ("Content-Type", F.lit("text/html")),
         ("Content-Length", F.when(again, "0").otherwise(F.col("payload_bytes").cast("string"))),
     )
-    rows.select("page_id", "payload_digest", F.col("_size").alias("copies"), header.alias("header")).write.parquet(f"{folder}/records")
+    rows.select("payload_digest", F.col("_size").alias("copies"), header.alias("header")).write.parquet(f"{folder}/records")
 
 
 def field(header: str, name: str) -> Column:
@@ -63,43 +70,56 @@ def field(header: str, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def _read(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/records"), spark.read.parquet(f"{folder}/payloads")
-
-
-def verified_payloads(payloads: DataFrame) -> DataFrame:
-    """Digest and bytes of each stored payload, computed again from what was read; stops if a digest isn't its payload's."""
-    true = F.sha2("payload", 256)
-    checked = F.when(true == F.col("payload_digest"), true).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("payload_digest"))))
-    return payloads.select(F.col("payload_digest").alias("_stored"), checked.alias("payload_digest"), F.octet_length("payload").cast("bigint").alias("payload_bytes")).drop("_stored")
+def _payloads(folder: str) -> str:
+    """The name that the session's catalog has for an archive's payloads."""
+    return "payloads_" + "".join(c if c.isalnum() else "_" for c in folder.rsplit("/", 1)[-1])
 
 
-def read_records(spark, folder: str) -> DataFrame:
-    """One row per record as its header says, with the digest and length of the payload that its digest leads to."""
-    records, payloads = _read(spark, folder)
-    records = records.withColumn("payload_digest", F.regexp_extract("header", r"WARC-Payload-Digest: sha256:(\w+)", 1))
-    sizes = verified_payloads(payloads).join(records.groupBy("payload_digest").agg(F.count("*").alias("_size")), "payload_digest")
-    page = lambda name: F.regexp_extract(field("header", name), r"<urn:page:(-?\d+)>", 1).try_cast("bigint")
-    return attach(records, sizes, "payload_digest", "_size", records.count()).select(
-        page("WARC-Record-ID").alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
-        field("header", "WARC-Type").alias("record_type"),
-        page("WARC-Refers-To").alias("refers_to"),
-        field("header", "WARC-Target-URI").alias("url"),
-        "header",
-    )
+def _read(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Records and payloads; a session that didn't write the archive reads its payloads without their buckets."""
+    name = _payloads(folder)
+    payloads = spark.table(name) if spark.catalog.tableExists(name) else spark.read.parquet(f"{folder}/payloads")
+    return spark.read.parquet(f"{folder}/records"), payloads
 
 
 def original_records(spark, folder: str) -> DataFrame:
-    """The exact bytes of each record: header block, payload (none for revisits) and two line ends."""
-    records, payloads = _read(spark, folder)
-    responses = records.filter(field("header", "WARC-Type") == "response").join(payloads, "payload_digest")
-    revisits = records.filter(field("header", "WARC-Type") == "revisit").withColumn("payload", F.lit("").cast("binary"))
-    return responses.unionByName(revisits).select("page_id", F.concat(F.col("header").cast("binary"), "payload", F.lit(LINE * 2).cast("binary")).alias("record"))
+    """Each record as its archive has it: header, and record: the exact bytes of header block, payload (none for revisits), two line ends.
 
+    A response stops the read if its payload hasn't the digest and length that its header says."""
+    records, payloads = _read(spark, folder)
+    records = records.select("copies", "header", F.regexp_extract("header", r"WARC-Payload-Digest: sha256:(\w+)", 1).alias("payload_digest"))
+    responses = records.filter(field("header", "WARC-Type") == "response")
+    most = max(1, records.count() // HOT_SHARE)
+    hot = F.col("copies") > most
+    few = responses.filter(hot).groupBy("payload_digest").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("payload_digest")
+    small = payloads.join(F.broadcast(few), "payload_digest", "left_semi").filter(F.octet_length("payload") <= BROADCAST_BYTES)
+    marked = responses.join(F.broadcast(small.withColumnRenamed("payload", "_small")), "payload_digest", "left")
+    near = marked.filter(F.col("_small").isNotNull()).select("header", "payload_digest", F.col("_small").alias("payload"))
+    far = marked.filter(F.col("_small").isNull()).select("header", "payload_digest")
+    met = payloads.join(far.hint("shuffle_hash"), "payload_digest").select("header", "payload_digest", "payload").unionByName(near)
+    true = (F.sha2("payload", 256) == F.col("payload_digest")) & (F.octet_length("payload") == field("header", "Content-Length").cast("bigint"))
+    checked = F.when(true, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("payload_digest"))).cast("binary"))
+    revisits = records.filter(field("header", "WARC-Type") == "revisit").select("header", "payload_digest", F.lit("").cast("binary").alias("payload"))
+    whole = met.withColumn("payload", checked).unionByName(revisits)
+    return whole.select("header", "payload_digest", F.concat(F.col("header").cast("binary"), "payload", F.lit(LINE * 2).cast("binary")).alias("record"))
 
-def new_folder(spark) -> str:
-    import uuid
 
-    return f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+def read_records(spark, folder: str) -> DataFrame:
+    """One row per record, read from the rebuilt records: what its header says, with the digest and length of its payload or, for a
+    revisit, of the payload that it leads to."""
+    body = F.octet_length(F.col("header").cast("binary"))
+    rebuilt = original_records(spark, folder)
+    payload = F.substring(F.col("record"), body + 1, F.octet_length("record") - body - len(LINE) * 2)
+    page = lambda name: F.regexp_extract(field("header", name), r"<urn:page:(-?\d+)>", 1).try_cast("bigint")
+    found = stored(
+        rebuilt.select(
+            page("WARC-Record-ID").alias("page_id"), "payload_digest", F.octet_length(payload).cast("bigint").alias("payload_bytes"), field("header", "WARC-Type").alias("record_type"),
+            page("WARC-Refers-To").alias("refers_to"), field("header", "WARC-Target-URI").alias("url"), "header"
+        ),
+        "read-records",
+    )
+    revisits = found.filter("record_type = 'revisit'").drop("payload_bytes")
+    sizes = found.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    sizes = sizes.join(revisits.groupBy("payload_digest").agg(F.count("*").alias("_size")), "payload_digest")
+    again = attach(revisits, sizes, "payload_digest", "_size", found.count(), "inner").drop("_size")
+    return found.filter("record_type = 'response'").unionByName(again)
