@@ -13,8 +13,7 @@ As in SentencePiece a text gets a leading word mark, spaces become marks and cha
 mark in the text itself goes to byte pieces too, so decoding is exact.
 
 Defined cases: a null or empty text has one segmentation, the empty one, with log_prob and log_inclusion 0; a text with fewer than k
-segmentations gives all of them (alternatives of a word with a joint chance below 1e-12 count as none); a null doc_id is keyed by the
-text; repeated rows get equal samples; an empty table gives an empty result; other columns don't matter. A task holds about `limit`
+segmentations gives all of them, however small their chances are in double precision; a null doc_id is keyed by the text; repeated rows get equal samples; an empty table gives an empty result; other columns don't matter. A task holds about `limit`
 bytes of texts at a time, or one longer text.
 """
 
@@ -36,7 +35,6 @@ from rillwork.llm.common import slices
 from rillwork.llm.words import _BACK, _BASE, _powers, mix
 
 MARK, OWN_MARK = 0x2581, 0x110000  # the second stands for a mark in the text itself
-NONE = 1e-12
 SAMPLES = "doc_id bigint, sample int, n_pieces bigint, log_prob double, perturbed double, log_inclusion double, ids binary"
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -163,7 +161,7 @@ class Lattice:
         size = count[node]
         new = np.cumsum(size) - size
         by_depth = np.repeat(self.first[node] - new, size) + np.arange(edges)
-        total, best = np.zeros(n + words), np.zeros(n + words)
+        total, best, rest = np.zeros(n + words), np.zeros(n + words), np.zeros(n + words)
         self.best_edge = np.full(n + words, -1)
         lap = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1]])
         for a, z in zip(lap, np.r_[lap[1:], len(node)], strict=True):
@@ -172,14 +170,18 @@ class Lattice:
             value = score[e] + total[self.to[e]]
             most = np.maximum.reduceat(value, at)
             total[these] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, many)), at))
+            chance = np.exp(value - np.repeat(total[these], many))
             value = score[e] + best[self.to[e]]
             most = np.maximum.reduceat(value, at)
             best[these] = most
             top = np.flatnonzero(value == np.repeat(most, many))[::-1]
             self.best_edge[np.repeat(these, many)[top]] = e[top]  # of ties, the first
+            # chance of any completion but the best: a sum without differences, so the smallest chances count
+            chance[e == np.repeat(self.best_edge[these], many)] *= rest[self.to[self.best_edge[these]]]
+            rest[these] = np.add.reduceat(chance, at)
         self.log_c = score + total[self.to] - np.repeat(total, count)
         self.c = np.exp(self.log_c)
-        self.rest = -np.expm1(np.minimum(best - total, 0))  # chance of any completion but the best
+        self.rest = rest
         self.start, self.end = starts[:-1] + np.arange(words), node_end
         # the best path of each word
         who, cur, edges, owner = np.arange(words), self.start.copy(), [], []
@@ -228,20 +230,42 @@ class Lattice:
         edges, size = edges[order], np.bincount(owner, minlength=len(words))
         return edges, size, np.add.reduceat(self.log_c[edges], np.cumsum(size) - size)
 
+    def left(self, word: int, shut: list[tuple]) -> list[np.ndarray]:
+        """For each of `shut` and each of its places, the chance of all completions there that are not in `shut`; sums without differences."""
+        deepest = max(map(len, shut))
+        out = [np.zeros(len(x) + 1) for x in shut]
+        for d in range(deepest - 1, -1, -1):
+            seen: dict[tuple, float] = {}
+            for k, x in enumerate(shut):
+                if d >= len(x):
+                    continue
+                if (known := seen.get(x[:d])) is None:
+                    node = int(self.start[word]) if d == 0 else int(self.to[x[d - 1]])
+                    on = {y[d]: out[j][d + 1] for j, y in enumerate(shut) if d < len(y) and y[:d] == x[:d]}
+                    known, at = 0.0, int(self.first[node])
+                    for e in sorted(on):
+                        known += float(self.c[at:e].sum()) + float(self.c[e]) * on[e]
+                        at = e + 1
+                    known += float(self.c[at : int(self.first[node + 1])].sum())
+                    seen[x[:d]] = known
+                out[k][d] = known
+        return out
+
     def outside(self, word: int, shut: list[tuple], key: np.uint64) -> tuple | None:
         """A segmentation of a word that is none of `shut`, all as tuples of edges; None if there is no other."""
-        cur, end, out, live = int(self.start[word]), int(self.end[word]), [], shut
+        left = self.left(word, shut)
+        cur, end, out, live = int(self.start[word]), int(self.end[word]), [], list(range(len(shut)))
+        if left[0][0] <= 0:
+            return None
         while cur != end:
             a, z = int(self.first[cur]), int(self.first[cur + 1])
             w = self.c[a:z].copy()
-            for x in live:
-                w[x[len(out)] - a] -= self.c[x[len(out)]] * np.exp(self.log_c[list(x[len(out) + 1 :])].sum())
-            w = np.cumsum(np.maximum(w, 0))
-            if w[-1] <= 0:
-                return None
+            for e in {shut[k][len(out)]: k for k in live}.items():
+                w[e[0] - a] *= left[e[1]][len(out) + 1]
+            w = np.cumsum(w)
             e = a + int(np.searchsorted(w, _uniform(key + np.uint64(len(out) + 1) * _C[3]) * w[-1], side="right"))
-            e = min(e, z - 1)
-            live = [x for x in live if x[len(out)] == e]
+            e = min(e, a + int(np.searchsorted(w, w[-1])))
+            live = [k for k in live if shut[k][len(out)] == e]
             out.append(e)
             cur = int(self.to[e])
         return tuple(out)
@@ -377,7 +401,7 @@ def _sampled(first: np.ndarray, kind: np.ndarray, keys: np.ndarray, pool: Pool,
     place = np.arange(n_words) - first[doc]
     base = keys[doc] + place.astype(np.uint64) * _C[1]
     live = np.flatnonzero(np.diff(first) > 0)
-    p_best, only = np.exp(pool.log[kind]), lat.rest[lat.start[kind]] <= NONE
+    p_best, only = np.exp(pool.log[kind]), lat.rest[lat.start[kind]] <= 0
     # of each text: the queue's nodes (perturbed, sample whose prefix it has, word, segmentations shut out)
     queue: list[list[tuple]] = [[] for _ in range(docs)]
     chosen: list[np.ndarray] = []
@@ -406,7 +430,7 @@ def _sampled(first: np.ndarray, kind: np.ndarray, keys: np.ndarray, pool: Pool,
         before = np.cumsum(lw) - lw
         gone = np.exp(lw)
         with np.errstate(divide="ignore"):
-            side = np.where(gone < 1 - NONE, np.log1p(-np.minimum(gone, 1.0)), -np.inf)
+            side = np.where(seg == kind, np.log(lat.rest[lat.start[kind]]), np.log1p(-np.minimum(gone, 1.0)))
         perturbed = -np.logaddexp(-top[doc], -(before - before[first[doc]] + side + _gumbel(base + salt * np.uint64(5))))
         perturbed[~fresh] = -np.inf
         total = np.zeros(docs)
@@ -434,8 +458,8 @@ def _sampled(first: np.ndarray, kind: np.ndarray, keys: np.ndarray, pool: Pool,
                 if drawn is None:
                     continue
                 shut = [*shut, drawn]
-                rest = 1.0 - sum(float(np.exp(lat.log_c[list(x)].sum())) for x in shut)
-                if rest > NONE:
+                rest = float(lat.left(int(kind[word]), shut)[0][0])
+                if rest > 0:
                     pre = float(pool.log[chosen[p][a:word]].sum())
                     g = float(_gumbel(base[word : word + 1] + np.uint64(r + 2) * _C[2] * np.uint64(11))[0])
                     q.append((float(-np.logaddexp(-value, -(pre + np.log(rest) + g))), p, word, shut))
