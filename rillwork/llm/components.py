@@ -33,29 +33,24 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
 
 
-def _state(links: DataFrame) -> tuple:
-    """Number of links and two sums of hashes of theirs: alike only for the same set of links."""
-    sums = (F.sum(F.xxhash64("a", "b", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2))
-    return tuple(links.agg(F.count("*"), *sums).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """From links (a, b) of longs: one row (node, root) for each linked node; root is the smallest node it reaches.
 
     Each round links every larger neighbour of a node to the node's smallest neighbour, then does so for smaller ones, until the links
-    are stars; the number of rounds grows with the logarithm of the longest path. A node with many links is met in parts.
+    are stars: every node with a smaller neighbour has that one alone. The number of rounds grows with the logarithm of the longest
+    path. A node with many links is met in parts.
     """
     now = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").mapInArrow(_forest, EDGE).distinct(), "links")
-    state = _state(now)
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
-        large = stored(attach(both, least, "a", "_n", 2 * state[0], "inner").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct(), "large")
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n"), "least")
+        if least.filter("m < a and _n > 1").isEmpty():
+            dropped(least)
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
+        total = now.count()
+        large = stored(attach(both, least, "a", "_n", 2 * total, "inner").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct(), "large")
         low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("_n"))
-        met = attach(large, low, "b", "_n", state[0], "inner")
-        new = stored(met.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct(), "links")
-        after = _state(new)
-        dropped(now, large)
-        if after == state:
-            return new.select(F.col("b").alias("node"), F.col("a").alias("root")).union(new.select("a", "a").distinct())
-        now, state = new, after
+        met = attach(large, low, "b", "_n", total, "inner")
+        new = stored(met.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").mapInArrow(_forest, EDGE).distinct(), "links")
+        dropped(now, large, least)
+        now = new

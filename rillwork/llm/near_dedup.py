@@ -6,9 +6,10 @@ a place keeps the least offer, so places are filled without repetition; a text s
 next rank. Nodes that agree in all rows of a band are in one bucket; buckets of one node are dropped at once. In each of two turns a
 bucket has a centre, and each node tries the centre that it meets in most buckets. Buckets whose members the confirmed links don't
 join stay: a node leaves those where no partner can be near enough, by the shingles that it has alone, and the rest is compared pair by
-pair inside the bucket. A bucket of more than `block` such nodes is parted by the nodes' values in each later band, so a pair meets in
-the first two bands that it shares (a pair at the threshold that shares one band alone, some 1 in 100,000, is missed there), and what is
-still larger is dealt to pairs of blocks. Every link is confirmed on the full sets. Buckets, centres and components of any size are
+pair inside the bucket, in blocks: nodes of the bucket's largest component meet its other nodes only, and these meet each other. A bucket
+of more than `block` such other nodes is parted by the nodes' values in each later band before, so a pair meets in the first two bands
+that it shares (a pair at the threshold that shares one band alone, some 1 in 100,000, is missed there). Every link is confirmed on the
+full sets. Buckets, centres and components of any size are
 joined in parts.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with fewer words
@@ -245,16 +246,15 @@ def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         rows = _met(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")))
         return stored(rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), PAIR), "confirmed")
 
-    links = roots = None
+    roots = None
     for turn in range(2):
         found = confirmed(likely(_centre_pairs(placed, turn)))
-        links = found if links is None else links.union(found)
-        roots = stored(components(links), "roots")
+        roots = stored(components(found if roots is None else found.union(roots.select("root", "node"))), "roots")
         before, placed = placed, _unsettled(placed, roots)
         dropped(before)
     close = stored(_apart_pairs(placed, traits, sets, num, den, least, block), "close")
     if not close.isEmpty():
-        roots = stored(components(links.union(confirmed(close))), "roots")
+        roots = stored(components(confirmed(close).union(roots.select("root", "node"))), "roots")
     linked = roots.join(nodes.select("node", "doc_id"), "node")
     lowest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n"))
     answer = stored(attach(linked, lowest, "root", "_n", roots.count(), "inner").select(F.col("node").alias("_node"), "component_id"), "answer")
@@ -305,24 +305,34 @@ def _apart_pairs(placed: DataFrame, traits: DataFrame, sets: DataFrame, num: int
     sized = stored(placed.drop("_n").join(known.select("node", "n_shingles", "alone"), "node"), "sized")
     low = sized.groupBy("bucket").agg(F.min("n_shingles").alias("_low"), F.count("*").alias("_n"))
     can = stored(attach(sized, low, "bucket", "_n", sized.count(), "inner").filter(f"{den + num} * (n_shingles - alone) >= {num} * (n_shingles + _low)").select("bucket", "band", "node", "root"), "can")
-    small, large = _by_size(can, ["bucket"], block)
-    later = large.join(known.select("node", F.posexplode("bands").alias("second", "_value")), "node").filter("second > band")
-    parted = stored(later.select(F.xxhash64("bucket", "_value").alias("bucket"), "band", "second", "node", "root"), "parted")
-    fine, rest = _by_size(parted, ["bucket"], block)
-    parts = F.ceil(F.col("_n") / block).cast("int")
-    part, other = F.col("_mine"), F.col("_other")
-    dealt = rest.select("bucket", "band", "second", "node", "root", F.sequence(F.lit(0), parts - 1).alias("_all"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("_mine")).withColumn("_other", F.explode("_all"))
-    side = F.when(part < other, 1).when(part > other, 2).otherwise(0)
-    blocks = dealt.select("bucket", "band", "second", "node", "root", F.least(part, other).alias("p"), F.greatest(part, other).alias("q"), side.alias("side"))
-    whole = small.withColumn("second", F.lit(-1)).unionByName(fine).drop("_n").withColumns({c: F.lit(0) for c in ("p", "q", "side")})
-    return whole.unionByName(blocks).join(known, "node").groupBy("bucket", "p", "q").applyInArrow(_block_pairs(num, den, least), PAIR)
-
-
-def _by_size(rows: DataFrame, key: list[str], block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups of at most `block` rows, and of larger ones, with their sizes; groups of one component are left out."""
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select(*key, "_n")
-    met = stored(attach(rows, sizes, key[0], "_n", rows.count(), "inner"), "by-size")
-    return met.filter(F.col("_n") <= block), met.filter(F.col("_n") > block)
+    small, large = _by_minor(can.withColumn("second", F.lit(-1)), block)
+    later = large.drop("second").join(known.select("node", "bands"), "node").select("*", F.posexplode("bands").alias("second", "_value")).filter("second > band")
+    fine, rest = _by_minor(later.select(F.xxhash64("bucket", "_value").alias("bucket"), "band", "node", "root", "second"), block)
+    dealt = _dealt(small.unionByName(fine).unionByName(rest), block)
+    return dealt.join(known, "node").groupBy("bucket", "kind", "p", "q").applyInArrow(_block_pairs(num, den, least), PAIR)
+
+
+def _by_minor(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets with at most `block` nodes outside of the bucket's largest component, and of other buckets; with the number of
+    such nodes (_minor), of the others (_major), and whether a row is one (minor). Buckets of one component are left out."""
+    of = rows.groupBy("bucket", "root").agg(F.count("*").alias("_k")).groupBy("bucket").agg(F.max(F.struct("_k", "root")).alias("top"), F.sum("_k").alias("_n"))
+    sizes = of.filter("_n > top._k").select("bucket", "_n", F.col("top._k").alias("_major"), F.col("top.root").alias("_top"), (F.col("_n") - F.col("top._k")).alias("_minor"))
+    met = stored(attach(rows, sizes, "bucket", "_n", rows.count(), "inner").withColumn("minor", F.col("root") != F.col("_top")).drop("_n", "_top"), "by-minor")
+    return met.filter(F.col("_minor") <= block), met.filter(F.col("_minor") > block)
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows in groups (bucket, kind, p, q): kind 0 holds part p of the minor nodes beside part q of the major ones, kind 1 two parts of the
+    minor nodes. side tells both sides of a group apart; in a group of one part all are 0."""
+    parts = {x: F.greatest(F.ceil(F.col(f"_{x}") / block), F.lit(1)).cast("int") for x in ("minor", "major")}
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), parts["minor"]).otherwise(parts["major"])).cast("int")
+    all_of = lambda x: F.sequence(F.lit(0), parts[x] - 1)
+    place = lambda kind, p, q, side: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.alias("side"))
+    side = lambda o: F.when(mine < o, 1).when(mine > o, 2).otherwise(0)
+    beside = F.transform(all_of("major"), lambda o: place(0, mine, o, F.lit(2)))
+    among = F.transform(all_of("minor"), lambda o: place(1, F.least(mine, o), F.greatest(mine, o), side(o)))
+    major = F.transform(all_of("minor"), lambda o: place(0, o, mine, F.lit(1)))
+    return rows.select("bucket", "band", "second", "node", "root", F.explode(F.when(F.col("minor"), F.concat(beside, among)).otherwise(major)).alias("at")).select("bucket", "band", "second", "node", "root", "at.*")
 
 
 def _answered(prints: DataFrame, answer: DataFrame) -> DataFrame:
