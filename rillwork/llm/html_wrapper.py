@@ -5,13 +5,18 @@ a host merge into its template: matched nodes add up their pages, text digests a
 that they hold first, then templates of a host meet in blocks of `fan_in`, round by round, so that a host with a third of all pages
 is nobody's single group. A node's text that at least half of its pages repeat (and MIN_PAGES of them) is template; what varies is a
 slot. Merging keeps a template small by forgetting what few of its pages have; so the texts of each label path are also counted over the
-host in one aggregation, and what is constant on a path that at most FEW of the pages have is template as well. Slots that are boxes of another role (menu, advert, form, comments) or mostly links over the whole host are left out. Elements
-that have such a role in HTML are out at once. A class, id or ARIA role only makes a candidate, and only where the whole name says so
-(`comments`, `cookie-notice`, `left-sidebar`, not `comments-open` or `has-sidebar`). Candidates are part of trees and templates, and one
-is content after all if it is an article or main element, has one in it, or holds most of the page's text that varies over the host; `article` or `main` elements, where a page has them, hold the content.
+host in one aggregation, and what is constant on a path that at most FEW of the pages have is template as well.
+
+The template says where the content is: going down from its root as long as one box holds CONTENT of the varying, unlinked text of all
+pages of the host, or is their `article` or `main` element. On a page that has that box, slots beside it are left out, whatever they are
+called; only text and text elements right in the boxes around it stay. Inside, slots that are boxes of another role (menu, advert, form, comments) or mostly
+links over the whole host are left out. Elements of such a role in HTML are out, but part of trees and templates. A class, id or ARIA
+role only makes a candidate, and only where the whole name says so (`comments`, `cookie-notice`, `left-sidebar`, not `comments-open` or
+`has-sidebar`). A candidate is content after all if it is an article or main element, has one in it, or holds most of the page's text
+that varies over the host. Where a page hasn't the template's box, its own `article` or `main` elements hold the content.
 
 Defined cases: a null or empty html gives an empty text; a page alone on its host has no template, and roles decide; equal pages of a
-host count once; where no text varies over a host at all its pages are copies of one another, and their text stays; a null url is a host of its own; repeated rows stay repeated; elements deeper than MAX_DEPTH join the element at that depth; an empty
+host count once; where no text varies over a host at all its pages are copies of one another, and their text stays; a null url is a host of its own; repeated rows stay repeated; elements deeper than MAX_DEPTH join the element at that depth, but boxes of another role stay apart; an empty
 table gives an empty result; other columns don't matter. White space is what str.split takes for it.
 """
 
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rillwork.llm.common import attach, slices, stored
 
-MIN_PAGES, SHARE, MAX_DEPTH, RARE, FEW = 4, 0.5, 100, 0.05, 0.2
+MIN_PAGES, SHARE, MAX_DEPTH, RARE, FEW, CONTENT = 4, 0.5, 100, 0.05, 0.2, 0.9
 #: Templates of all hosts together are broadcast up to this many bytes, and joined by host beyond.
 BROADCAST_BYTES = 8 << 20
 
@@ -50,7 +55,9 @@ NEUTRAL = set("site page top bottom left right primary secondary main global box
 
 # Those of them that name readers' replies, which may be longer than the article.
 REPLIES = set("comment comments commentlist reply replies respond disqus".split())
-BESIDE_MARK = " !"  # at the end of a candidate's label
+BESIDE_MARK, ASIDE_MARK = " !", " ~"  # at the end of a label: of a candidate; of an element of another role
+# HTML elements that hold one block of text or a list of them.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption address".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -91,7 +98,7 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
     aside = tag in ASIDE or (tag == "header" and not inside)
     aside |= "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
     label = re.sub(r"\d+", "", f"{tag} {' '.join(sorted(names.get('class', '').split()))} #{names.get('id', '')}") if named.strip() else tag
-    label += BESIDE_MARK if beside else ""
+    label += ASIDE_MARK if aside else BESIDE_MARK if beside else ""
     return Node(tag, label, aside, beside)
 
 
@@ -148,8 +155,8 @@ def parse(page: str) -> Node:
                         break
                     if stack[i].tag in until:
                         break
-            if len(stack) < MAX_DEPTH:
-                node = _element(tag, m[3], scopes > 0)
+            node = _element(tag, m[3], scopes > 0)
+            if len(stack) < MAX_DEPTH or (len(stack) == MAX_DEPTH and (node.aside or node.beside)):
                 stack[-1].items.append(node)
                 stack.append(node)
                 scopes += tag in ("article", "main")
@@ -174,9 +181,8 @@ def fold(node: Node) -> list:
     own = node.own()
     chars, links = node.link_chars()
     out = [node.label, 1, {_digest(own): 1} if own else {}, chars, links, []]
-    if not node.aside:
-        for run in runs([x for x in node.children() if not x.aside]):
-            out[5].append(fold_run(run))
+    for run in runs(node.children()):
+        out[5].append(fold_run(run))
     return out
 
 
@@ -282,7 +288,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = [(0, json.loads(tree), False)]
             while waiting:
                 above, t, beside = waiting.pop()
-                path, beside = _below(above, t[0]), beside or t[0].endswith(BESIDE_MARK)
+                path, beside = _below(above, t[0]), beside or t[0].endswith((BESIDE_MARK, ASIDE_MARK))
                 seen |= dict.fromkeys([(path, None), *((path, k) for k in t[2])], beside)
                 waiting += [(path, x, beside) for x in t[5]]
             hosts += [host] * len(seen)
@@ -368,33 +374,58 @@ def _constant(own: list[str], t: list | None) -> bool:
     return bool(own) and t is not None and t[1] >= MIN_PAGES and t[2].get(_digest(own), 0) >= max(MIN_PAGES, SHARE * t[1])
 
 
-def _places(node: Node, t: list | None) -> dict[int, list]:
-    """The template's node for each child that has one."""
+def _placed(root: Node, template: list | None) -> dict[int, list]:
+    """The template's node of each of the page's nodes that has one."""
     out = {}
-    if t is not None:
-        groups = runs([x for x in node.children() if not x.aside])
+    waiting = [(root, template)] if template is not None else []
+    while waiting:
+        node, t = waiting.pop()
+        out[id(node)] = t
+        groups = runs(node.children())
         if t[5] and groups:
             for i, j in align([fold_run(g) for g in groups], t[5]):
-                out |= {id(x): t[5][j] for x in groups[i]}
+                waiting += [(x, t[5][j]) for x in groups[i]]
     return out
 
 
-def _settle(root: Node, template: list | None, more: dict) -> bool:
+def content_box(template: list) -> list[list]:
+    """The template's nodes from its root to the one that holds the content of the host's pages; none if that is no single box."""
+
+    def mass(t: list, marked: bool) -> int:
+        if t[0].endswith(ASIDE_MARK) or (t[0].endswith(BESIDE_MARK) and not marked):
+            return 0
+        constant = any(n >= max(MIN_PAGES, SHARE * t[1]) for n in t[2].values())
+        own = 0 if constant or 2 * t[4] > t[3] else t[3] - t[4]
+        return own + sum(mass(x, marked) for x in t[5])
+
+    marked = mass(template, False) == 0
+    whole = mass(template, marked)
+    if not whole or template[1] < MIN_PAGES:
+        return []
+    chain = [template]
+    while chain[-1][0].split(" ")[0] not in ("article", "main"):
+        found = next((x for x in chain[-1][5] if x[0].split(" ")[0] not in TEXTUAL and mass(x, marked) >= CONTENT * whole), None)
+        if found is None:
+            break
+        chain.append(found)
+    return chain if len(chain) > 1 else []
+
+
+def _settle(root: Node, placed: dict[int, list], more: dict) -> bool:
     """Clears `beside` of candidates that are content; whether one is because of its share of the page's text.
 
     The share is of text that varies over the host and isn't links; of all text but links where only candidates vary at all."""
     held: list[tuple[Node, int]] = []
 
-    def weigh(node: Node, t: list | None, above: int) -> tuple[int, bool]:
-        path = _below(above, node.label)
+    def weigh(node: Node, above: int) -> tuple[int, bool]:
+        path, t = _below(above, node.label), placed.get(id(node))
         own = node.own()
         chars, links = (t[3], t[4]) if t is not None and t[1] >= MIN_PAGES else node.link_chars()
         fixed = 2 * links > chars or (more["varies"] and (_constant(own, t) or f"{path}:{_digest(own)}" in more["rare"]))
         n, article = 0 if fixed else sum(map(len, own)), node.tag in ("article", "main") and not node.beside
-        places = _places(node, t)
         for x in node.children():
             if not x.aside:
-                held_text, has = weigh(x, places.get(id(x)), path)
+                held_text, has = weigh(x, path)
                 n, article = n + held_text, article or has
         if node.beside:
             node.beside = not article and node.tag not in ("article", "main")
@@ -402,31 +433,36 @@ def _settle(root: Node, template: list | None, more: dict) -> bool:
                 held.append((node, n))
         return n, article
 
-    total, _ = weigh(root, template, 0)
+    total, _ = weigh(root, 0)
     most = [x for x, n in held if n and (n == total if REPLIES & {y.lower() for y in _PART.findall(x.label)} else 2 * n > total)]
     for x in most:
         x.beside = False
     return bool(most)
 
 
-def main_text(page: str, template: list | None) -> str:
+def main_text(page: str, template: list | None, chain: list[list] = ()) -> str:
+    """chain: the template's content_box()."""
     root = parse(page)
+    placed = _placed(root, template)
     more = template[6] if template is not None and len(template) > 6 else {"varies": True, "rare": ()}
-    keep = not _settle(root, template, more) and not more["varies"]
+    keep = not _settle(root, placed, more) and not more["varies"]
+    box, around = (chain[-1] if chain else None), {id(t) for t in chain[:-1]}
+    boxed = box is not None and any(t is box for t in placed.values())
     scope = _has(root, "article") or _has(root, "main")
     found: list[tuple[str, bool]] = []  # block, constant over the host
 
-    def walk(node: Node, t: list | None, inside: bool, above: int) -> None:
-        inside |= node.tag == scope
-        path = _below(above, node.label)
+    def walk(node: Node, inside: bool, beside: bool, above: int) -> None:
+        """beside: the node stands right in a box around the content."""
+        path, t = _below(above, node.label), placed.get(id(node))
+        inside |= t is box if boxed else node.tag == scope
         own = node.own()
-        here = bool(own) and (inside or not scope)
+        outer = id(t) in around
+        here = bool(own) and (inside or (outer or (beside and node.tag in TEXTUAL) if boxed else not scope))
         if here and not inside:
             chars, links = (t[3], t[4]) if t is not None and t[1] >= MIN_PAGES else node.link_chars()
             here = 2 * links <= chars
         fixed = here and (_constant(own, t) or f"{path}:{_digest(own)}" in more["rare"])
         blocks = iter(own)
-        places = _places(node, t)
         open_text = False
         for x in [*node.items, None]:
             if isinstance(x, tuple):
@@ -438,9 +474,12 @@ def main_text(page: str, template: list | None) -> str:
                     found.append((block, fixed))
                 open_text = False
             if isinstance(x, Node) and not x.aside and not x.beside:
-                walk(x, places.get(id(x)), inside, path)
+                walk(x, inside, outer, path)
 
-    walk(root, template, False, 0)
+    walk(root, False, False, 0)
+    if boxed and not found:  # the box is of another role on this page
+        boxed = False
+        walk(root, False, False, 0)
     return " ".join(x for x, f in found if not f or keep)
 
 
@@ -455,16 +494,17 @@ def _has(root: Node, tag: str) -> str:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list] = {}
+    known: dict[str, tuple] = {None: (None, [])}
     for b in slices(batches, "html"):
         texts = []
         for page, tree in zip(b.column("html").to_pylist(), b.column("tree").to_pylist(), strict=True):
-            if tree is not None and tree not in known:
+            if tree not in known:
                 if len(known) > 256:
-                    known.clear()
-                known[tree] = json.loads(tree)
-                known[tree][6]["rare"] = set(known[tree][6]["rare"])
-            texts.append(main_text(page or "", known.get(tree)))
+                    known = {None: (None, [])}
+                template = json.loads(tree)
+                template[6]["rare"] = set(template[6]["rare"])
+                known[tree] = template, content_box(template)
+            texts.append(main_text(page or "", *known[tree]))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

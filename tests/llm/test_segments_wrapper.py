@@ -190,3 +190,32 @@ def test_long_replies_and_changing_adverts(spark):
     rows = [(i, "http://a.example/", long.format(i)) for i in range(6)] + [(10 + i, "http://b.example/", copies.format(i)) for i in range(6)]
     out = {r.page_id: r.text for r in hw.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert out == {i: f"short {i}" for i in range(6)} | {10 + i: "one and the same article of some length" for i in range(6)}
+
+
+def test_alignment_alone_finds_the_article(spark, monkeypatch):
+    """Without any list of roles the host's template says what is content; without the template the boxes beside it stay."""
+    page = "<nav><ul><li><a href=x>m{0}</a><li><a href=y>n{0}</a></ul></nav><div class=ad>buy {0} now</div><article><h1>T{0}</h1>" + "<p>story {0} says {0} and more, at length, of many things</p>" * 6 + "</article><footer>at {0} h</footer>"
+    rows = [(i, "http://a.example/", page.format(i)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {i: " ".join([f"T{i}"] + [f"story {i} says {i} and more, at length, of many things"] * 6) for i in range(12)}
+    assert {r.page_id: r.text for r in hw.main_texts(pages).collect()} == want
+    for name, value in (("ASIDE", {"head"}), ("BESIDE", set()), ("_has", lambda root, tag: "")):
+        monkeypatch.setattr(hw, name, value)
+    trees = [hw.fold(hw.parse(h)) for _, _, h in rows]
+    template = [*hw._merged(trees), {"varies": True, "rare": set()}]
+    box = hw.content_box(template)
+    assert [x[0] for x in box] == ["html", "article"] and {i: hw.main_text(h, template, box) for i, _, h in rows} == want
+    assert all(hw.main_text(h, None) != want[i] for i, _, h in rows)
+    monkeypatch.setattr(hw, "align", lambda a, b: [])
+    assert hw.content_box([*hw._merged(trees), {}]) == []
+
+
+def test_roles_deeper_than_the_tree(spark):
+    deep = "<div>" * 300 + "kept<nav>menu <b>x</b></nav><div class=sidebar>side</div> too" + "</div>" * 300
+    assert hw.main_text(deep, None) == "kept too"
+
+
+def test_content_box_of_another_role_on_a_page():
+    many = [f"<div id=main-text><p>text {i} of some length that varies</p></div><p>x</p>" for i in range(9)]
+    template = [*hw._merged([hw.fold(hw.parse(x)) for x in many]), {"varies": True, "rare": set()}]
+    assert hw.main_text("<section><p>another page</p></section>", template, hw.content_box(template)) == "another page"
