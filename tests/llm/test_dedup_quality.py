@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -204,9 +205,96 @@ def test_words_of_very_long_texts():
     assert w.counts().tolist() == [1_400_001, 0, 1] and len(set(w.hash.tolist())) == 4
 
 
-def test_runs_merge_over_batches():
-    schema = pa.schema([("shard", pa.int32()), ("run", pa.int32()), ("key", pa.binary()), ("keep_id", pa.int64()), pa.field("group_size", pa.int64(), nullable=False)])
-    rows = [(0, 0, b"a", 5, 1), (0, 0, b"a", 3, 2), (0, 0, b"b", None, 1), (0, 0, b"b", 4, 1), (0, 0, b"c", None, 1), (1, 0, b"c", 9, 1)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, schema.types, strict=True)], schema=schema) for r in rows]
-    out = pa.Table.from_batches(exact_dedup._merge(False)(iter(batches))).to_pylist()
-    assert [tuple(r.values()) for r in out] == [(0, 0, b"a", 3, 3), (0, 0, b"b", 4, 2), (0, 0, b"c", None, 1), (1, 0, b"c", 9, 1)]
+@pytest.mark.parametrize("pick", [np.minimum, np.maximum])
+def test_runs_merge_block_by_block(pick):
+    """Several runs of sorted blocks, one block a batch, against a dictionary."""
+    rng, want, blocks = np.random.default_rng(6), {}, []
+    for run in range(5):
+        keys = sorted({int(x) for x in rng.integers(0, 400, 120)})
+        for at in range(0, len(keys), 7):
+            own = keys[at : at + 7]
+            ids, has, sizes = rng.integers(-50, 50, len(own)), rng.random(len(own)) < 0.8, rng.integers(1, 5, len(own))
+            raw = [k.to_bytes(exact_dedup.WIDTH, "big") for k in own]
+            blobs = [raw[0], b"".join(raw), ids.astype(np.int64).tobytes(), has.tobytes(), sizes.astype(np.int64).tobytes()]
+            blocks.append((raw[0], pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["shard", "run", "first", "keys", "ids", "has", "sizes"])))
+            for k, i, h, n in zip(own, ids.tolist(), has.tolist(), sizes.tolist(), strict=True):
+                old_id, old_n = want.get(k, (None, 0))
+                best = old_id if not h else i if old_id is None else int(pick(old_id, i))
+                want[k] = (best, old_n + n)
+    batches = [b for _, b in sorted(blocks, key=lambda x: x[0])]
+    for last in (True, False):
+        out = pa.Table.from_batches(exact_dedup._merge(pick, last)(iter(batches)))
+        if last:
+            assert [(int.from_bytes(r["key"], "big"), (r["keep_id"], r["group_size"])) for r in out.to_pylist()] == sorted(want.items())
+        else:
+            keys = b"".join(out["keys"].to_pylist())
+            assert [int.from_bytes(keys[i : i + exact_dedup.WIDTH], "big") for i in range(0, len(keys), exact_dedup.WIDTH)] == sorted(want)
+
+
+CLASH = "doc_id bigint, text string, _text string, _clean string, _kept string, _sha2 string, _place string, _place_kept string, _parts int, bucket int"
+
+
+def test_columns_of_any_name_pass_through(spark):
+    prose = "\n".join(f"Line {i} has w{i}, x{i} with y{i} and z{i}." for i in range(20))
+    more = ("t", "c", "k", "s", "p", "q", 5, 6)
+    docs = spark.createDataFrame([(1, prose, *more), (2, prose, *more), (3, None, *more), (1, prose, *more)], CLASH)
+    kept = quality.clean(docs, remove_lines=True)
+    assert kept.columns == docs.columns and [r[2:] for r in kept.collect()] == [more] * 3
+    one = exact_dedup.drop_copies(docs)
+    assert one.columns == docs.columns and sorted((r[0], r[2:]) for r in one.collect()) == [(1, more), (3, more)]
+    near = near_dedup.drop_near_copies(docs)
+    assert near.columns == docs.columns and sorted(r["doc_id"] for r in near.collect()) == [1, 1, 3]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All four stages on a small table, each against a plain version of what it keeps."""
+    import corpus_pipeline
+    from rillwork.llm.tokens import default_vocabulary, encoding
+
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+
+    def prose(lines):
+        return [" ".join(rng.choice(vocab) for _ in range(9)).capitalize() + "." for _ in range(lines)]
+
+    rows, i = [], 0
+    for _ in range(30):
+        base = prose(rng.choice([4, 12, 40]))
+        for _ in range(rng.choice([1, 1, 3])):
+            lines = list(base)
+            if rng.random() < 0.5:
+                lines[rng.randrange(len(lines))] = prose(1)[0]
+            if rng.random() < 0.5:
+                lines.insert(rng.randrange(len(lines)), "All rights reserved.")
+            rows.append((i, "\n".join(lines), "en", "s", 1))
+            i += 1
+    rows += [(500, None, "en", "s", 1), (501, "", "en", "s", 1), (502, rows[0][1], "en", "s", 1), (503, "\n".join(["menu"] * 80), "en", "s", 1), (None, "\n".join(prose(12)), "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = {}
+    for d, t, *_ in rows:
+        lines = [x for k, x in enumerate((t or "").split("\n")) if x != "All rights reserved." and x not in (t or "").split("\n")[:k]]
+        if len(re.findall(WORD, t or "")) >= 50 and len(set((t or "").split("\n"))) > 2:
+            kept[d] = "\n".join(lines)
+    smallest = {}
+    for d, t in kept.items():
+        if t not in smallest or (d is not None and d < smallest[t]):
+            smallest[t] = d
+    left = [(d, t, None, None, None, None) for t, d in smallest.items()]
+    root = {r[1]: r[3] for r in brute_near(left, 5, 80, 100) if r[0]}
+    left = {d: t for d, t, *_ in left if d is None or root[d] == d}
+    assert len(left) < len(smallest) < len(kept) < len(rows)
+    enc = encoding(default_vocabulary())
+    ids = {d: enc.encode(t, allowed_special="all") + [1] for d, t in left.items()}
+    assert {r["doc_id"] for r in got} == set(left)
+    for r in got:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    assert sum(r["length"] for r in got) == sum(map(len, ids.values()))
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        places.sort()
+        assert all(o == sum(n for _, n in places[:k]) for k, (o, _) in enumerate(places)) and sum(n for _, n in places) <= 2048
