@@ -6,10 +6,8 @@ a place keeps the least offer, so places are filled without repetition; a text s
 next rank. Nodes that agree in all rows of a band are in one bucket; buckets of one node are dropped at once. In each of two turns a
 bucket has a centre, and each node tries the centre that it meets in most buckets. Buckets whose members the confirmed links don't
 join stay: a node leaves those where no partner can be near enough, by the shingles that it has alone, and the rest is compared pair by
-pair inside the bucket, in blocks: nodes of the bucket's largest component meet its other nodes only, and these meet each other. A bucket
-of more than `block` such other nodes is parted by the nodes' values in each later band before, so a pair meets in the first two bands
-that it shares (a pair at the threshold that shares one band alone, some 1 in 100,000, is missed there). Every link is confirmed on the
-full sets. Buckets, centres and components of any size are
+pair inside the bucket, in blocks of `block` nodes: nodes of the bucket's largest component meet its other nodes only, and these meet each
+other. Every link is confirmed on the full sets. Buckets, centres and components of any size are
 joined in parts.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with fewer words
@@ -170,7 +168,7 @@ def _like(num: int, den: int) -> int:
 
 def _block_pairs(num: int, den: int, least: int):
     """Inside a group (or between its two sides): pairs of different components, near enough in size, signature and parities (these
-    bound the elements that only one of both has from below, so they lose no link); each pair in the first bands that both share."""
+    bound the elements that only one of both has from below, so they lose no link); each pair in the first band that both share."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -178,7 +176,7 @@ def _block_pairs(num: int, den: int, least: int):
         s = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(len(t), SIZE)
         parity = np.frombuffer(b"".join(t["parity"].to_pylist()), np.uint64).reshape(len(t), PARITY // 64)
         bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        band, second = t["band"][0].as_py(), t["second"][0].as_py()
+        band = t["band"][0].as_py()
         found = []
         for i in range(len(t)):
             common = np.minimum(n - alone, n[i] - alone[i])
@@ -189,12 +187,8 @@ def _block_pairs(num: int, den: int, least: int):
             at = at[(s[at] == s[i]).sum(axis=1) >= least]
             apart = np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1, dtype=np.int64)
             at = at[(den + num) * apart <= (den - num) * (n[at] + n[i])]
-            same = bands[at] == bands[i]
-            good = same.argmax(axis=1) == band
-            if second >= 0:
-                same[:, : band + 1] = False
-                good &= same.any(axis=1) & (same.argmax(axis=1) == second)
-            found += [(node[i], node[j]) for j in at[good]]
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
+            found += [(node[i], node[j]) for j in at]
         found = np.array(found, np.int64).reshape(-1, 2)
         return pa.table([found[:, 0], found[:, 1]], names=["a", "b"])
 
@@ -225,7 +219,7 @@ def _met(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return attach(pairs.join(right, "b"), left.join(sizes, "a"), "a", "_n", pairs.count(), "inner")
 
 
-def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
     own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     per_band = bands_for(num, den)
@@ -305,20 +299,16 @@ def _apart_pairs(placed: DataFrame, traits: DataFrame, sets: DataFrame, num: int
     sized = stored(placed.drop("_n").join(known.select("node", "n_shingles", "alone"), "node"), "sized")
     low = sized.groupBy("bucket").agg(F.min("n_shingles").alias("_low"), F.count("*").alias("_n"))
     can = stored(attach(sized, low, "bucket", "_n", sized.count(), "inner").filter(f"{den + num} * (n_shingles - alone) >= {num} * (n_shingles + _low)").select("bucket", "band", "node", "root"), "can")
-    small, large = _by_minor(can.withColumn("second", F.lit(-1)), block)
-    later = large.drop("second").join(known.select("node", "bands"), "node").select("*", F.posexplode("bands").alias("second", "_value")).filter("second > band")
-    fine, rest = _by_minor(later.select(F.xxhash64("bucket", "_value").alias("bucket"), "band", "node", "root", "second"), block)
-    dealt = _dealt(small.unionByName(fine).unionByName(rest), block)
-    return dealt.join(known, "node").groupBy("bucket", "kind", "p", "q").applyInArrow(_block_pairs(num, den, least), PAIR)
+    return _dealt(_by_minor(can), block).join(known, "node").groupBy("bucket", "kind", "p", "q").applyInArrow(_block_pairs(num, den, least), PAIR)
 
 
-def _by_minor(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets with at most `block` nodes outside of the bucket's largest component, and of other buckets; with the number of
-    such nodes (_minor), of the others (_major), and whether a row is one (minor). Buckets of one component are left out."""
+def _by_minor(rows: DataFrame) -> DataFrame:
+    """Rows with the number of nodes in their bucket's largest component (_major), of the others (_minor), and whether a row is one of these
+    (minor). Buckets of one component are left out."""
     of = rows.groupBy("bucket", "root").agg(F.count("*").alias("_k")).groupBy("bucket").agg(F.max(F.struct("_k", "root")).alias("top"), F.sum("_k").alias("_n"))
     sizes = of.filter("_n > top._k").select("bucket", "_n", F.col("top._k").alias("_major"), F.col("top.root").alias("_top"), (F.col("_n") - F.col("top._k")).alias("_minor"))
-    met = stored(attach(rows, sizes, "bucket", "_n", rows.count(), "inner").withColumn("minor", F.col("root") != F.col("_top")).drop("_n", "_top"), "by-minor")
-    return met.filter(F.col("_minor") <= block), met.filter(F.col("_minor") > block)
+    met = attach(rows, sizes, "bucket", "_n", rows.count(), "inner")
+    return stored(met.withColumn("minor", F.col("root") != F.col("_top")).drop("_n", "_top"), "by-minor")
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -332,7 +322,7 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     beside = F.transform(all_of("major"), lambda o: place(0, mine, o, F.lit(2)))
     among = F.transform(all_of("minor"), lambda o: place(1, F.least(mine, o), F.greatest(mine, o), side(o)))
     major = F.transform(all_of("minor"), lambda o: place(0, o, mine, F.lit(1)))
-    return rows.select("bucket", "band", "second", "node", "root", F.explode(F.when(F.col("minor"), F.concat(beside, among)).otherwise(major)).alias("at")).select("bucket", "band", "second", "node", "root", "at.*")
+    return rows.select("bucket", "band", "node", "root", F.explode(F.when(F.col("minor"), F.concat(beside, among)).otherwise(major)).alias("at")).select("bucket", "band", "node", "root", "at.*")
 
 
 def _answered(prints: DataFrame, answer: DataFrame) -> DataFrame:
