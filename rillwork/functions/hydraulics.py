@@ -50,9 +50,9 @@ def wave_speeds(h_left: Column, u_left: Column, h_right: Column, u_right: Column
     return low, high
 
 
-def hll(h_left: Column, u_left: Column, v_left: Column, h_right: Column, u_right: Column, v_right: Column, dry: float = H_DRY) -> dict[str, Column]:
-    """Flux through a face: mass, normal momentum, tangential momentum (carried from upwind)."""
-    low, high = wave_speeds(h_left, u_left, h_right, u_right, dry)
+def hll(h_left: Column, u_left: Column, v_left: Column, h_right: Column, u_right: Column, v_right: Column, dry: float = H_DRY, speeds: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """Flux through a face: mass, normal momentum, tangential momentum (carried from upwind). speeds: wave_speeds() where they are columns already."""
+    low, high = speeds or wave_speeds(h_left, u_left, h_right, u_right, dry)
     q_left, q_right = h_left * u_left, h_right * u_right
     p_left, p_right = q_left * u_left + G / 2 * h_left * h_left, q_right * u_right + G / 2 * h_right * h_right
     both_dry = (h_left <= dry) & (h_right <= dry)

@@ -45,3 +45,23 @@ def profile(distance: Column, width: Column, kind: Column) -> Column:
 
 def sign_of(kind: Column) -> Column:
     return F.when(kind.isin("berm", "mound"), 1.0).otherwise(-1.0)
+
+
+def bounds(x: Column, y: Column, length: Column, width: Column, angle_deg: Column) -> dict[str, Column]:
+    """The box around a primitive: its centre line's ends and half its width beyond."""
+    ax, ay = half_axis(length, angle_deg)
+    dx, dy = F.abs(ax) + width / 2, F.abs(ay) + width / 2
+    return {"x_min": x - dx, "x_max": x + dx, "y_min": y - dy, "y_max": y + dy}
+
+
+def footprint(x: Column, y: Column, length: Column, width: Column, angle_deg: Column) -> Column:
+    """An array of structs (x, y): the stadium around a straight primitive, 17 points around each end."""
+    a = F.radians(angle_deg)
+
+    def point(i: Column) -> Column:
+        t = -F.pi() / 2 + F.pi() * F.when(i <= 16, i).otherwise(i - 1) / 16
+        along = F.when(i <= 16, 1).otherwise(-1) * length / 2 + F.cos(t) * width / 2
+        beside = F.sin(t) * width / 2
+        return F.struct((x + F.cos(a) * along - F.sin(a) * beside).alias("x"), (y + F.sin(a) * along + F.cos(a) * beside).alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(33)), point)

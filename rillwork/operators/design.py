@@ -27,6 +27,15 @@ def decode(theta: DataFrame, bounds: DataFrame) -> DataFrame:
     return one.withColumns({"width": F.greatest("width", F.lit(1e-6)), "length": F.coalesce("length", F.lit(0.0)), "angle": F.coalesce("angle", F.lit(0.0)), "height": F.col("height") * sign_of(F.col("kind"))})
 
 
+def content_keys(primitives: DataFrame, problem: str, level: int, incumbent: float | None = None) -> DataFrame:
+    """(cand, key): what decides a candidate's outcome as one hash: the problem, the level, an incumbent's objective, and each primitive
+    (cand, slot, kind, parameters) in whole steps. Candidates of one key have one outcome."""
+    steps = [F.round(F.col(k) / s).cast("bigint").cast("string") for k, s in STEPS.items()]
+    one = primitives.groupBy("cand").agg(F.array_sort(F.collect_list(F.struct("slot", F.concat_ws(",", F.col("slot").cast("string"), "kind", *steps).alias("v")))).alias("p"))
+    fixed = [F.lit(problem), F.lit(str(level)), F.lit("" if incumbent is None else repr(incumbent))]
+    return one.select("cand", F.sha2(F.concat_ws("|", *fixed, F.array_join(F.col("p.v"), "|")), 256).alias("key"))
+
+
 def materialize(primitives: DataFrame, editable: DataFrame, d: float, most: float, samples: int = 4) -> DataFrame:
     """Height changes (cand, cell, dz) by samples x samples quadrature in each editable cell (cell, r, c), clamped to +-most.
 

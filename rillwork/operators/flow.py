@@ -1,52 +1,208 @@
-"""The simulation: one time step as a query over cells, and runs of many steps with one candidate per group.
+"""The simulation over tables: time steps as queries over cells, and runs of many candidates as rows (cand, cell).
 
-A step over a table is joins with the four neighbours, so it is right at any size, but thousands of steps would be as many jobs.
-A run therefore is a grouped function: the rows of a group are one candidate's edits of a grid whose size `Grid` bounds, and
-candidates are spread over the cluster. Both forms use the same scheme, and tests hold them against each other.
+A step looks at a cell's four neighbours through windows along raster rows and columns, so it is two sorts at any grid size and any
+number of candidates. A run is one job a step: all candidates of a batch go on together, by the time step that the fastest of their
+waves allows, and the state is a stored table. At sync points candidates that break their limits leave the table.
+
+`Run` holds the same scheme in arrays, for analytic cases on small grids; tests hold the two forms against each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rillwork.functions import hydraulics as H
+from rillwork.sources.stored import dropped, stored
 
-#: A run's group holds a whole grid, so grids are bounded.
+#: Arrays of one grid are for cases of a bounded size.
 MOST_CELLS = 4_000_000
+STATE = ("cell", "r", "c", "z", "n", "wall", "h", "qx", "qy")
+
+
+def _sides(rows: DataFrame, keys: tuple[str, ...], along: str, across: str, columns: tuple[str, ...]) -> DataFrame:
+    """Adds `before` and `after`: the named columns of the neighbours along an axis; null at the border and beside missing cells."""
+    w = Window.partitionBy(*keys, across).orderBy(along)
+    item = F.struct(F.col(along).alias("at"), *columns)
+    near = lambda x, step: F.when(x["at"] == F.col(along) + step, x)
+    return rows.withColumns({"_b": F.lag(item).over(w), "_a": F.lead(item).over(w)}).withColumns({"before": near(F.col("_b"), -1), "after": near(F.col("_a"), 1)}).drop("_b", "_a")
+
+
+def _face(rows: DataFrame, name: str, left: tuple[Column, ...], right: tuple[Column, ...]) -> DataFrame:
+    """Adds struct `name` (mass, normal, tangential, pa, pb) of the face between two cells (h, normal u, tangential u, z)."""
+    rows = rows.withColumns({f"_l{i}": x for i, x in enumerate(left)} | {f"_r{i}": x for i, x in enumerate(right)})
+    a, b = H.reconstructed(F.col("_l0"), F.col("_r0"), F.col("_r3") - F.col("_l3"))
+    rows = rows.withColumns({"_l": a, "_r": b})
+    low, high = H.wave_speeds(F.col("_l"), F.col("_l1"), F.col("_r"), F.col("_r1"))
+    rows = rows.withColumns({"_low": low, "_high": high})
+    flux = H.hll(*(F.col(k) for k in ("_l", "_l1", "_l2", "_r", "_r1", "_r2")), speeds=(F.col("_low"), F.col("_high")))
+    pressure = lambda h: H.G / 2 * F.col(h) * F.col(h)
+    both = F.struct(*(x.alias(k) for k, x in flux.items()), pressure("_l").alias("pa"), pressure("_r").alias("pb"))
+    return rows.withColumn(name, both).drop("_l", "_r", "_low", "_high", *(f"_{s}{i}" for s in "lr" for i in range(4)))
+
+
+def _divergence(rows: DataFrame, keys: tuple[str, ...], axis: str, d: float) -> DataFrame:
+    """Adds m_, n_ and t_ of an axis: what a cell gains a second in mass, normal and tangential momentum through its two faces.
 
-
-def one_step(cells: DataFrame, dt: float, dx: float, dy: float, rain: float = 0.0) -> DataFrame:
-    """(cell, h, qx, qy) after dt of cells (cell, r, c, z, n, wall, h, qx, qy) in a closed basin; z of walls stands high."""
-    own = cells.withColumns({"u": H.velocity(F.col("h"), F.col("qx")), "v": H.velocity(F.col("h"), F.col("qy"))}).select("cell", "r", "c", "z", "h", "u", "v")
-    other = own.select(*(F.col(k).alias(f"{k}2") for k in own.columns))
-    out = []
-    for axis, (i, j), n, t, d in (("x", (0, 1), "u", "v", dx), ("y", (1, 0), "v", "u", dy)):
-        pairs = own.join(other, (F.col("r2") == F.col("r") + i) & (F.col("c2") == F.col("c") + j))
-        a, b = H.reconstructed(F.col("h"), F.col("h2"), F.col("z2") - F.col("z"))
-        pairs = pairs.withColumns({"a": a, "b": b})
-        flux = H.hll(F.col("a"), F.col(n), F.col(t), F.col("b"), F.col(f"{n}2"), F.col(f"{t}2"))
-        low = own.join(other.select(F.col("r2").alias("ra"), F.col("c2").alias("ca")), (F.col("ra") == F.col("r") - i) & (F.col("ca") == F.col("c") - j), "left_anti")
-        high = own.join(other.select(F.col("r2").alias("ra"), F.col("c2").alias("ca")), (F.col("ra") == F.col("r") + i) & (F.col("ca") == F.col("c") + j), "left_anti")
-        faces = pairs.select("cell", "cell2", *(x.alias(k) for k, x in flux.items()), (H.G / 2 * F.col("a") * F.col("a")).alias("pa"), (H.G / 2 * F.col("b") * F.col("b")).alias("pb"))
-        leaves = faces.select("cell", (-F.col("mass") / d).alias("m"), (-(F.col("normal") - F.col("pa")) / d).alias("n"), (-F.col("tangential") / d).alias("t"))
-        enters = faces.select(F.col("cell2").alias("cell"), (F.col("mass") / d).alias("m"), ((F.col("normal") - F.col("pb")) / d).alias("n"), (F.col("tangential") / d).alias("t"))
-        ends = []
-        for rows, side in ((low, 1.0), (high, -1.0)):  # the mirrored cell beyond the border
-            mirror = H.hll(F.col("h"), -side * F.col(n), F.col(t), F.col("h"), side * F.col(n), F.col(t))
-            ends.append(rows.select("cell", F.lit(0.0).alias("m"), (side * (mirror["normal"] - H.G / 2 * F.col("h") * F.col("h")) / d).alias("n"), F.lit(0.0).alias("t")))
-        moved = leaves.union(enters).union(ends[0]).union(ends[1]).groupBy("cell").agg(*(F.sum(k).alias(k) for k in "mnt"))
-        out.append(moved.select("cell", F.col("m").alias(f"m{axis}"), F.col("n").alias(f"q{axis}_n"), F.col("t").alias(f"q{axis}_t")))
-    s = cells.join(out[0], "cell").join(out[1], "cell")
-    h = F.greatest(F.col("h") + dt * (F.col("mx") + F.col("my")), F.lit(0.0)) + F.when(F.col("wall"), 0.0).otherwise(rain * dt)
-    s = s.select("cell", "wall", (9.81 * F.col("n") * F.col("n")).alias("gn2"), h.alias("h"), (F.col("qx") + dt * (F.col("qx_n") + F.col("qy_t"))).alias("qx"), (F.col("qy") + dt * (F.col("qy_n") + F.col("qx_t"))).alias("qy"))
-    speed = F.sqrt(F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy"))
-    qx, qy = (H.flushed(H.friction(F.col(k), speed, F.col("h"), F.col("gn2"), F.lit(dt))) for k in ("qx", "qy"))
-    return s.select("cell", "h", qx.alias("qx"), qy.alias("qy"))
+    Beyond the border stands the mirrored cell, so a closed side gives pressure alone."""
+    along, across, n, t = ("c", "r", "u", "v") if axis == "x" else ("r", "c", "v", "u")
+    rows = _sides(rows, keys, along, across, ("h", "z", "u", "v"))
+    own = (F.col("h"), F.col(n), F.col(t), F.col("z"))
+    side = lambda x, sign: (F.coalesce(F.col(f"{x}.h"), F.col("h")), F.coalesce(F.col(f"{x}.{n}"), -F.col(n)), F.coalesce(F.col(f"{x}.{t}"), F.col(t)), F.coalesce(F.col(f"{x}.z"), F.col("z")))
+    rows = _face(_face(rows, "low", side("before", -1), own), "high", own, side("after", 1))
+    inner = {"low": F.col("before").isNotNull(), "high": F.col("after").isNotNull()}
+    through = lambda k, f: F.when(inner[f], F.col(f"{f}.{k}")).otherwise(0.0)
+    mass, tangential = ((through(k, "low") - through(k, "high")) / d for k in ("mass", "tangential"))
+    normal = ((F.col("low.normal") - F.col("low.pb")) - (F.col("high.normal") - F.col("high.pa"))) / d
+    return rows.withColumns({f"m_{axis}": mass, f"n_{axis}": normal, f"t_{axis}": tangential}).drop("low", "high", "before", "after")
+
+
+def updated(rows: DataFrame, dt: Column | float) -> DataFrame:
+    """Depths and discharges after what both axes bring."""
+    qx, qy = F.col("qx") + dt * (F.col("n_x") + F.col("t_y")), F.col("qy") + dt * (F.col("n_y") + F.col("t_x"))
+    return rows.withColumns({"h": F.col("h") + dt * (F.col("m_x") + F.col("m_y")), "qx": qx, "qy": qy}).drop(*(f"{k}_{x}" for k in "mnt" for x in "xy"))
+
+
+Number = Column | float
+
+
+def _number(x: Number) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def sourced(rows: DataFrame, dt: Number, rain: Number = 0.0, infiltration: Number = 0.0) -> DataFrame:
+    """After a step's sources: depths below 0 are mended (fix), rain falls and water seeps away off walls, friction slows what flows, what
+    is dry or hardly moves stands still; rain and infiltration in m/s. Adds fix and seeped (m), and healthy: a depth far below 0 or none isn't."""
+    dt = _number(dt)
+    rows = _wetted(rows, dt, rain, infiltration, -H.H_DRY).withColumn("_s", F.sqrt(F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy")))
+    gn2 = H.G * F.col("n") * F.col("n")
+    slow = lambda q: H.flushed(H.friction(F.col(q), F.col("_s"), F.col("h"), gn2, dt))
+    return rows.withColumns({"qx": slow("qx"), "qy": slow("qy")}).drop("_s")
+
+
+def _wetted(rows: DataFrame, dt: Column, rain: Number, infiltration: Number, least: float) -> DataFrame:
+    """Mends depths, lets rain fall and water seep; adds fix, seeped and healthy (no depth is below `least`)."""
+    flow = ~F.col("wall")
+    healthy = F.col("h").isNotNull() & ~F.isnan("h") & (F.col("h") >= least)
+    rows = rows.withColumns({"healthy": healthy, "fix": F.greatest(-F.col("h"), F.lit(0.0)), "h": F.greatest(F.col("h"), F.lit(0.0)) + F.when(flow, _number(rain) * dt).otherwise(0.0)})
+    rows = rows.withColumn("seeped", F.when(flow, F.least(_number(infiltration) * dt, F.col("h"))).otherwise(0.0))
+    return rows.withColumn("h", F.col("h") - F.col("seeped"))
+
+
+def one_step(cells: DataFrame, dt: Number, dx: float, dy: float, rain: Number = 0.0, infiltration: Number = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The cells (STATE; with keys, of each run) after dt in a closed basin, with fix, seeped and healthy; z of walls stands high."""
+    rows = cells.withColumns({"u": H.velocity(F.col("h"), F.col("qx")), "v": H.velocity(F.col("h"), F.col("qy"))})
+    rows = _divergence(_divergence(rows, keys, "x", dx), keys, "y", dy).drop("u", "v")
+    return sourced(updated(rows, dt), dt, rain, infiltration)
+
+
+def through_faces(rows: DataFrame, dt: float, dx: float, dy: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Depths after what flows through faces: east and south are the discharges through a cell's own two; none crosses the border."""
+    for face, along, across, d in (("east", "c", "r", dx), ("south", "r", "c", dy)):
+        rows = _sides(rows, keys, along, across, (face,))
+        gone = F.when(F.col("after").isNotNull(), F.col(face)).otherwise(0.0) - F.coalesce(F.col(f"before.{face}"), F.lit(0.0))
+        rows = rows.withColumn(f"_{face}", gone / d).drop("before", "after")
+    return rows.withColumn("h", F.col("h") - dt * (F.col("_east") + F.col("_south"))).drop("_east", "_south")
+
+
+def _inertial_axis(rows: DataFrame, keys: tuple[str, ...], axis: str, dt: Column, d: float) -> DataFrame:
+    """The discharge through each cell's face after dt (east for x, south for y), and m_: what the cell gains in depth through both faces."""
+    along, across, q = ("c", "r", "qx") if axis == "x" else ("r", "c", "qy")
+    w = Window.partitionBy(*keys, across).orderBy(along)
+    rows = _sides(rows, keys, along, across, ("h", "z", "n", "wall", q))
+    inner = F.col("after").isNotNull() & ~F.col("wall") & ~F.col("after.wall")
+    rise = F.col("after.z") - F.col("z")
+    depth = F.greatest(F.col("h") - F.greatest(rise, F.lit(0.0)), F.col("after.h") - F.greatest(-rise, F.lit(0.0)), F.lit(0.0))
+    beyond = F.lead(along, 2).over(w) == F.col(along) + 2  # the last face of an axis isn't smoothed; what comes in over the border is 0
+    smooth = F.when(beyond & F.col("after").isNotNull(), 0.8 * F.col(q) + 0.1 * (F.coalesce(F.col(f"before.{q}"), F.lit(0.0)) + F.col(f"after.{q}"))).otherwise(F.col(q))
+    n2 = (F.col("n") * F.col("n") + F.col("after.n") * F.col("after.n")) / 2
+    slope = (F.col("after.z") + F.col("after.h") - F.col("z") - F.col("h")) / d
+    new = F.when(inner, H.inertial_discharge(smooth, depth, slope, n2, dt)).otherwise(0.0)
+    rows = rows.withColumn(f"_{q}", new)
+    gone = F.col(f"_{q}") - F.coalesce(F.when(F.col("before").isNotNull(), F.lag(f"_{q}").over(w)), F.lit(0.0))
+    return rows.withColumn(f"m_{axis}", -gone / d).drop("before", "after")
+
+
+def inertial_step(cells: DataFrame, dt: Number, dx: float, dy: float, rain: Number = 0.0, infiltration: Number = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A local-inertial step in a closed basin; qx and qy are the discharges through a cell's east and south face."""
+    dt = _number(dt)
+    rows = _inertial_axis(_inertial_axis(cells, keys, "x", dt, dx), keys, "y", dt, dy)
+    rows = rows.withColumns({"h": F.col("h") + dt * (F.col("m_x") + F.col("m_y")), "qx": F.col("_qx"), "qy": F.col("_qy")}).drop("_qx", "_qy", "m_x", "m_y")
+    return _wetted(rows, dt, rain, infiltration, float("-inf"))  # more may leave a cell than it has; depths are mended
+
+
+def inertial_rate(h: Column, qx: Column, qy: Column, dx: float, dy: float) -> Column:
+    """Courant rate of the local-inertial scheme over 0.7, of one cell."""
+    safe = F.when(h > H.H_DRY, h).otherwise(1.0)
+    return F.when(h > H.H_DRY, (H.celerity(safe) + F.greatest(F.abs(qx), F.abs(qy)) / safe) / min(dx, dy)).otherwise(0.0)
+
+
+def next_dt(rate: float, t: float, sync: float, p: Params) -> tuple[float, bool]:
+    """The next time step, cut or stretched to end at a sync point that it nearly reaches; and whether it does."""
+    most = 0.7 if p.scheme == "inertial" else p.cfl
+    dt = min(most / rate if rate > 0 else p.dt_max, p.dt_max)
+    return (sync - t, True) if t + dt >= sync - 1e-9 * p.sync else (dt, False)
+
+
+def run_batch(state: DataFrame, p: Params, dx: float, dy: float, on_sync: Callable[[DataFrame, float, int], DataFrame | None] | None = None) -> tuple[DataFrame, list[dict]]:
+    """Runs all candidates of a batch: state has cand and STATE. Gives the final state with peak, t_peak and first_wet (s, null if never
+    wet), and one row a sync point: t, steps, dt_min, dt_max, volume, rain, seeped, fix (depths summed over all cells of the batch).
+
+    on_sync gets the state, the time and the sync point's number, and gives a table (cand, ...) of candidates that stop there: their
+    rows leave the state. Only sums and maxima reach the driver."""
+    inertial, spark = p.scheme == "inertial", state.sparkSession
+    step = inertial_step if inertial else one_step
+    rate = (inertial_rate if inertial else H.courant_rate)(F.col("h"), F.col("qx"), F.col("qy"), dx, dy)
+    sums = {"rate": F.max(rate), "wet": F.max("h"), "volume": F.sum("h"), "healthy": F.bool_and("healthy"), "fix": F.sum("fix"), "seeped": F.sum("seeped"), "flow": F.count_if(~F.col("wall"))}
+    wet = F.col("h") > H.H_DRY
+    begin = state.select("cand", *STATE).withColumns({"healthy": F.lit(True), "fix": F.lit(0.0), "seeped": F.lit(0.0), "peak": F.col("h"), "t_peak": F.when(F.col("h") > 0, 0.0), "first_wet": F.when(wet, 0.0)})
+
+    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        out = stored(df.observe(seen, *(x.alias(k) for k, x in sums.items())), "state")
+        return out, seen.get
+
+    now, seen = kept(begin)
+    t, number, sync, ledger, dts = 0.0, 0, min(p.sync, p.duration), [], []
+    total = dict.fromkeys(("rain", "seeped", "fix"), 0.0)
+    while t < p.duration - 1e-9 and seen["flow"]:
+        dt, at_sync = next_dt(seen["rate"] or 0.0, t, sync, p)
+        rain = rain_between(p.rain, t, t + dt) / dt
+        after = sync if at_sync else t + dt
+        if rain == 0 and not seen["wet"]:
+            stepped = now.withColumns({"fix": F.lit(0.0), "seeped": F.lit(0.0), "_t": F.lit(float(after))})  # all is dry and stays so
+        else:
+            # numbers that change from step to step come as a row, so that all steps run the same compiled code
+            row = spark.createDataFrame([(float(dt), float(rain), float(p.infiltration), float(after))], "_dt double, _rain double, _seep double, _t double")
+            given = now.drop("fix", "seeped", "healthy").crossJoin(F.broadcast(row))
+            stepped = step(given, F.col("_dt"), dx, dy, F.col("_rain"), F.col("_seep"), keys=("cand",))
+        more = F.col("h") > F.col("peak")
+        stepped = stepped.withColumns({"t_peak": F.when(more, F.col("_t")).otherwise(F.col("t_peak")), "peak": F.greatest("peak", "h"), "first_wet": F.coalesce("first_wet", F.when(wet, F.col("_t")))})
+        before = now
+        now, seen = kept(stepped.select(begin.columns))
+        dropped(before)
+        if not seen["healthy"]:
+            raise FloatingPointError(f"unhealthy depths at {after} s")
+        total["rain"] += rain * dt * seen["flow"]
+        total["seeped"] += seen["seeped"]
+        total["fix"] += seen["fix"]
+        t = after
+        dts.append(dt)
+        if at_sync:
+            ledger.append({"t": t, "steps": len(dts), "dt_min": min(dts), "dt_max": max(dts), "volume": seen["volume"], **total})
+            number += 1
+            sync = min(sync + p.sync, p.duration)
+            gone = on_sync(now, t, number) if on_sync else None
+            if gone is not None:
+                before = now
+                now, seen = kept(now.join(F.broadcast(gone.select("cand").distinct()), "cand", "left_anti"))
+                dropped(before)
+    return now, ledger
 
 
 @dataclass
@@ -81,7 +237,7 @@ class Params:
     scheme: str = "hll"
 
 
-def _rain_between(knots: tuple, a: float, b: float) -> float:
+def rain_between(knots: tuple, a: float, b: float) -> float:
     t, r = np.array(knots, float).T
     at = np.unique(np.clip(np.concatenate([[a, b], t]), a, b))
     return float(np.trapezoid(np.interp(at, t, r), at))
@@ -178,7 +334,7 @@ class Run:
             raise FloatingPointError("unhealthy")
         self.sums["fix"] -= float(h[h < 0].sum()) * self.area
         h = np.maximum(h, 0)
-        rain = _rain_between(p.rain, self.t, self.t + dt)
+        rain = rain_between(p.rain, self.t, self.t + dt)
         if rain:
             h = h + rain * self.flow
             self.sums["rain"] += rain * float(self.flow.sum()) * self.area
@@ -207,7 +363,7 @@ class Run:
             depth = np.where((z[:, :-1] > z.max() - 50) & g.wall.any() | (z[:, 1:] > z.max() - 50) & g.wall.any(), 0.0, depth)
             face = q[:, :-1]
             smooth = face.copy()
-            smooth[:, 1:-1] = 0.8 * face[:, 1:-1] + 0.1 * (face[:, :-2] + face[:, 2:])
+            smooth[:, :-1] = 0.8 * face[:, :-1] + 0.1 * (np.pad(face, ((0, 0), (1, 0)))[:, :-2] + face[:, 1:])
             n2 = (g.n**2 if side == "east" else g.n.T**2)
             n2 = (n2[:, :-1] + n2[:, 1:]) / 2
             wet = depth > H.H_DRY
@@ -220,7 +376,7 @@ class Run:
         self.sums["outflow"] += dt * (float(qx[:, -1].sum()) * g.dy + float(qy[-1].sum()) * g.dx)
         self.sums["fix"] -= float(h[h < 0].sum()) * self.area
         h = np.maximum(h, 0)
-        rain = _rain_between(self.p.rain, self.t, self.t + dt)
+        rain = rain_between(self.p.rain, self.t, self.t + dt)
         h = h + rain * self.flow
         self.sums["rain"] += rain * float(self.flow.sum()) * self.area
         self.h, self.qx, self.qy = h, qx, qy
@@ -237,8 +393,11 @@ class Run:
         next_sync = min(p.sync, p.duration)
         while self.t < p.duration - 1e-9:
             if inertial:
-                rate = (np.sqrt(H.G * max(float(self.h.max()), 1e-12))) / min(self.g.dx, self.g.dy)
-                dt = min(0.7 / rate, p.dt_max)
+                wet = self.h > H.H_DRY
+                deep = np.where(wet, self.h, 1.0)
+                fast = np.maximum(np.abs(self.qx), np.abs(self.qy)) / deep
+                rate = float(np.where(wet, np.sqrt(H.G * deep) + fast, 0.0).max(initial=0.0)) / min(self.g.dx, self.g.dy)
+                dt = min(0.7 / rate if rate > 0 else p.dt_max, p.dt_max)
             else:
                 rate = self.rate()
                 dt = min(p.cfl / rate if rate > 0 else p.dt_max, p.dt_max)
@@ -253,26 +412,3 @@ class Run:
                 self.ledger.append((self.t, v, *s.values(), v - (self.v0 + s["rain"] + s["inflow"] - s["outflow"] - s["infiltration"] + s["fix"])))
                 next_sync = min(next_sync + p.sync, p.duration)
                 yield self.t
-
-
-PEAKS = "cand bigint, cell bigint, peak double, t_peak double"
-
-
-def run_candidates(edits: DataFrame, grid: Grid, params: Params, h0: np.ndarray) -> DataFrame:
-    """Peaks of each candidate's run: edits (cand, cell, dz), a null cell for a candidate without edits. One candidate is one group.
-
-    The guard and incumbent checks of a search are filters on these rows; the grid goes to the executors once as part of the function.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        dz = np.zeros(grid.z.size)
-        own = rows.dropna(subset=["cell"])
-        dz[own["cell"].astype(int)] = own["dz"]
-        r = Run(grid, params, h0, dz.reshape(grid.z.shape))
-        for _ in r.syncs():
-            pass
-        peak = r.peak.ravel()
-        at = np.flatnonzero(r.flow.ravel())
-        return pd.DataFrame({"cand": int(rows["cand"].iloc[0]), "cell": at, "peak": peak[at], "t_peak": np.where(peak[at] > 0, r.t_peak.ravel()[at], np.nan)})
-
-    return edits.groupBy("cand").applyInPandas(run, PEAKS).withColumn("t_peak", F.when(~F.isnan("t_peak"), F.col("t_peak")))

@@ -1,4 +1,4 @@
-"""Ranking of search traces: feasibility first, fronts, budgets, attribution, sequences of points, flow corridors."""
+"""Ranking of search traces: feasibility first, fronts, budgets, attribution and runs of good rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillwork.operators.raster import AROUND8
 from rillwork.operators.storms import running
 
 
@@ -64,17 +63,6 @@ def kendall(pairs: DataFrame, x: str, y: str, order: str, by: str) -> DataFrame:
     return both.groupBy(F.col(f"a.{by}").alias(by)).agg((F.sum(s) / F.count("*")).alias("tau"))
 
 
-def upstream(flow: DataFrame, nx: int, ny: int) -> DataFrame:
-    """(cell, source, inflow): of each cell's eight neighbours the one whose discharge points into it most; ties to the lower cell."""
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND8))
-    length = F.sqrt(F.col("s.i") * F.col("s.i") + F.col("s.j") * F.col("s.j"))
-    r, c = F.col("r") + F.col("s.i"), F.col("c") + F.col("s.j")
-    into = flow.withColumn("s", F.explode(steps)).filter((r >= 0) & (r < ny) & (c >= 0) & (c < nx))
-    into = into.select((r * nx + c).alias("to"), F.col("cell").alias("source"), ((F.col("qx") * F.col("s.j") + F.col("qy") * F.col("s.i")) / length).alias("inflow"))
-    best = into.groupBy("to").agg(F.min(F.struct(-F.col("inflow"), F.col("source"))).alias("m"))
-    return best.select(F.col("to").alias("cell"), F.col("m.source").alias("source"), (-F.col("m.col1")).alias("inflow")).filter("inflow > 0")
-
-
 def longest_run(points: DataFrame, by: str, order: str, good: str, least: int) -> DataFrame:
     """Of each group the longest run of good rows in order, the first of equals, if it has `least` rows."""
     w = Window.partitionBy(by).orderBy(order)

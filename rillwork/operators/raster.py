@@ -78,10 +78,33 @@ def face_rises(cells: DataFrame) -> DataFrame:
     return cells.select("cell", F.coalesce(F.lead("z").over(east) - F.col("z"), F.lit(0.0)).alias("east"), F.coalesce(F.lead("z").over(south) - F.col("z"), F.lit(0.0)).alias("south"))
 
 
-def east_crests(cells: DataFrame, level: int) -> DataFrame:
-    """Per coarse face between a block and its east neighbour: the highest flow cell along the shared edge, on either side."""
-    touch = cells.withColumn("side", F.when(F.col("c") % level == level - 1, F.floor(F.col("c") / level)).when((F.col("c") % level == 0) & (F.col("c") > 0), F.floor(F.col("c") / level) - 1))
-    return touch.filter("side IS NOT NULL").groupBy(F.floor(F.col("r") / level).alias("r"), F.col("side").alias("c")).agg(F.max(F.when(~F.col("wall"), F.col("z"))).alias("crest"), F.count("*").alias("n_cells"))
+def crests(cells: DataFrame, level: int, across: str = "r", along: str = "c") -> DataFrame:
+    """(r, c, crest) per coarse face between a block and the next one along an axis: the highest flow cell along the shared edge, on
+    either side, but no lower than both blocks; an edge of walls alone, and a block of them, stands 100 above the highest flow cell."""
+    high = cells.agg((F.max(F.when(~F.col("wall"), F.col("z"))) + 100).alias("_high"))
+    own, place = F.floor(F.col(across) / level), F.floor(F.col(along) / level)
+    flow = F.max(F.when(~F.col("wall"), F.col("z")))
+    touch = cells.withColumn("c_", F.when(F.col(along) % level == level - 1, place).when((F.col(along) % level == 0) & (F.col(along) > 0), place - 1))
+    edge = touch.filter("c_ IS NOT NULL").groupBy(own.alias("r"), F.col("c_").alias("c")).agg(flow.alias("top"))
+    block = cells.groupBy(own.alias("r"), place.alias("c")).agg(F.avg(F.when(~F.col("wall"), F.col("z"))).alias("z"))
+    both = edge.join(block, ["r", "c"]).join(block.select("r", (F.col("c") - 1).alias("c"), F.col("z").alias("z2")), ["r", "c"]).crossJoin(F.broadcast(high))
+    return both.select("r", "c", F.greatest(*(F.coalesce(x, "_high") for x in ("top", "z", "z2"))).alias("crest"))
+
+
+def window_of(cells: DataFrame, some: DataFrame, margin: int) -> DataFrame:
+    """One row (r0, r1, c0, c1): the box of some cells grown by a margin inside the grid; the whole grid if there are none."""
+    size = cells.agg(F.max("r").alias("rows"), F.max("c").alias("columns"))
+    box = cells.join(some.select("cell"), "cell", "left_semi").agg(*(f(k).alias(f"{k}_{f.__name__}") for k in "rc" for f in (F.min, F.max)))
+    low = lambda k: F.greatest(F.coalesce(f"{k}_min", F.lit(0)) - margin, F.lit(0))
+    high = lambda k, most: F.least(F.coalesce(F.col(f"{k}_max"), F.col(most)) + margin, F.col(most))
+    return box.crossJoin(F.broadcast(size)).select(low("r").alias("r0"), high("r", "rows").alias("r1"), low("c").alias("c0"), high("c", "columns").alias("c1"))
+
+
+def region_of_interest(cells: DataFrame, wanted: DataFrame, travel: float, d: float) -> DataFrame:
+    """The box of wanted cells, grown by how far water travels and 16 cells at least; accepted if it is at most half of the grid."""
+    margin = max(16, -int(-travel // d))
+    size = cells.agg(((F.max("r") + 1) * (F.max("c") + 1)).alias("all"))
+    return window_of(cells, wanted, margin).crossJoin(F.broadcast(size)).select("r0", "r1", "c0", "c1", (2 * (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1) <= F.col("all")).alias("accepted"))
 
 
 def overlaid(cells: DataFrame, edits: DataFrame) -> DataFrame:

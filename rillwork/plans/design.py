@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from rillwork.functions import shapes
 from rillwork.operators import design as G
+from rillwork.operators import evaluation as E
 from rillwork.operators import raster as R
 from rillwork.plans.registry import query
 from rillwork.sources import domain as D
@@ -79,23 +82,30 @@ def a13(spark, sf):
     return _theta(spark, sf).select("cand", "k", F.round(shapes.profile(F.col("u"), F.lit(0.8), kind), 9).alias("p"))
 
 
-@query("a14_bbox", f"{V}, {PRIM} SELECT cand, x - length / 2 - width / 2 AS x_min, x + length / 2 + width / 2 AS x_max, y - width / 2 AS y_min, y + width / 2 AS y_max FROM prim")
+TURNED = f"{PRIM}, turned AS (SELECT p.*, k.a, cos(radians(k.a)) AS ux, sin(radians(k.a)) AS uy FROM prim p JOIN (SELECT cand, max(CASE WHEN k = 4 THEN round(u * 180) END) AS a FROM theta GROUP BY 1) k USING (cand))"
+
+
+def _turned(spark, sf):
+    """The primitives, turned by their fifth coordinate."""
+    angle = _theta(spark, sf).filter("k = 4").select("cand", F.round(F.col("u") * 180).alias("a"))
+    return _primitives(spark, sf).drop("angle").join(angle.withColumnRenamed("a", "angle"), "cand")
+
+
+@query("a14_bbox", f"""{V}, {TURNED} SELECT cand, round(x - abs(ux) * length / 2 - width / 2, 6) AS x_min, round(x + abs(ux) * length / 2 + width / 2, 6) AS x_max, round(y - abs(uy) * length / 2 - width / 2, 6) AS y_min,
+    round(y + abs(uy) * length / 2 + width / 2, 6) AS y_max FROM turned""")
 def a14(spark, sf):
-    return _primitives(spark, sf).selectExpr("cand", "x - length / 2 - width / 2 AS x_min", "x + length / 2 + width / 2 AS x_max", "y - width / 2 AS y_min", "y + width / 2 AS y_max")
+    box = shapes.bounds(*(F.col(k) for k in ("x", "y", "length", "width", "angle")))
+    return _turned(spark, sf).select("cand", *(F.round(v, 6).alias(k) for k, v in box.items()))
 
 
 @query(
     "a15_footprint",
-    f"""{V}, {PRIM} SELECT cand, i, round(x + (CASE WHEN i <= 16 THEN 1 ELSE -1 END) * length / 2 + cos(-pi() / 2 + pi() * (CASE WHEN i <= 16 THEN i ELSE i - 1 END) / 16) * width / 2, 6) AS px,
-    round(y + sin(-pi() / 2 + pi() * (CASE WHEN i <= 16 THEN i ELSE i - 1 END) / 16) * width / 2, 6) AS py FROM prim, range(34) AS t(i)""",
+    f"""{V}, {TURNED}, pt AS (SELECT cand, i, x, y, ux, uy, (CASE WHEN i <= 16 THEN 1 ELSE -1 END) * length / 2 + cos(-pi() / 2 + pi() * (CASE WHEN i <= 16 THEN i ELSE i - 1 END) / 16) * width / 2 AS a,
+    sin(-pi() / 2 + pi() * (CASE WHEN i <= 16 THEN i ELSE i - 1 END) / 16) * width / 2 AS b FROM turned, range(34) AS t(i)) SELECT cand, i, round(x + ux * a - uy * b, 6) AS px, round(y + uy * a + ux * b, 6) AS py FROM pt""",
 )
 def a15(spark, sf):
-    """The stadium around a straight primitive: 17 points around each end."""
-    t = F.when(F.col("i") <= 16, F.col("i")).otherwise(F.col("i") - 1)
-    a = -F.pi() / 2 + F.pi() * t / 16
-    side = F.when(F.col("i") <= 16, 1).otherwise(-1)
-    p = _primitives(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(33))))
-    return p.select("cand", "i", F.round(F.col("x") + side * F.col("length") / 2 + F.cos(a) * F.col("width") / 2, 6).alias("px"), F.round(F.col("y") + F.sin(a) * F.col("width") / 2, 6).alias("py"))
+    ring = shapes.footprint(*(F.col(k) for k in ("x", "y", "length", "width", "angle")))
+    return _turned(spark, sf).select("cand", F.posexplode(ring).alias("i", "p")).select("cand", "i", F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"))
 
 
 @query("a29_theta_slice", f"{V} SELECT cand, k // 3 AS slot, count(*) AS n, round(sum(u), 9) AS s FROM theta GROUP BY 1, 2")
@@ -109,10 +119,19 @@ def a30(spark, sf):
     return spark.range(18).select(F.concat(F.lit("p"), F.expr("id div 6").cast("string"), F.lit("."), F.element_at(names, (F.col("id") % 6 + 1).cast("int"))).alias("name"), F.col("id").alias("k"))
 
 
-@query("a27_content_key", f"{V}, {PRIM} SELECT cand, sha256(concat_ws('|', 'problem', '1', kind, (x * 2)::BIGINT, (y * 2)::BIGINT, (length * 2)::BIGINT, (width * 2)::BIGINT)) AS key FROM prim")
+SIGNED = {"height": "(CASE WHEN kind = 'berm' THEN height ELSE -height END)"}
+KEY_PARTS = ", ".join(f"round({SIGNED.get(k, k)} / {s}::DOUBLE)::BIGINT" for k, s in G.STEPS.items())
+
+
+@query("a27_content_key", f"{V}, {PRIM} SELECT cand, sha256(concat_ws('|', 'problem', '1', '', concat_ws(',', 0, kind, {KEY_PARTS}))) AS key FROM prim")
 def a27(spark, sf):
-    parts = [(F.col(k) * 2).cast("bigint").cast("string") for k in ("x", "y", "length", "width")]
-    return _primitives(spark, sf).select("cand", F.sha2(F.concat_ws("|", F.lit("problem"), F.lit("1"), "kind", *parts), 256).alias("key"))
+    return G.content_keys(_primitives(spark, sf).withColumn("slot", F.lit(0)), "problem", 1)
+
+
+@query("a27_incumbent_key", f"{V}, {PRIM} SELECT cand, sha256(concat_ws('|', 'problem', '2', '0.25', concat_ws(',', 0, kind, {KEY_PARTS}))) AS key FROM prim")
+def a27b(spark, sf):
+    """Beside an incumbent a run may stop early, so its key is another one."""
+    return G.content_keys(_primitives(spark, sf).withColumn("slot", F.lit(0)), "problem", 2, 0.25)
 
 
 @query("a28_problem_hash", f"{V}, h AS (SELECT r, sha256(string_agg((z * 100)::BIGINT, ',' ORDER BY c)) AS row_hash FROM cells GROUP BY r) SELECT sha256(string_agg(row_hash, '' ORDER BY r)) AS problem_hash FROM h")
@@ -150,14 +169,81 @@ def c6(spark, sf):
     return G.steepest(_edits(spark, sf), D.NX, 5.0, 5.0).withColumn("slope", F.round("slope", 6))
 
 
+#: Ground whose neighbours differ by less than a cut is deep.
+FLAT = "flat AS (SELECT cell, r, c, wall, n, (z - 900) * 0.01::DOUBLE AS z FROM cells)"
+
+
+def _flat(spark, sf):
+    return D.cells(spark, sf).withColumn("z", (F.col("z") - 900) * 0.01)
+
+
 @query(
     "c7_new_pits",
-    f"""{V}, {EDITS}, n AS (SELECT e.cand, e.cell, bool_and(q.z + e.dz < o.z + coalesce(e2.dz, 0) - 0.01) AS now, bool_and(q.z < o.z - 0.01) AS before, count(*) AS n FROM edits e JOIN cells q USING (cell)
-    JOIN cells o ON o.r BETWEEN q.r - 1 AND q.r + 1 AND o.c BETWEEN q.c - 1 AND q.c + 1 AND o.cell <> q.cell LEFT JOIN edits e2 ON e2.cand = e.cand AND e2.cell = o.cell WHERE e.dz < 0 GROUP BY 1, 2)
+    f"""{V}, {EDITS}, {FLAT}, n AS (SELECT e.cand, e.cell, bool_and(q.z + e.dz < o.z + coalesce(e2.dz, 0) - 0.01) AS now, bool_and(q.z < o.z - 0.01) AS before, count(*) AS n FROM edits e JOIN flat q USING (cell)
+    JOIN flat o ON o.r BETWEEN q.r - 1 AND q.r + 1 AND o.c BETWEEN q.c - 1 AND q.c + 1 AND o.cell <> q.cell LEFT JOIN edits e2 ON e2.cand = e.cand AND e2.cell = o.cell WHERE e.dz < 0 GROUP BY 1, 2)
     SELECT cand, cell FROM n WHERE now AND NOT before AND n = 8""",
 )
 def c7(spark, sf):
-    return G.new_pits(D.cells(spark, sf), _edits(spark, sf), D.NX)
+    return G.new_pits(_flat(spark, sf), _edits(spark, sf), D.NX)
+
+
+@query(
+    "e9_static_rejects",
+    f"""{V}, {EDITS}, {FLAT}, v AS (SELECT cand, 'volume' AS rule, sum(abs(dz) * 25) - 150 AS amount FROM edits GROUP BY cand HAVING sum(abs(dz) * 25) > 150),
+    e AS (SELECT cand, cell // 50 AS r, cell % 50 AS c, dz FROM edits), b AS (SELECT cand, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM e GROUP BY cand),
+    g AS (SELECT cand, r, c FROM b, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS r), LATERAL (SELECT unnest(range(c0, c1 + 1)) AS c)), f AS (SELECT g.cand, g.r, g.c, coalesce(dz, 0) AS dz FROM g LEFT JOIN e USING (cand, r, c)),
+    s AS (SELECT cand, abs(lead(dz) OVER (PARTITION BY cand, r ORDER BY c) - dz) / 5 AS a, abs(lead(dz) OVER (PARTITION BY cand, c ORDER BY r) - dz) / 5 AS b FROM f),
+    t AS (SELECT cand, 'slope' AS rule, max(greatest(coalesce(a, b), coalesce(b, a))) - 0.08 AS amount FROM s WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY cand HAVING amount > 0),
+    n AS (SELECT e.cand, e.cell, bool_and(q.z + e.dz < o.z + coalesce(e2.dz, 0) - 0.01) AS now, bool_and(q.z < o.z - 0.01) AS before, count(*) AS n FROM edits e JOIN flat q USING (cell)
+    JOIN flat o ON o.r BETWEEN q.r - 1 AND q.r + 1 AND o.c BETWEEN q.c - 1 AND q.c + 1 AND o.cell <> q.cell LEFT JOIN edits e2 ON e2.cand = e.cand AND e2.cell = o.cell WHERE e.dz < 0 GROUP BY 1, 2),
+    p AS (SELECT cand, 'new_pits' AS rule, count(*)::DOUBLE AS amount FROM n WHERE now AND NOT before AND n = 8 GROUP BY cand)
+    SELECT cand, rule, round(amount, 6) AS amount FROM (SELECT * FROM v UNION ALL SELECT * FROM t UNION ALL SELECT * FROM p)""",
+)
+def e9_static(spark, sf):
+    return E.static_checks(_edits(spark, sf), _problem(spark, sf)).withColumn("amount", F.round("amount", 6))
+
+
+def _problem(spark, sf, **more):
+    from rillwork.plans.flow import STORM, _ground
+
+    given = dict(
+        cells=_ground(spark, sf), editable=D.cells(spark, sf).filter("NOT wall").select("cell", "r", "c"), assets=D.assets(spark, sf), asset_cells=D.asset_cells(spark, sf), guard=D.guard(spark, sf),
+        params=STORM, nx=D.NX, d=5.0, max_volume=150.0, max_slope=0.08, cost_weight=0.001, cut_cost=2.0, fill_cost=3.0,
+    )
+    return E.Problem(**(given | more))
+
+
+@query("e9_evaluate")
+def e9_evaluate(spark, sf):
+    """Every design point from its coordinates to its outcome; tests hold it against runs in arrays."""
+    return E.evaluated(_primitives(spark, sf), E.without_changes(_problem(spark, sf)))
+
+
+@query("e10_incumbent_aborts")
+def e10(spark, sf):
+    """The same beside an incumbent's objective: what can't be below it stops at a sync point."""
+    known = E.without_changes(_problem(spark, sf, tolerance=1.0))
+    return E.evaluated(_primitives(spark, sf), known, incumbent=0.0).groupBy("status").agg(F.count("*").alias("n"), F.min("j").alias("least_j"))
+
+
+@query("c19_revalidation")
+def c19b(spark, sf):
+    """The cheapest design under half and one and a half times the storm."""
+    from rillwork.plans.flow import STORM
+
+    one = G.volumes(_edits(spark, sf), 25.0).orderBy(F.col("cut_m3") + F.col("fill_m3"), "cand").limit(1).select("cand")
+    best = _primitives(spark, sf).join(F.broadcast(one), "cand")
+    storm = lambda k: _problem(spark, sf, params=replace(STORM, rain=tuple((t, k * x) for t, x in STORM.rain)))
+    return E.revalidated(best, {"rain x 0.5": storm(0.5), "rain x 1.5": storm(1.5)})
+
+
+@query("c11_lower_bound", f"""{V}, pk AS (SELECT k AS cand, cell, max(h) AS peak FROM traj, range(1, 8) AS t(k) WHERE step <= k GROUP BY 1, 2), ap AS (SELECT cand, asset, max(peak) AS peak FROM pk JOIN asset_cells USING (cell) GROUP BY 1, 2),
+    o AS (SELECT cand, (peak - threshold) / 0.05 AS x, weight AS w FROM ap JOIN assets USING (asset)) SELECT cand::INT AS step, round(sum(w * 0.05 * CASE WHEN x > 30 THEN x WHEN x < -30 THEN exp(x) ELSE ln(1 + exp(x)) END) + 0.001::DOUBLE * (2 * 12.5 + 3 * 7.5), 6) AS bound FROM o GROUP BY cand""")
+def c11(spark, sf):
+    """What the objective can't be below any more, step by step."""
+    peaks = D.traj(spark, sf).withColumn("cand", F.explode(F.sequence(F.col("step").cast("int"), F.lit(7)))).groupBy("cand", "cell").agg(F.max("h").alias("peak"))
+    volumes = spark.range(1, 8).selectExpr("cast(id AS int) AS cand", "12.5D AS cut_m3", "7.5D AS fill_m3")
+    return E.objective(peaks, volumes, _problem(spark, sf)).select(F.col("cand").alias("step"), F.round("j", 6).alias("bound"))
 
 
 @query("c8_asset_peaks", f"{V}, p AS (SELECT cell, max(h) AS peak FROM traj GROUP BY cell) SELECT asset, greatest(coalesce(max(peak), 0), 0) AS peak FROM asset_cells LEFT JOIN p USING (cell) GROUP BY asset")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from rillwork.functions import hydraulics as H
-from rillwork.operators import flow, validation
+from rillwork.operators import evaluation, flow, validation
 from rillwork.plans.registry import query
 from rillwork.sources import domain as D
 
@@ -61,6 +62,20 @@ def a21(spark, sf):
     return _pairs(spark, sf).select("face", "k", F.round(H.flushed(q), 7).alias("q"))
 
 
+@query(
+    "a21_sources",
+    f"""WITH {PAIRS}, s AS (SELECT face, k, hl - 5e-7::DOUBLE AS h0, ul AS qx, vl AS qy, k = 7 AS wall FROM pr),
+    f AS (SELECT *, greatest(-h0, 0) AS fix, greatest(h0, 0) + CASE WHEN wall THEN 0 ELSE 5e-5::DOUBLE END AS h1 FROM s), g AS (SELECT *, CASE WHEN wall THEN 0 ELSE least(2.5e-5::DOUBLE, h1) END AS seeped FROM f),
+    d AS (SELECT *, h1 - seeped AS h, CASE WHEN h1 - seeped < 1e-6 THEN NULL ELSE 1 + 0.5::DOUBLE * 9.81::DOUBLE * 0.0009::DOUBLE * sqrt(qx * qx + qy * qy) * pow(h1 - seeped, -7.0::DOUBLE / 3) END AS drag FROM g)
+    SELECT face, k, round(h, 9) AS h, round(coalesce(qx / drag, 0), 7) AS qx, round(coalesce(qy / drag, 0), 7) AS qy, round(fix, 9) AS fix, round(seeped, 9) AS seeped, h0 >= -1e-6 AS healthy FROM d""",
+)
+def a21b(spark, sf):
+    """All sources of a step, in their order."""
+    rows = _pairs(spark, sf).select("face", "k", (F.col("hl") - 5e-7).alias("h"), F.col("ul").alias("qx"), F.col("vl").alias("qy"), F.lit(0.03).alias("n"), (F.col("k") == 7).alias("wall"))
+    out = flow.sourced(rows, 0.5, 1e-4, 5e-5)
+    return out.select("face", "k", *(F.round(c, 9).alias(c) for c in ("h", "fix", "seeped")), *(F.round(c, 7).alias(c) for c in ("qx", "qy")), "healthy")
+
+
 @query("a23_critical_depth", f"WITH {PAIRS} SELECT face, k, round(cbrt(ul * ul / 9.81::DOUBLE), 7) AS h FROM pr")
 def a23(spark, sf):
     return _pairs(spark, sf).select("face", "k", F.round(H.critical_depth(F.col("ul")), 7).alias("h"))
@@ -87,41 +102,68 @@ def s2(spark, sf):
     return _pairs(spark, sf).groupBy("k").agg(F.round(F.max(H.courant_rate(*_c("hl", "ul", "ur"), 2.0, 2.0)), 7).alias("rate"))
 
 
-@query("a20_flux_update", f"WITH {PAIRS}, f AS (SELECT face, sum(hl) AS i, sum(hr) AS o FROM pr GROUP BY face) SELECT face, round(1 - 0.25::DOUBLE * (o - i), 7) AS h FROM f")
+@query("s2_inertial_rate", f"WITH {PAIRS} SELECT k, round(max(CASE WHEN hl > 1e-6 THEN (sqrt(9.81::DOUBLE * hl) + greatest(abs(ul), abs(ur)) / hl) / 2 ELSE 0 END), 7) AS rate FROM pr GROUP BY k")
+def s2b(spark, sf):
+    return _pairs(spark, sf).groupBy("k").agg(F.round(F.max(flow.inertial_rate(*_c("hl", "ul", "ur"), 2.0, 3.0)), 7).alias("rate"))
+
+
+@query(
+    "a20_flux_update",
+    f"""{V}, f AS (SELECT cell, n AS east, z * 1e-4::DOUBLE AS south, r, c, max(c) OVER (PARTITION BY r) AS c1, max(r) OVER (PARTITION BY c) AS r1 FROM cells), e AS (SELECT cell, r, c, CASE WHEN c < c1 THEN east ELSE 0 END AS e, CASE WHEN r < r1 THEN south ELSE 0 END AS s FROM f)
+    SELECT cell, round(1 + 0.25::DOUBLE * ((coalesce(lag(e) OVER (PARTITION BY r ORDER BY c), 0) - e) / 5 + (coalesce(lag(s) OVER (PARTITION BY c ORDER BY r), 0) - s) / 4), 9) AS h FROM e""",
+)
 def a20(spark, sf):
-    """What enters and leaves a cell over all of its faces."""
-    return _pairs(spark, sf).groupBy("face").agg(F.sum("hl").alias("i"), F.sum("hr").alias("o")).select("face", F.round(1 - 0.25 * (F.col("o") - F.col("i")), 7).alias("h"))
+    """What enters and leaves a cell through its four faces."""
+    rows = D.cells(spark, sf).select("cell", "r", "c", F.col("n").alias("east"), (F.col("z") * 1e-4).alias("south"), F.lit(1.0).alias("h"))
+    return flow.through_faces(rows, 0.25, 5.0, 4.0).select("cell", F.round("h", 9).alias("h"))
 
 
-def _state(spark, sf):
-    cells = D.cells(spark, sf)
-    return cells.select("cell", "r", "c", F.when(F.col("wall"), 1200.0).otherwise((F.col("z") - 900) * 0.01).alias("z"), "n", "wall", F.when(F.col("wall"), 0.0).otherwise(1.0).alias("h"), F.lit(0.1).alias("qx"), F.lit(-0.05).alias("qy"))
+def _ground(spark, sf):
+    """A dry ground whose heights differ by a hundredth of what the stored ones do."""
+    z = F.when(F.col("wall"), 1200.0).otherwise((F.col("z") - 900) * 0.01)
+    return D.cells(spark, sf).select("cell", "r", "c", z.alias("z"), "n", "wall", *(F.lit(0.0).alias(k) for k in ("h", "qx", "qy")))
 
 
 @query("s7_one_step")
 def s7(spark, sf):
-    """The whole step as one query; tests hold it against the kernel."""
-    return flow.one_step(_state(spark, sf), 0.01, 5.0, 5.0, rain=1e-5)
+    """The whole step as one query; tests hold it against arrays."""
+    state = _ground(spark, sf).withColumns({"h": F.when(F.col("wall"), 0.0).otherwise(1.0), "qx": F.lit(0.1), "qy": F.lit(-0.05)})
+    return flow.one_step(state, 0.01, 5.0, 5.0, rain=1e-5).select("cell", "h", "qx", "qy")
+
 
+def _nations(spark, sf):
+    """(cand, cell, dz): each nation is a candidate that raises the ground where its suppliers are."""
+    at = D.table(spark, sf, "supplier").selectExpr("cast(s_nationkey AS bigint) AS cand", "explode(sequence(s_suppkey * 31, s_suppkey * 31 + 7)) AS cell")
+    return at.groupBy("cand", "cell").agg((F.count("*") * 0.05).alias("dz"))
 
-def _valley(nx=40, ny=32, d=4.0):
-    x, y = np.meshgrid((np.arange(nx) + 0.5) * d, (np.arange(ny) + 0.5) * d)
-    return flow.Grid(10 + 0.02 * y - 0.3 * np.exp(-(((x - 80) / 20) ** 2)) + 0.03 * np.sin(x / 9), 0.03, dx=d, dy=d)
+
+STORM = flow.Params(6.0, 3.0, rain=((0, 5000 * validation.MMH),), infiltration=10 * validation.MMH)
+
+
+def _runs(spark, sf, p):
+    edits = _nations(spark, sf)
+    state = evaluation.grids(D.table(spark, sf, "nation").selectExpr("cast(n_nationkey AS bigint) AS cand"), edits, _ground(spark, sf))
+    done, _ = flow.run_batch(state, p, 5.0, 5.0)
+    return done.groupBy("cand").agg(F.count("*").alias("n_cells"), F.round(F.sum("peak"), 9).alias("sum_peak"), F.max("t_peak").alias("t_peak"), F.min("first_wet").alias("first_wet"))
 
 
 @query("s15_candidate_runs")
 def s15(spark, sf):
-    """Peaks of a search generation: each supplier below 8 is a candidate with a berm of its own."""
-    edits = D.table(spark, sf, "supplier").filter("s_suppkey < 8").selectExpr("s_suppkey AS cand", "explode(sequence(0, 9)) AS i").selectExpr("cand", "cast((6 + cand) * 40 + 12 + i AS bigint) AS cell", "0.05D * cand AS dz")
-    p = flow.Params(120.0, 30.0, rain=((0, 50 * validation.MMH),))
-    return flow.run_candidates(edits, _valley(), p, np.zeros((32, 40))).groupBy("cand").agg(F.count("*").alias("n_cells"), F.round(F.sum("peak"), 9).alias("sum_peak"), F.max("t_peak").alias("t_peak"))
+    """Peaks of one run for each nation's change of the ground."""
+    return _runs(spark, sf, STORM)
 
 
 @query("s25_inertial_runs")
 def s25(spark, sf):
-    edits = D.table(spark, sf, "supplier").filter("s_suppkey < 4").selectExpr("s_suppkey AS cand", "cast(500 + s_suppkey AS bigint) AS cell", "0.1D AS dz")
-    p = flow.Params(120.0, 30.0, rain=((0, 50 * validation.MMH),), scheme="inertial")
-    return flow.run_candidates(edits, _valley(), p, np.zeros((32, 40))).groupBy("cand").agg(F.count("*").alias("n_cells"), F.round(F.sum("peak"), 9).alias("sum_peak"))
+    return _runs(spark, sf, replace(STORM, scheme="inertial"))
+
+
+@query("s15_run_ledger")
+def s15b(spark, sf):
+    """The ledger of the run without changes: what is there is what fell less what seeped away."""
+    state = _ground(spark, sf).withColumn("cand", F.lit(0).cast("bigint"))
+    _, rows = flow.run_batch(state, STORM, 5.0, 5.0)
+    return spark.createDataFrame(rows).withColumn("residual", F.col("volume") - F.col("rain") + F.col("seeped") - F.col("fix"))
 
 
 @query("e33_validation")

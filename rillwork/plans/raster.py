@@ -18,16 +18,17 @@ def _ny(spark, sf):
 
 
 def _mask(spark, sf):
-    return D.cells(spark, sf).filter("z > 1100").select("cell", "r", "c")
+    """Rough ground: some two thirds of the cells, in patches."""
+    return D.cells(spark, sf).filter("n < 0.033").select("cell", "r", "c")
 
 
 def _edits(spark, sf):
-    """A sparse patch: every 17th part's dimension as a cut or fill."""
-    return D.table(spark, sf, "part").filter("p_partkey % 17 = 0").select(F.col("p_partkey").alias("cell"), ((F.col("p_size") - 25) * 0.125).alias("dz"))
+    """Each part's dimension as a cut or fill; none where it is 25."""
+    return D.table(spark, sf, "part").filter("p_size != 25").select(F.col("p_partkey").alias("cell"), ((F.col("p_size") - 25) * 0.125).alias("dz"))
 
 
-EDITS = "edits AS (SELECT p_partkey AS cell, (p_size - 25) * 0.125 AS dz FROM part WHERE p_partkey % 17 = 0)"
-MASK = "mask AS (SELECT cell, r, c FROM cells WHERE z > 1100)"
+EDITS = "edits AS (SELECT p_partkey AS cell, (p_size - 25) * 0.125 AS dz FROM part WHERE p_size <> 25)"
+MASK = "mask AS (SELECT cell, r, c FROM cells WHERE n < 0.033::DOUBLE)"
 
 
 @query("a1_cell_centers", f"{V} SELECT cell, 100 + (c + 0.5) * 5 AS x, 900 - (r + 0.5) * 5 AS y FROM cells")
@@ -100,13 +101,21 @@ def r9(spark, sf):
     return R.face_rises(D.cells(spark, sf))
 
 
-@query(
-    "r10_face_crest",
-    f"""{V}, t AS (SELECT *, CASE WHEN c % 4 = 3 THEN c // 4 WHEN c % 4 = 0 AND c > 0 THEN c // 4 - 1 END AS side FROM cells)
-    SELECT r // 4 AS r, side AS c, max(z) FILTER (NOT wall) AS crest, count(*) AS n_cells FROM t WHERE side IS NOT NULL GROUP BY 1, 2""",
-)
+CRESTS = """t AS (SELECT *, CASE WHEN {c} % 4 = 3 THEN {c} // 4 WHEN {c} % 4 = 0 AND {c} > 0 THEN {c} // 4 - 1 END AS side FROM cells), top AS (SELECT max(z) FILTER (NOT wall) + 100 AS high FROM cells),
+    w AS (SELECT {r} // 4 AS r, side AS c, coalesce(max(z) FILTER (NOT wall), max(high)) AS crest FROM t, top WHERE side IS NOT NULL GROUP BY 1, 2),
+    k AS (SELECT {r} // 4 AS r, {c} // 4 AS c, coalesce(avg(z) FILTER (NOT wall), max(high)) AS z FROM cells, top GROUP BY 1, 2)
+    SELECT w.r, w.c, round(greatest(crest, a.z, b.z), 6) AS crest FROM w JOIN k a ON a.r = w.r AND a.c = w.c JOIN k b ON b.r = w.r AND b.c = w.c + 1"""
+
+
+@query("r10_face_crest", f"{V}, {CRESTS.format(r='r', c='c')}")
 def r10(spark, sf):
-    return R.east_crests(D.cells(spark, sf), 4)
+    return R.crests(D.cells(spark, sf), 4, "r", "c").withColumn("crest", F.round("crest", 6))
+
+
+@query("r10_south_crest", f"{V}, {CRESTS.format(r='c', c='r')}")
+def r10b(spark, sf):
+    """The faces between a block and its south neighbour: rows and columns change places."""
+    return R.crests(D.cells(spark, sf), 4, "c", "r").withColumn("crest", F.round("crest", 6))
 
 
 @query("r11_wet_friction", f"{V} SELECT cell, NOT wall AS wet, 9.81 * n * n AS gn2 FROM cells".replace("9.81", "9.81::DOUBLE"))
@@ -116,13 +125,13 @@ def r11(spark, sf):
 
 @query(
     "r12_boundary",
-    """WITH side AS (SELECT range AS pos FROM range(200)), seg AS (SELECT s_suppkey AS seg, s_suppkey * 13 % 200 AS lo, s_suppkey * 13 % 200 + 9 AS hi, s_nationkey % 3 AS kind FROM supplier WHERE s_suppkey < 60),
+    """WITH side AS (SELECT range AS pos FROM range(200)), seg AS (SELECT s_suppkey AS seg, s_suppkey * 13 % 200 AS lo, s_suppkey * 13 % 200 + 9 AS hi, s_nationkey % 3 AS kind FROM supplier),
     hit AS (SELECT pos, kind, row_number() OVER (PARTITION BY pos ORDER BY seg DESC) AS k FROM side JOIN seg ON pos BETWEEN lo AND hi)
     SELECT pos, coalesce(kind, -1) AS kind FROM side LEFT JOIN (SELECT * FROM hit WHERE k = 1) USING (pos)""",
 )
 def r12(spark, sf):
     """Side cells take the kind of the last segment that covers them, else wall (-1)."""
-    seg = D.table(spark, sf, "supplier").filter("s_suppkey < 60").selectExpr("s_suppkey AS seg", "s_nationkey % 3 AS kind", "explode(sequence(s_suppkey * 13 % 200, s_suppkey * 13 % 200 + 9)) AS pos")
+    seg = D.table(spark, sf, "supplier").selectExpr("s_suppkey AS seg", "s_nationkey % 3 AS kind", "explode(sequence(s_suppkey * 13 % 200, s_suppkey * 13 % 200 + 9)) AS pos")
     last = seg.groupBy("pos").agg(F.max_by("kind", "seg").alias("kind"))
     return spark.range(200).withColumnRenamed("id", "pos").join(last, "pos", "left").select("pos", F.coalesce("kind", F.lit(-1)).alias("kind"))
 
@@ -170,27 +179,22 @@ def r16(spark, sf):
 
 @query(
     "r17_edit_window",
-    f"""{V}, {EDITS} SELECT greatest(min(r) - 2, 0) AS r0, least(max(r) + 2, {NY} - 1) AS r1, greatest(min(c) - 2, 0) AS c0, least(max(c) + 2, 49) AS c1 FROM cells JOIN edits USING (cell) WHERE abs(dz) > 0""",
+    f"""{V}, {EDITS}, e AS (SELECT r, c FROM cells JOIN edits USING (cell) WHERE abs(dz) > 0)
+    SELECT greatest(coalesce(min(r), 0) - 2, 0) AS r0, least(coalesce(max(r), {NY} - 1) + 2, {NY} - 1) AS r1, greatest(coalesce(min(c), 0) - 2, 0) AS c0, least(coalesce(max(c), 49) + 2, 49) AS c1 FROM e""",
 )
 def r17(spark, sf):
-    grid = D.cells(spark, sf)
-    box = grid.join(_edits(spark, sf).filter("dz != 0"), "cell").agg(*(f(k).alias(f"{f.__name__}_{k}") for k in "rc" for f in (F.min, F.max)))
-    return box.crossJoin(F.broadcast(grid.agg(F.max("r").alias("top")))).select(
-        F.greatest(F.col("min_r") - 2, F.lit(0)).alias("r0"), F.least(F.col("max_r") + 2, "top").alias("r1"), F.greatest(F.col("min_c") - 2, F.lit(0)).alias("c0"), F.least(F.col("max_c") + 2, F.lit(D.NX - 1)).alias("c1")
-    )
+    return R.window_of(D.cells(spark, sf), _edits(spark, sf).filter("dz != 0"), 2)
 
 
 @query(
     "r18_region_of_interest",
-    f"""{V}, m AS (SELECT cell FROM asset_cells UNION SELECT cell FROM guard WHERE cell % 50 < 20), b AS (SELECT min(r) - 16 AS r0, max(r) + 16 AS r1, min(c) - 16 AS c0, max(c) + 16 AS c1 FROM cells SEMI JOIN m USING (cell)),
+    f"""{V}, m AS (SELECT cell FROM asset_cells UNION SELECT cell FROM guard), b AS (SELECT min(r) - 20 AS r0, max(r) + 20 AS r1, min(c) - 20 AS c0, max(c) + 20 AS c1 FROM cells SEMI JOIN m USING (cell)),
     k AS (SELECT greatest(r0, 0) AS r0, least(r1, {NY} - 1) AS r1, greatest(c0, 0) AS c0, least(c1, 49) AS c1 FROM b) SELECT *, 2 * (r1 - r0 + 1) * (c1 - c0 + 1) <= 50 * {NY} AS accepted FROM k""",
 )
 def r18(spark, sf):
-    wanted = D.asset_cells(spark, sf).select("cell").union(D.guard(spark, sf).filter("cell % 50 < 20")).distinct()
-    grid = D.cells(spark, sf)
-    box = grid.join(wanted, "cell", "left_semi").agg((F.min("r") - 16).alias("r0"), (F.max("r") + 16).alias("r1"), (F.min("c") - 16).alias("c0"), (F.max("c") + 16).alias("c1"))
-    cut = box.crossJoin(F.broadcast(grid.agg(F.max("r").alias("top")))).selectExpr("greatest(r0, 0) AS r0", "least(r1, top) AS r1", "greatest(c0, 0) AS c0", f"least(c1, {D.NX - 1}) AS c1", "top")
-    return cut.selectExpr("r0", "r1", "c0", "c1", f"2 * (r1 - r0 + 1) * (c1 - c0 + 1) <= {D.NX} * (top + 1) AS accepted")
+    """Water travels 97 m here, over cells of 5 m."""
+    wanted = D.asset_cells(spark, sf).select("cell").union(D.guard(spark, sf)).distinct()
+    return R.region_of_interest(D.cells(spark, sf), wanted, 97.0, 5.0)
 
 
 @query(

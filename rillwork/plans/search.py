@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillwork.operators import corridors as C
 from rillwork.operators import ranking as K
 from rillwork.operators import search
 from rillwork.operators.storms import running
@@ -127,36 +128,78 @@ def e2(spark, sf):
 
 
 FLOW = "fl AS (SELECT cell, r, c, z - 1000 AS qx, (n - 0.025::DOUBLE) * 4000 AS qy FROM cells)"
-UP = f"""{FLOW}, nb AS (SELECT (r + i) * 50 + c + j AS cell, cell AS source, (qx * j + qy * i) / sqrt((i * i + j * j)::DOUBLE) AS inflow FROM fl, (SELECT a.d AS i, b.d AS j FROM (VALUES (-1), (0), (1)) AS a(d), (VALUES (-1), (0), (1)) AS b(d) WHERE a.d <> 0 OR b.d <> 0)
-    WHERE r + i BETWEEN 0 AND {NY} - 1 AND c + j BETWEEN 0 AND 49), up AS (SELECT cell, source, inflow FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY inflow DESC, source) AS k FROM nb) WHERE k = 1 AND inflow > 0)"""
 
 
 def _flow(spark, sf):
     return D.cells(spark, sf).selectExpr("cell", "r", "c", "z - 1000 AS qx", "(n - 0.025D) * 4000 AS qy")
 
 
-@query("e22_corridor_starts", f"{V}, {UP} SELECT cell, source, round(inflow, 6) AS inflow FROM up WHERE cell IN (SELECT cell FROM asset_cells) AND source NOT IN (SELECT cell FROM asset_cells)")
+NEAR = f"""{FLOW}, nb AS (SELECT (r + i) * 50 + c + j AS cell, cell AS source, (qx * j + qy * i) / sqrt((i * i + j * j)::DOUBLE) AS inflow FROM fl, (SELECT a.d AS i, b.d AS j FROM (VALUES (-1), (0), (1)) AS a(d), (VALUES (-1), (0), (1)) AS b(d) WHERE a.d <> 0 OR b.d <> 0)
+    WHERE r + i BETWEEN 0 AND {NY} - 1 AND c + j BETWEEN 0 AND 49), tg AS (SELECT DISTINCT cell FROM asset_cells WHERE cell < (SELECT count(*) FROM cells)),
+    st AS (SELECT source AS start, max(inflow) AS inflow FROM nb SEMI JOIN tg USING (cell) WHERE inflow > 0 AND source NOT IN (SELECT cell FROM tg) GROUP BY source)"""
+
+
+def _targets(spark, sf):
+    """The cells of all assets as one target."""
+    return D.asset_cells(spark, sf).join(D.cells(spark, sf).select("cell"), "cell", "left_semi").select(F.lit("assets").alias("target"), "cell").distinct()
+
+
+@query("e22_corridor_starts", f"{V}, {NEAR} SELECT 'assets' AS target, start, round(inflow, 6) AS inflow FROM st")
 def e22(spark, sf):
-    target = D.asset_cells(spark, sf).select("cell").distinct()
-    up = K.upstream(_flow(spark, sf), D.NX, _ny(spark, sf)).join(target, "cell", "left_semi").join(target.withColumnRenamed("cell", "source"), "source", "left_anti")
-    return up.select("cell", "source", F.round("inflow", 6).alias("inflow"))
+    return C.starts(_flow(spark, sf), _targets(spark, sf), D.NX, _ny(spark, sf)).withColumn("inflow", F.round("inflow", 6))
 
 
 @query(
     "e23_corridor_trace",
-    f"""WITH RECURSIVE {D.SQL}, {UP}, walk(start, i, cell) AS (SELECT cell, 0, cell FROM up WHERE cell % 97 = 0 UNION ALL SELECT start, i + 1, up.source FROM walk JOIN up ON up.cell = walk.cell WHERE i < 40) SELECT start, i, cell FROM walk""",
+    f"""WITH RECURSIVE {D.SQL}, {NEAR}, ok AS (SELECT * FROM nb WHERE inflow > 0 AND source NOT IN (SELECT cell FROM tg)), walk(start, i, cell, way, least) AS (SELECT start, 0, start, [start], 0.05::DOUBLE * inflow FROM st
+    UNION ALL SELECT start, i, cell, way, least FROM (SELECT w.start, w.i + 1 AS i, k.source AS cell, list_append(w.way, k.source) AS way, w.least, row_number() OVER (PARTITION BY w.start ORDER BY k.inflow DESC, k.source) AS rn
+    FROM walk w JOIN ok k ON k.cell = w.cell WHERE k.inflow > w.least AND NOT list_contains(w.way, k.source) AND w.i < 4 * (50 + {NY})) WHERE rn = 1) SELECT start, i, cell FROM walk""",
 )
 def e23(spark, sf):
-    """Walks upstream along each cell's strongest inflow. Walkers double their reach each round, so 40 steps are six joins."""
-    up = K.upstream(_flow(spark, sf), D.NX, _ny(spark, sf)).select("cell", "source")
-    jumps = {1: up}
-    for k in (1, 2, 4, 8, 16):
-        half = jumps[k]
-        jumps[2 * k] = half.join(half.select(F.col("cell").alias("source"), F.col("source").alias("far")), "source").select("cell", F.col("far").alias("source"))
-    walk = up.filter("cell % 97 = 0").select(F.col("cell").alias("start"), F.lit(0).alias("i"), "cell")
-    for k in (1, 2, 4, 8, 16, 32):
-        walk = walk.union(walk.join(jumps[k], "cell").select("start", (F.col("i") + k).alias("i"), F.col("source").alias("cell")))
-    return walk.filter("i <= 40")
+    """The ways of all starts, upstream."""
+    flow, targets, ny = _flow(spark, sf), _targets(spark, sf), _ny(spark, sf)
+    return C.traces(C.starts(flow, targets, D.NX, ny), flow, targets, D.NX, ny)
+
+
+@query("e23_chosen_corridors")
+def e23b(spark, sf):
+    """The four corridors with most water, over ground that isn't a wall; tests hold the choice against a plain loop."""
+    flow, targets, ny = _flow(spark, sf), _targets(spark, sf), _ny(spark, sf)
+    found = C.starts(flow, targets, D.NX, ny)
+    return C.chosen(found, C.traces(found, flow, targets, D.NX, ny), D.cells(spark, sf).filter("NOT wall"), D.NX, ny, 4)
+
+
+LINES = """ln AS (SELECT r_regionkey::BIGINT AS corridor, i, 10 + 20.0::DOUBLE * i AS x, 20 + r_regionkey * 15.0::DOUBLE + (i % 3) * 6 AS y FROM region, range(7) AS t(i)), sg AS (SELECT corridor, i, x, y, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM ln WINDOW w AS (PARTITION BY corridor ORDER BY i)),
+    ar AS (SELECT *, sqrt(dx * dx + dy * dy) AS d, coalesce(sum(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY corridor ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0, sum(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY corridor) AS total FROM sg WHERE dx IS NOT NULL),
+    hit AS (SELECT w.*, a.x + (w.s * a.total - a.s0) / a.d * a.dx AS px, a.y + (w.s * a.total - a.s0) / a.d * a.dy AS py, a.dx / a.d AS tx, a.dy / a.d AS ty, row_number() OVER (PARTITION BY w.cand, w.corridor ORDER BY a.i DESC) AS rn FROM wanted w JOIN ar a ON a.corridor = w.corridor AND a.s0 <= w.s * a.total)"""
+
+
+def _pieces(spark, sf):
+    points = D.table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("corridor"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i"))
+    return C.segments(points.selectExpr("corridor", "i", "10 + 20D * i AS x", "20 + corridor * 15D + (i % 3) * 6 AS y"))
+
+
+@query("e25_arc_points", f"{V}, wanted AS (SELECT cand, (k % 5)::BIGINT AS corridor, max(u) AS s FROM theta WHERE k < 5 GROUP BY 1, 2), {LINES} SELECT cand, corridor, round(px, 6) AS px, round(py, 6) AS py, round(tx, 6) AS tx, round(ty, 6) AS ty FROM hit WHERE rn = 1")
+def e25b(spark, sf):
+    """Points and directions along five corridors, at a fraction of each one's length for every design point."""
+    wanted = D.theta(spark, sf).filter("k < 5").select("cand", F.col("k").cast("bigint").alias("corridor"), F.col("u").alias("s"))
+    return C.placed_at(wanted, _pieces(spark, sf)).select("cand", "corridor", *(F.round(c, 6).alias(c) for c in ("px", "py", "tx", "ty")))
+
+
+ALONG = [{"kind": "berm", "length": (10, 40), "width": (4, 24), "height": (0.1, 1.5)}, {"kind": "mound", "width": (6, 10), "height": (0.2, 1.0)}]
+
+
+@query(
+    "c2_corridor_decode",
+    f"""WITH {D.SQL.replace("range(1, 7)", "range(1, 8)")}, wanted AS (SELECT cand, 0::BIGINT AS corridor, max(u) FILTER (k = 0) AS s, max(u) FILTER (k = 1) AS o, max(u) FILTER (k = 2) AS l, max(u) FILTER (k = 3) AS h FROM theta GROUP BY cand
+    UNION ALL SELECT cand, 1, max(u) FILTER (k = 4), max(u) FILTER (k = 5), NULL, max(u) FILTER (k = 6) FROM theta GROUP BY cand), {LINES},
+    off AS (SELECT *, (o * 2 - 1) * 1.5 * CASE corridor WHEN 0 THEN 24 ELSE 10 END AS f, degrees(atan2(ty, tx)) + 90 AS a FROM hit WHERE rn = 1)
+    SELECT cand, corridor::INT AS slot, CASE corridor WHEN 0 THEN 'berm' ELSE 'mound' END AS kind, round((px - ty * f) / 0.5) * 0.5 AS x, round((py + tx * f) / 0.5) * 0.5 AS y, CASE corridor WHEN 0 THEN round((10 + 30 * l) / 0.5) * 0.5 ELSE 0 END AS length,
+    CASE corridor WHEN 0 THEN 14.0 ELSE 8.0 END AS width, CASE corridor WHEN 0 THEN round(a - 180 * floor(a / 180)) ELSE 0 END AS angle, round(CASE corridor WHEN 0 THEN 0.1 + 1.4 * h ELSE 0.2 + 0.8 * h END / 0.01) * 0.01 AS height FROM off""",
+)
+def c2(spark, sf):
+    """Designs along corridors: a berm across the first one, a mound beside the second."""
+    return C.decode(D.theta(spark, sf, 7), ALONG, _pieces(spark, sf))
 
 
 @query("e24_corridor_clip", f"{V}, t AS (SELECT cell, step, h >= 0.2 AS good FROM traj), i AS (SELECT cell, step, good, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY step) AS g FROM t), r AS (SELECT cell, min(step) AS start, max(step) AS stop, count(*) AS n FROM i WHERE good GROUP BY cell, g HAVING count(*) >= 3) SELECT cell, start, stop FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, start) AS k FROM r) WHERE k = 1")

@@ -59,10 +59,10 @@ def hyeto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(first)).select(F.col("event_type").alias("series"), ((F.col("us") - F.col("first")) / 1000000).alias("t"), F.col("value").alias("rate"))
 
 
-def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cand, generation, k, u): the first six coordinates of design points, in [0, 1]."""
+def theta(spark: SparkSession, sf_dir: str, dims: int = 6) -> DataFrame:
+    """(cand, generation, k, u): the coordinates of design points of so many dimensions, in [0, 1]."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("cand"), F.col("label").alias("generation"), F.posexplode(F.slice("embedding", 1, 6)).alias("k", "x")).select(
+    return e.select(F.col("vec_id").alias("cand"), F.col("label").alias("generation"), F.posexplode(F.slice("embedding", 1, dims)).alias("k", "x")).select(
         "cand", "generation", "k", F.least(F.greatest(F.col("x").cast("double") + 0.5, F.lit(0.0)), F.lit(1.0)).alias("u")
     )
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.operators import flow, ranking, search, validation
+from rillwork.operators import corridors, design, evaluation, flow, ranking, search, validation
 from rillwork.sources import exchange
 from rillwork.streaming import sync
 
@@ -84,3 +84,124 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     done, every = set(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())), set(map(tuple, sync.sync_totals(rows, "1 hour").collect()))
     assert done and done <= every and len(every - done) <= 4
+
+
+def _table(spark, grid, h, cand=0, **more):
+    ny, nx = grid.z.shape
+    n = np.broadcast_to(grid.n, grid.z.shape)
+    rows = [(cand, i * nx + j, i, j, float(grid.z[i, j]), float(n[i, j]), bool(grid.wall[i, j]), float(h[i, j]), 0.0, 0.0) for i in range(ny) for j in range(nx)]
+    return spark.createDataFrame(rows, "cand bigint, cell bigint, r int, c int, z double, n double, wall boolean, h double, qx double, qy double")
+
+
+@pytest.mark.parametrize("scheme", ["hll", "inertial"])
+def test_runs_as_tables_are_the_array_runs(spark, scheme):
+    """Peaks, times and ledger of a storm over a small basin, in both forms."""
+    rng = np.random.default_rng(4)
+    grid = flow.Grid(rng.random((5, 6)) * 0.2, 0.03, dx=2.0, dy=3.0)
+    p = flow.Params(4.0, 2.0, rain=((0.0, 0.002), (3.0, 0.0)), infiltration=1e-4 if scheme == "hll" else 0.0, scheme=scheme, dt_max=1.0)
+    h = rng.random((5, 6)) * 0.1
+    run = flow.Run(grid, p, h)
+    for _ in run.syncs():
+        pass
+    done, ledger = flow.run_batch(_table(spark, grid, h), p, 2.0, 3.0)
+    rows = sorted(done.collect(), key=lambda r: r.cell)
+    assert np.allclose([r.h for r in rows], run.h.ravel(), atol=1e-9) and np.allclose([r.peak for r in rows], run.peak.ravel(), atol=1e-9)
+    assert [x["t"] for x in ledger] == [x[0] for x in run.ledger] and ledger[-1]["steps"] == run.steps
+    last = ledger[-1]
+    assert last["volume"] == pytest.approx(h.sum() + last["rain"] - last["seeped"] + last["fix"], rel=1e-9)
+
+
+def _problem(spark, **more):
+    z = np.fromfunction(lambda i, j: 0.1 * i + 0.02 * j, (8, 10))
+    cells = _table(spark, flow.Grid(z, 0.03), np.zeros((8, 10))).drop("cand")
+    assets = spark.createDataFrame([(1, 0.002, 2.0)], "asset int, threshold double, weight double")
+    given = dict(
+        cells=cells, editable=cells.select("cell", "r", "c"), assets=assets, asset_cells=spark.createDataFrame([(1, 4), (1, 5)], "asset int, cell bigint"), guard=spark.createDataFrame([(0,), (9,)], "cell bigint"),
+        params=flow.Params(4.0, 2.0, rain=((0.0, 0.001),)), nx=10, d=1.0, max_volume=30.0, cost_weight=0.01, tolerance=0.5,
+    )
+    return evaluation.Problem(**(given | more)), z
+
+
+PRIMITIVES = "cand bigint, slot int, kind string, x double, y double, length double, width double, angle double, height double"
+
+
+def test_evaluation_from_primitives_to_outcomes(spark):
+    """A berm's outcome against a run in arrays; one too large is rejected without a run; a guard or an incumbent stops runs."""
+    problem, z = _problem(spark)
+    made = spark.createDataFrame([(1, 0, "berm", 5.0, 3.0, 4.0, 2.0, 0.0, 0.3), (2, 0, "berm", 5.0, 4.0, 9.0, 9.0, 0.0, 1.0)], PRIMITIVES)
+    known = evaluation.without_changes(problem)
+    got = {r.cand: r for r in evaluation.evaluated(made, known).collect()}
+    assert got[2].status == "static_infeasible" and got[2].j == 1e300 and got[2].violation > 1e6 and not got[2].feasible
+    dz = np.zeros(80)
+    for r in design.materialize(made.filter("cand = 1"), problem.editable, 1.0, 1.0).collect():
+        dz[r.cell] = r.dz
+    run = flow.Run(flow.Grid(z, 0.03), problem.params, np.zeros((8, 10)), dz.reshape(8, 10))
+    for _ in run.syncs():
+        pass
+    x = (max(run.peak.ravel()[[4, 5]]) - 0.002) / 0.05
+    assert got[1].status == "ok" and got[1].feasible and got[1].j == pytest.approx(2 * 0.05 * np.log1p(np.exp(x)) + 0.01 * np.maximum(dz, 0).sum(), rel=1e-6)
+    stopped = {r.cand: r for r in evaluation.evaluated(made, known, incumbent=0.0).collect()}
+    assert stopped[1].status == "incumbent_abort" and 0 < stopped[1].j <= got[1].j
+    strict = evaluation.evaluated(made, evaluation.replace(known, tolerance=-1e-6)).collect()
+    assert {r.cand: (r.status, r.breach_sync) for r in strict} == {1: ("guard_abort", 1), 2: ("static_infeasible", None)}
+
+
+def test_ways_upstream_against_a_plain_loop(spark):
+    rng = np.random.default_rng(9)
+    nx, ny, targets = 9, 8, {"a": {40, 41}, "b": {13}}
+    q = rng.normal(0, 1, (ny * nx, 2))
+    rows = [(k, k // nx, k % nx, float(q[k, 0]), float(q[k, 1])) for k in range(nx * ny)]
+    field = spark.createDataFrame(rows, "cell bigint, r bigint, c bigint, qx double, qy double")
+    wanted = spark.createDataFrame([(n, k) for n, m in targets.items() for k in m], "target string, cell bigint")
+    near = lambda k: [(k // nx + i) * nx + k % nx + j for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and 0 <= k // nx + i < ny and 0 <= k % nx + j < nx]
+
+    def sends(a, b):
+        i, j = b // nx - a // nx, b % nx - a % nx
+        return (q[a, 0] * j + q[a, 1] * i) / np.hypot(i, j)
+
+    inside = set().union(*targets.values())
+    first = {(n, k): max(sends(k, t) for t in near(k) if t in m) for n, m in targets.items() for k in range(nx * ny) if k not in m and any(t in m for t in near(k))}
+    first = {k: v for k, v in first.items() if v > 0}
+    found = corridors.starts(field, wanted, nx, ny)
+    assert {(r.target, r.start): pytest.approx(r.inflow) for r in found.collect()} == first
+    ways = {}
+    for _, k in first:
+        way, least = [k], 0.05 * max(v for (_, s), v in first.items() if s == k)
+        while True:
+            open_ = [(-sends(n, way[-1]), n) for n in near(way[-1]) if n not in way and n not in inside and sends(n, way[-1]) > least]
+            if not open_:
+                break
+            way.append(min(open_)[1])
+        ways[k] = way
+    traced = corridors.traces(found, field, wanted, nx, ny)
+    got = {}
+    for r in sorted(traced.collect(), key=lambda r: r.i):
+        got.setdefault(r.start, []).append(r.cell)
+    assert got == ways
+    editable, used, want = {k for k in range(nx * ny) if k % 7}, set(), []
+    for (name, k), _ in sorted(first.items(), key=lambda x: (-x[1], x[0][1])):
+        if k in used or len(want) == 2:
+            continue
+        used |= {n for c in ways[k] for n in [c, *near(c)]}
+        best, run = [], []
+        for c in ways[k]:
+            run = [*run, c] if c in editable else []
+            best = run if len(run) > len(best) else best
+        if len(best) >= 3:
+            want.append((name, best[::-1]))
+    rows = sorted(corridors.chosen(found, traced, field.filter("cell % 7 != 0"), nx, ny, 2).collect(), key=lambda r: (r["rank"], r.i))
+    assert [(n, [r.cell for r in rows if r["rank"] == k]) for k, (n, _) in enumerate(want)] == want and {r["rank"] for r in rows} == set(range(len(want)))
+
+
+def test_means_along_corridors():
+    specs = [{"kind": "mound"}, {"kind": "berm"}, {"kind": "berm"}]
+    assert corridors.heuristic_mean(specs, 0.5) == [0.5, 0.5, 0.0, 0.5, 0.5, 0.6, 0.8, 0.5, 0.5, 0.6, 0.0]
+    assert [m[0] for m in corridors.restart_means(specs)] == [0.25, 0.75, 0.4, 0.6]
+
+
+def test_compass_finds_the_minimum():
+    c = search.Compass(3, seed=1)
+    for _ in range(60):
+        x = c.ask()
+        c.tell(x, [(bool(p[0] >= 0.2), float(((p - 0.3) ** 2).sum()), float(max(0.2 - p[0], 0))) for p in x])
+    assert c.best[1] < 1e-4 and np.allclose(c.at, 0.3, atol=0.02)

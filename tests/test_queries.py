@@ -10,6 +10,8 @@ from rillwork.plans import registry
 
 DIR = os.environ.get("RILLWORK_TEST_DIR", "/root/testdata/sf0.001")
 OWN, SQL = registry.queries(), registry.oracle_sql()
+#: Queries that may have no rows on so small tables.
+EMPTY_HERE: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +43,7 @@ def test_query_matches_sql(name, spark, duck):
     mine = sorted(tuple(norm(r[c]) for c in columns) for r in df.collect())
     theirs = sorted(tuple(norm(x) for x in r) for r in want.fetchall())
     assert mine == theirs
+    assert mine or name in EMPTY_HERE
 
 
 @pytest.mark.parametrize("name", sorted(set(OWN) - set(SQL)))
