@@ -47,7 +47,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, id_col: str
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     distinct = own.groupBy("payload_digest").agg(F.first("payload").alias("payload"))
     distinct.repartition(buckets, "payload_digest").write.bucketBy(buckets, "payload_digest").option("path", f"{folder}/payloads").saveAsTable(_payloads(folder))
-    rows = attach(facts, groups.drop("_bytes"), "payload_digest", "_size", facts.count())
+    rows = attach(facts, stored(groups.drop("_bytes"), "page-groups"), "payload_digest", "_size", facts.count())
     again = (F.col("payload_bytes") >= least) & (F.col("page_id") != F.col("first_id"))
     kind = F.when(again, "revisit").otherwise("response")
     identity = F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))
@@ -120,6 +120,6 @@ def read_records(spark, folder: str) -> DataFrame:
     )
     revisits = found.filter("record_type = 'revisit'").drop("payload_bytes")
     sizes = found.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    sizes = sizes.join(revisits.groupBy("payload_digest").agg(F.count("*").alias("_size")), "payload_digest")
+    sizes = stored(sizes.join(revisits.groupBy("payload_digest").agg(F.count("*").alias("_size")), "payload_digest"), "revisited")
     again = attach(revisits, sizes, "payload_digest", "_size", found.count(), "inner").drop("_size")
     return found.filter("record_type = 'response'").unionByName(again)

@@ -128,7 +128,7 @@ def numbered(turns: DataFrame, block: int) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("_key", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     place = F.row_number().over(Window.partitionBy("_key").orderBy("turn", "role", "text")) - 1
-    placed = attach(turns.withColumn("_place", place), bases, "_key", "_n", total)
+    placed = attach(turns.withColumn("_place", place), stored(bases, "bases"), "_key", "_n", total)
     return placed.withColumn("block", F.floor((F.col("_base") + F.col("_place")) / block)).drop("_key", "_n", "_base", "_place", "stretch", "part")
 
 
@@ -144,7 +144,7 @@ def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 2,
     heads = edges.filter("block = 0").select(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("_of"), F.filter("head", lambda t: t["role"] == "system").alias("system"))
     sizes = blocks.groupBy(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("_of")).agg(F.count("*").alias("_n"))
     rows = blocks.withColumn("_at", key(F.col("block"))).join(tails, "_at", "left").withColumn("_of", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
-    placed = attach(rows, heads.join(sizes, "_of"), "_of", "_n", blocks.count()).select("conv_id", "block", "own", F.coalesce("carried", F.slice("own", 1, 0)).alias("carried"), "system")
+    placed = attach(rows, heads.join(sizes, "_of"), "_of", "_n", blocks.count(), sizes=sizes).select("conv_id", "block", "own", F.coalesce("carried", F.slice("own", 1, 0)).alias("carried"), "system")
     return placed.mapInPandas(_windows(budget, history, vocabulary or default_vocabulary()), WINDOWS)
 
 

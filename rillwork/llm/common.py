@@ -56,23 +56,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left", sizes: DataFrame | None = None) -> DataFrame:
     """Join of rows with one row per key of groups, whatever share of the rows a key holds.
 
-    groups has a column `size` with the rows of its key. The rows of a key with more than total / HOT_SHARE of them are dealt to parts
-    of about that many, and the group is repeated for each part; only the numbers of parts of such keys, at most HOT_SHARE of them,
-    are broadcast. A null key meets nothing, and its rows are dealt to parts too.
+    groups has a column `size` with the rows of its key (as has `sizes`, where that is cheaper to read). The rows of keys with more than
+    total / HOT_SHARE of them are dealt to as many parts as the largest key needs, and these groups are repeated for each part; only
+    such keys, at most HOT_SHARE of them, and that number reach the driver. A null key meets nothing, and its rows are dealt to parts too.
     """
-    most = max(1, total // HOT_SHARE)
-    parts, part = unused(rows, "_parts"), unused(rows, "_part")
-    of = F.ceil(F.col(size) / most).cast("int")
-    hot = groups.filter(F.col(size) > most).select(key, of.alias(parts))
+    most, part = max(1, total // HOT_SHARE), unused(rows, "_part")
+    hot = (groups if sizes is None else sizes).filter(F.col(size) > most).select(key, size).collect()
+    parts = max((-(-r[1] // most) for r in hot), default=1)
+    is_hot = F.col(key).isin([r[0] for r in hot]) if hot else F.lit(False)
     # a row's part follows from its values and its task, so a task that runs again deals as before
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(
-        part, F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.coalesce(parts, F.lit(1)))).cast("int")
-    )
-    copies = groups.withColumn(part, F.explode(F.sequence(F.lit(0), F.greatest(of, F.lit(1)) - 1)))
-    return dealt.drop(parts).join(copies, [key, part], how).drop(part)
+    many = F.when(F.col(key).isNull(), HOT_SHARE).when(is_hot, parts).otherwise(1)
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), many).cast("int"))
+    copies = groups.withColumn(part, F.explode(F.sequence(F.lit(0), F.when(is_hot, parts).otherwise(1) - 1)))
+    return dealt.join(copies, [key, part], how).drop(part)
 
 
 def text_of(column: str) -> Column:

@@ -49,8 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
         total = now.count()
         large = stored(attach(both, least, "a", "_n", 2 * total, "inner").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct(), "large")
-        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("_n"))
+        low = stored(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("_n")), "low")
         met = attach(large, low, "b", "_n", total, "inner")
         new = stored(met.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").mapInArrow(_forest, EDGE).distinct(), "links")
-        dropped(now, large, least)
+        dropped(now, large, least, low)
         now = new

@@ -215,11 +215,11 @@ def _as(table: DataFrame, side: str, *columns: str) -> DataFrame:
 
 def _met(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs with columns of both nodes. A node may be `a` of any share of the pairs; `b` of pairs is joined as it is."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    return attach(pairs.join(right, "b"), left.join(sizes, "a"), "a", "_n", pairs.count(), "inner")
+    sizes = stored(pairs.groupBy("a").agg(F.count("*").alias("_n")), "sizes")
+    return attach(pairs.join(right, "b"), left.join(sizes, "a"), "a", "_n", pairs.count(), "inner", sizes)
 
 
-def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
     own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     per_band = bands_for(num, den)
@@ -250,7 +250,7 @@ def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     if not close.isEmpty():
         roots = stored(components(confirmed(close).union(roots.select("root", "node"))), "roots")
     linked = roots.join(nodes.select("node", "doc_id"), "node")
-    lowest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n"))
+    lowest = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")), "lowest")
     answer = stored(attach(linked, lowest, "root", "_n", roots.count(), "inner").select(F.col("node").alias("_node"), "component_id"), "answer")
     whole = nodes.select(F.col("node").alias("_node"), "doc_id").join(answer, "_node", "left").select("_node", F.coalesce("component_id", "doc_id").alias("component_id"))
     return _answered(prints, whole)
@@ -276,7 +276,7 @@ def _sets_of(own: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
 def _centre_pairs(placed: DataFrame, turn: int) -> DataFrame:
     """Each node with the centre, of another component, that it meets in most buckets; other centres in each turn."""
     first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("root").alias("_root"))).alias("c")
-    centres = placed.groupBy("bucket").agg(first, F.count("*").alias("_n")).select("bucket", "c.a", "c._root", "_n")
+    centres = stored(placed.groupBy("bucket").agg(first, F.count("*").alias("_n")).select("bucket", "c.a", "c._root", "_n"), "centres")
     met = attach(placed.drop("_n"), centres, "bucket", "_n", placed.count(), "inner").filter("root != _root").groupBy("node", "a").agg(F.count("*").alias("_k"))
     return met.groupBy("node").agg(F.max(F.struct("_k", "a")).alias("m")).select("m.a", F.col("node").alias("b"))
 
@@ -285,6 +285,7 @@ def _unsettled(placed: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the buckets that hold members of two components or more, with the roots that the links give."""
     now = stored(placed.drop("root", "_n").join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     mixed = now.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket", "_n")
+    mixed = stored(mixed, "mixed")
     out = stored(attach(now, mixed, "bucket", "_n", now.count(), "inner"), "placed")
     dropped(now)
     return out
@@ -297,7 +298,7 @@ def _apart_pairs(placed: DataFrame, traits: DataFrame, sets: DataFrame, num: int
     known = stored(traits.drop("doc_id").join(own.mapInArrow(_parities, "node bigint, parity binary"), "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "known")
     # a node needs a partner of at least the bucket's least size, and shares with it at most what it hasn't alone
     sized = stored(placed.drop("_n").join(known.select("node", "n_shingles", "alone"), "node"), "sized")
-    low = sized.groupBy("bucket").agg(F.min("n_shingles").alias("_low"), F.count("*").alias("_n"))
+    low = stored(sized.groupBy("bucket").agg(F.min("n_shingles").alias("_low"), F.count("*").alias("_n")), "low")
     can = stored(attach(sized, low, "bucket", "_n", sized.count(), "inner").filter(f"{den + num} * (n_shingles - alone) >= {num} * (n_shingles + _low)").select("bucket", "band", "node", "root"), "can")
     return _dealt(_by_minor(can), block).join(known, "node").groupBy("bucket", "kind", "p", "q").applyInArrow(_block_pairs(num, den, least), PAIR)
 
@@ -307,6 +308,7 @@ def _by_minor(rows: DataFrame) -> DataFrame:
     (minor). Buckets of one component are left out."""
     of = rows.groupBy("bucket", "root").agg(F.count("*").alias("_k")).groupBy("bucket").agg(F.max(F.struct("_k", "root")).alias("top"), F.sum("_k").alias("_n"))
     sizes = of.filter("_n > top._k").select("bucket", "_n", F.col("top._k").alias("_major"), F.col("top.root").alias("_top"), (F.col("_n") - F.col("top._k")).alias("_minor"))
+    sizes = stored(sizes, "sizes")
     met = attach(rows, sizes, "bucket", "_n", rows.count(), "inner")
     return stored(met.withColumn("minor", F.col("root") != F.col("_top")).drop("_n", "_top"), "by-minor")
 
@@ -328,8 +330,8 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
 def _answered(prints: DataFrame, answer: DataFrame) -> DataFrame:
     """Every document with its node's component. Documents of one node are many where copies are, so they are joined in parts."""
     rows = prints.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("_node"))
-    sizes = rows.filter("_node is not null").groupBy("_node").agg(F.count("*").alias("_size"))
-    found = attach(rows, answer.join(sizes, "_node"), "_node", "_size", prints.count())
+    sizes = stored(rows.filter("_node is not null").groupBy("_node").agg(F.count("*").alias("_size")), "sizes")
+    found = attach(rows, answer.join(sizes, "_node"), "_node", "_size", prints.count(), sizes=sizes)
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
