@@ -10,8 +10,8 @@ from rillwork.plans import registry
 
 DIR = os.environ.get("RILLWORK_TEST_DIR", "/root/testdata/sf0.001")
 OWN, SQL = registry.queries(), registry.oracle_sql()
-#: Queries that may have no rows on so small tables.
-EMPTY_HERE: set[str] = set()
+#: Queries that have no rows on the smallest tables, whose grid has four rows of cells.
+EMPTY_HERE = {"r10_south_crest", "r19_roi_ring", "r20_sub_terrain", "io14_tin"}
 
 
 @pytest.fixture(scope="module")
