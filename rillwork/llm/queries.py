@@ -1,4 +1,4 @@
-"""The registered queries of the ten corpus operators: thin, over whole tables, with production parameters."""
+"""The registered queries of the corpus operators: thin, over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import archive, binary_packing, chat, class_ngrams, exact_dedup, gumbel_segments, html_wrapper, near_dedup, packing, quality
+from rillwork.llm import archive, binary_packing, chat, class_ngrams, exact_dedup, gumbel_segments, html_wrapper, near_dedup, novelty, packing, quality, runs, whitening
 from rillwork.llm.common import new_folder
 
 
@@ -65,8 +65,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novelty.found_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op12_subspace_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_partition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents' words, after the tails of every tenth document were made to repeat."""
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), places=runs.planted_tails)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op2_nnls_packing, op3_binary_packing, op4_class_ngrams, op5_content_archive, op6_gumbel_segments, op7_superminhash, op8_wrapper_text, op9_line_quality, op10_exact_dedup)}
+    every = (
+        op1_chat_windows, op2_nnls_packing, op3_binary_packing, op4_class_ngrams, op5_content_archive, op6_gumbel_segments, op7_superminhash, op8_wrapper_text, op9_line_quality, op10_exact_dedup,
+        op11_zstd_novelty, op12_subspace_whitening, op13_partition_runs,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
