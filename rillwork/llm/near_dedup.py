@@ -1,6 +1,6 @@
 """Near duplicates by SuperMinHash signatures, banding, verification and union-find grouping.
 
-A text's set is its distinct word shingles. Texts of equal sets are one node. A SuperMinHash signature gives every element a
+A text's set is its distinct word shingles. Texts of equal sets, by 128 bits, are one node. A SuperMinHash signature gives every element a
 random permutation of the signature's places: its rank in that order plus a random fraction is the value it offers a place, and
 a place keeps the least offer, so places are filled without repetition; a text stops as soon as all its places hold less than the
 next rank. Nodes that agree in all rows of a band are in one bucket; buckets of one node are dropped at once. In each of two turns a
@@ -75,20 +75,22 @@ def bands_for(num: int, den: int, size: int = SIZE, loss: float = 1e-6) -> int:
     return max(r for r in range(1, size + 1) if (1 - t**r) ** (size // r) <= loss)
 
 
-def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows and hashes of all shingles, set sizes, and a hash of each whole set."""
+def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and hashes of all shingles, set sizes, and two independent hashes of each whole set."""
     w = words(texts, lower=True)
     row, h = shingles(w, size)
     n = np.bincount(row, minlength=w.rows)
-    whole = np.zeros(w.rows, np.uint64)
-    np.add.at(whole, row, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
-    return row, h, n, mix(whole + n.astype(np.uint64))
+    whole = np.zeros((2, w.rows), np.uint64)
+    for k, seed in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+        np.add.at(whole[k], row, mix(h ^ np.uint64(seed)))
+    node, proof = mix(whole + n.astype(np.uint64))
+    return row, h, n, node, proof
 
 
 def _fingerprints(shingle: int, rows_per_band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
-            row, h, n, node = _sets(b.column("text"), shingle)
+            row, h, n, node, proof = _sets(b.column("text"), shingle)
             s = signatures(row, h, b.num_rows)
             count = SIZE // rows_per_band
             keys = np.zeros((b.num_rows, count), np.uint64)
@@ -103,10 +105,11 @@ def _fingerprints(shingle: int, rows_per_band: int):
                     b.column("doc_id"),
                     pa.array(n.astype(np.int64)),
                     pa.array(node.view(np.int64), mask=empty),
+                    pa.array(proof.view(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))),
                     pa.array([x.tobytes() for x in short], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "bands", "signature"],
+                names=["doc_id", "n_shingles", "node", "proof", "bands", "signature"],
             )
 
     return run
@@ -115,11 +118,10 @@ def _fingerprints(shingle: int, rows_per_band: int):
 def _set_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            row, h, n, node = _sets(b.column("text"), shingle)
+            row, h, n, node, proof = _sets(b.column("text"), shingle)
             edges = np.concatenate([[0], np.cumsum(n)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64)), pa.array([h[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["node", "set"]
-            )
+            sets = pa.array([h[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(proof.view(np.int64)), sets], names=["node", "proof", "set"])
 
     return run
 
@@ -213,36 +215,58 @@ def _as(table: DataFrame, side: str, *columns: str) -> DataFrame:
     return table.select(F.col("node").alias(side), *(F.col(c).alias(f"{c[0]}_{side}") for c in columns))
 
 
-def _met(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs with columns of both nodes. A node may be `a` of any share of the pairs; `b` of pairs is joined as it is."""
-    sizes = stored(pairs.groupBy("a").agg(F.count("*").alias("_n")), "sizes")
-    return attach(pairs.join(right, "b"), left.join(sizes, "a"), "a", "_n", pairs.count(), "inner", sizes)
+def _met(pairs: DataFrame, left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs with columns of both nodes. A node may be `a` of any share of the pairs, and `b` too, but for once: then it is `b` of one pair."""
+    total = pairs.count()
+
+    def met(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+        sizes = stored(pairs.groupBy(key).agg(F.count("*").alias("_n")), "sizes")
+        return attach(rows, other.join(sizes, key), key, "_n", total, "inner", sizes).drop("_n")
+
+    return met(pairs.join(right, "b") if once else met(pairs, right, "b"), left, "a")
+
+
+def _told_apart(rows: DataFrame, clashes: list[int]) -> DataFrame:
+    """Nodes of more than one set, as their second hashes tell, become one node for each of them."""
+    return rows.withColumn("node", F.when(F.col("node").isin(clashes), F.xxhash64("node", "proof")).otherwise(F.col("node"))) if clashes else rows
 
 
 def near_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
     own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     per_band = bands_for(num, den)
-    prints = stored(own.mapInArrow(_fingerprints(shingle, per_band), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, signature binary"), "fingerprints")
-    named = prints.filter("node is not null and doc_id is not null")
-    nodes = stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
+    prints = stored(own.mapInArrow(_fingerprints(shingle, per_band), "doc_id bigint, n_shingles bigint, node bigint, proof bigint, bands array<bigint>, signature binary"), "fingerprints")
+
+    def nodes_of(prints: DataFrame) -> DataFrame:
+        firsts = (F.first(c).alias(c) for c in ("n_shingles", "bands", "signature"))
+        named = prints.filter("node is not null and doc_id is not null")
+        return stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts, F.min("proof").alias("_low"), F.max("proof").alias("_high")), "nodes")
+
+    nodes = nodes_of(prints)
+    # sets are one node if their 128 bits agree; sets that share the first 64 alone are a few in 10^10
+    clashes = [r[0] for r in nodes.filter("_low != _high").select("node").collect()]
+    if clashes:
+        dropped(nodes)
+        prints = _told_apart(prints, clashes)
+        nodes = nodes_of(prints)
+    nodes = nodes.drop("_low", "_high")
     least = _like(num, den)
     placed, traits = _shared_buckets(nodes, SIZE // per_band)
-    sets = _sets_of(own, traits, shingle)
+    sets = _sets_of(own, traits, shingle, clashes)
 
     def likely(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-        near = _met(pairs, _as(traits, "a", "n_shingles", "signature"), _as(traits, "b", "n_shingles", "signature"))
+        near = _met(pairs, _as(traits, "a", "n_shingles", "signature"), _as(traits, "b", "n_shingles", "signature"), once=True)
         near = near.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "s_a", "s_b")
         return stored(near.mapInArrow(_alike(least), PAIR), "likely")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        rows = _met(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")))
+    def confirmed(pairs: DataFrame, once: bool = False) -> DataFrame:
+        rows = _met(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), once)
         return stored(rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), PAIR), "confirmed")
 
     roots = None
     for turn in range(2):
-        found = confirmed(likely(_centre_pairs(placed, turn)))
+        found = confirmed(likely(_centre_pairs(placed, turn)), once=True)
         roots = stored(components(found if roots is None else found.union(roots.select("root", "node"))), "roots")
         before, placed = placed, _unsettled(placed, roots)
         dropped(before)
@@ -265,11 +289,11 @@ def _shared_buckets(nodes: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]
     return placed, traits
 
 
-def _sets_of(own: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+def _sets_of(own: DataFrame, members: DataFrame, shingle: int, clashes: list[int]) -> DataFrame:
     """Full sets of some nodes, made again from one document's text each."""
     wanted = members.select("node", F.col("doc_id").alias("_d"))
     texts = own.join(wanted.select("_d").distinct().hint("shuffle_hash"), own["doc_id"] == F.col("_d"), "left_semi").select("text")
-    made = texts.mapInArrow(_set_rows(shingle), "node bigint, set binary")
+    made = _told_apart(texts.mapInArrow(_set_rows(shingle), "node bigint, proof bigint, set binary"), clashes).drop("proof")
     return stored(made.join(wanted.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 

@@ -78,6 +78,16 @@ def test_near_chain_and_hot_bucket(spark):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows, 3, 85, 100)
 
 
+def test_sets_that_share_one_hash_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 7), (2, 5, 7), (3, 5, 8), (4, 6, 8)], "doc_id bigint, node bigint, proof bigint")
+    node = {r.doc_id: r.node for r in near_dedup._told_apart(rows, [5]).collect()}
+    assert node[1] == node[2] != node[3] and node[4] == 6 and len({node[1], node[3], 5, 6}) == 4
+    assert near_dedup._told_apart(rows, []) is rows
+    w = words(pa.array(["a b c", "c b a", "a b c d"]))
+    row, h, n, one, two = near_dedup._sets(pa.array(["a b c", "c b a", "a b c d"]), 3)
+    assert len(w.hash) == 10 and len(set(one.tolist())) == len(set(two.tolist())) == 3 and not set(one.tolist()) & set(two.tolist())
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     errors = []
