@@ -50,13 +50,13 @@ def materialize(primitives: DataFrame, editable: DataFrame, d: float, most: floa
     at = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     at = at.withColumns({"sx": (F.col("c") + (F.col("k") % samples + 0.5) / samples) * d, "sy": (F.col("r") + (F.floor(F.col("k") / samples) + 0.5) / samples) * d})
     at = at.withColumn("far", distance_to_segment(*(F.col(k) for k in ("sx", "sy", "x0", "y0", "x1", "y1")))).filter("far < width / 2")
-    dz = at.groupBy("cand", "cell").agg((F.sum(F.col("height") * profile(F.col("far"), F.col("width"), F.col("kind"))) / n).alias("dz")).filter("dz != 0")
+    dz = at.groupBy("cand", "cell").agg((exact_sum(F.col("height") * profile(F.col("far"), F.col("width"), F.col("kind"))) / n).alias("dz")).filter("dz != 0")
     return dz.withColumn("dz", F.greatest(F.lit(-most), F.least(F.lit(most), F.col("dz"))))
 
 
 def volumes(edits: DataFrame, area: float) -> DataFrame:
     dz = F.col("dz")
-    return edits.groupBy("cand").agg(F.sum(F.when(dz < 0, -dz).otherwise(0.0) * area).alias("cut_m3"), F.sum(F.when(dz > 0, dz).otherwise(0.0) * area).alias("fill_m3"))
+    return edits.groupBy("cand").agg(exact_sum(F.when(dz < 0, -dz).otherwise(0.0) * area).alias("cut_m3"), exact_sum(F.when(dz > 0, dz).otherwise(0.0) * area).alias("fill_m3"))
 
 
 def steepest(edits: DataFrame, nx: int, dx: float, dy: float) -> DataFrame:
@@ -84,11 +84,16 @@ def asset_peaks(peaks: DataFrame, asset_cells: DataFrame) -> DataFrame:
     return asset_cells.join(peaks, "cell", "left").groupBy("asset").agg(F.greatest(F.coalesce(F.max("peak"), F.lit(0.0)), F.lit(0.0)).alias("peak"))
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum that doesn't depend on the order of its terms: they are rounded to 1e-20 and added exactly."""
+    return F.sum(x.cast("decimal(38,20)")).cast("double")
+
+
 def risk(peaks: DataFrame, tau: float, by: list[str]) -> DataFrame:
     """Smooth exceedance of thresholds: from (..., peak, threshold, weight) to j_risk, total_exceedance_m, assets_exceeding."""
     over = F.col("peak") - F.col("threshold")
     return peaks.groupBy(*by).agg(
-        F.sum(F.col("weight") * tau * softplus(over / tau)).alias("j_risk"), F.sum(F.greatest(over, F.lit(0.0))).alias("total_exceedance_m"), F.count_if(over > 0).alias("assets_exceeding")
+        exact_sum(F.col("weight") * tau * softplus(over / tau)).alias("j_risk"), exact_sum(F.greatest(over, F.lit(0.0))).alias("total_exceedance_m"), F.count_if(over > 0).alias("assets_exceeding")
     )
 
 

@@ -1,24 +1,24 @@
-"""The simulation over tables: time steps as queries over cells, and runs of many candidates as rows (cand, cell).
+"""The simulation over tables: time steps as queries over cells, and runs of many candidates.
 
 A step looks at a cell's four neighbours through windows along raster rows and columns, so it is two sorts at any grid size and any
-number of candidates. A run is one job a step: all candidates of a batch go on together, by the time step that the fastest of their
-waves allows, and the state is a stored table. At sync points candidates that break their limits leave the table.
+number of candidates. Runs are tables of tiles (`tiles.run_tiles`).
 
 `Run` holds the same scheme in arrays, for analytic cases on small grids; tests hold the two forms against each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillwork.functions import hydraulics as H
-from rillwork.sources.stored import dropped, stored
+from rillwork.operators.kernel import hll as hll_of
+from rillwork.operators.tiles import Domain, OnSync, Outcome, Params, cells_of, rain_between, run_tiles, tiled
+from rillwork.sources.stored import stored
 
 #: Arrays of one grid are for cases of a bounded size.
 MOST_CELLS = 4_000_000
@@ -142,67 +142,18 @@ def inertial_rate(h: Column, qx: Column, qy: Column, dx: float, dy: float) -> Co
     return F.when(h > H.H_DRY, (H.celerity(safe) + F.greatest(F.abs(qx), F.abs(qy)) / safe) / min(dx, dy)).otherwise(0.0)
 
 
-def next_dt(rate: float, t: float, sync: float, p: Params) -> tuple[float, bool]:
-    """The next time step, cut or stretched to end at a sync point that it nearly reaches; and whether it does."""
-    most = 0.7 if p.scheme == "inertial" else p.cfl
-    dt = min(most / rate if rate > 0 else p.dt_max, p.dt_max)
-    return (sync - t, True) if t + dt >= sync - 1e-9 * p.sync else (dt, False)
-
-
-def run_batch(state: DataFrame, p: Params, dx: float, dy: float, on_sync: Callable[[DataFrame, float, int], DataFrame | None] | None = None) -> tuple[DataFrame, list[dict]]:
-    """Runs all candidates of a batch: state has cand and STATE. Gives the final state with peak, t_peak and first_wet (s, null if never
-    wet), and one row a sync point: t, steps, dt_min, dt_max, volume, rain, seeped, fix (depths summed over all cells of the batch).
-
-    on_sync gets the state, the time and the sync point's number, and gives a table (cand, ...) of candidates that stop there: their
-    rows leave the state. Only sums and maxima reach the driver."""
-    inertial, spark = p.scheme == "inertial", state.sparkSession
-    step = inertial_step if inertial else one_step
-    rate = (inertial_rate if inertial else H.courant_rate)(F.col("h"), F.col("qx"), F.col("qy"), dx, dy)
-    sums = {"rate": F.max(rate), "wet": F.max("h"), "volume": F.sum("h"), "healthy": F.bool_and("healthy"), "fix": F.sum("fix"), "seeped": F.sum("seeped"), "flow": F.count_if(~F.col("wall"))}
-    wet = F.col("h") > H.H_DRY
-    begin = state.select("cand", *STATE).withColumns({"healthy": F.lit(True), "fix": F.lit(0.0), "seeped": F.lit(0.0), "peak": F.col("h"), "t_peak": F.when(F.col("h") > 0, 0.0), "first_wet": F.when(wet, 0.0)})
-
-    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
-        seen = Observation()
-        out = stored(df.observe(seen, *(x.alias(k) for k, x in sums.items())), "state")
-        return out, seen.get
-
-    now, seen = kept(begin)
-    t, number, sync, ledger, dts = 0.0, 0, min(p.sync, p.duration), [], []
-    total = dict.fromkeys(("rain", "seeped", "fix"), 0.0)
-    while t < p.duration - 1e-9 and seen["flow"]:
-        dt, at_sync = next_dt(seen["rate"] or 0.0, t, sync, p)
-        rain = rain_between(p.rain, t, t + dt) / dt
-        after = sync if at_sync else t + dt
-        if rain == 0 and not seen["wet"]:
-            stepped = now.withColumns({"fix": F.lit(0.0), "seeped": F.lit(0.0), "_t": F.lit(float(after))})  # all is dry and stays so
-        else:
-            # numbers that change from step to step come as a row, so that all steps run the same compiled code
-            row = spark.createDataFrame([(float(dt), float(rain), float(p.infiltration), float(after))], "_dt double, _rain double, _seep double, _t double")
-            given = now.drop("fix", "seeped", "healthy").crossJoin(F.broadcast(row))
-            stepped = step(given, F.col("_dt"), dx, dy, F.col("_rain"), F.col("_seep"), keys=("cand",))
-        more = F.col("h") > F.col("peak")
-        stepped = stepped.withColumns({"t_peak": F.when(more, F.col("_t")).otherwise(F.col("t_peak")), "peak": F.greatest("peak", "h"), "first_wet": F.coalesce("first_wet", F.when(wet, F.col("_t")))})
-        before = now
-        now, seen = kept(stepped.select(begin.columns))
-        dropped(before)
-        if not seen["healthy"]:
-            raise FloatingPointError(f"unhealthy depths at {after} s")
-        total["rain"] += rain * dt * seen["flow"]
-        total["seeped"] += seen["seeped"]
-        total["fix"] += seen["fix"]
-        t = after
-        dts.append(dt)
-        if at_sync:
-            ledger.append({"t": t, "steps": len(dts), "dt_min": min(dts), "dt_max": max(dts), "volume": seen["volume"], **total})
-            number += 1
-            sync = min(sync + p.sync, p.duration)
-            gone = on_sync(now, t, number) if on_sync else None
-            if gone is not None:
-                before = now
-                now, seen = kept(now.join(F.broadcast(gone.select("cand").distinct()), "cand", "left_anti"))
-                dropped(before)
-    return now, ledger
+def run_batch(state: DataFrame, p: Params, dx: float, dy: float, on_sync: OnSync | None = None, tile: int = 64) -> tuple[DataFrame, Outcome]:
+    """Runs all candidates of a batch: state has cand and STATE of every cell. Gives the final cells of those that ran to the end, with peak, t_peak and
+    first_wet (s, null if never wet), and the outcome by tiles; cells of tiles that stayed dry keep their row."""
+    size = state.agg(F.max("c"), F.max("r")).first()
+    domain = Domain(int(size[0] or 0) + 1, int(size[1] or 0) + 1, dx, dy, max(tile, p.hold + 2))
+    ground = stored(tiled(state, domain), "ground")
+    done = run_tiles(state.select("cand").distinct(), lambda keys: keys.join(ground, ["cand", "tile"]), domain, p, on_sync)
+    ran = done.ledger.filter(F.col("number") == p.last()).select("cand") if p.last() else state.select("cand").distinct()
+    wet = cells_of(done.state, domain).select("cand", "cell", *(F.col(k).alias(f"{k}_") for k in ("h", "qx", "qy", "peak", "t_peak", "first_wet")))
+    every = state.select("cand", *STATE).join(ran.distinct(), "cand", "left_semi").join(wet, ["cand", "cell"], "left")
+    value = lambda k: F.coalesce(f"{k}_", F.lit(0.0)).alias(k)
+    return every.select("cand", "cell", "r", "c", "z", "n", "wall", *map(value, ("h", "qx", "qy", "peak")), F.col("t_peak_").alias("t_peak"), F.col("first_wet_").alias("first_wet")), done
 
 
 @dataclass
@@ -226,41 +177,6 @@ class Grid:
         self.z = np.where(self.wall, np.nanmax(np.where(self.wall, np.nan, self.z)) + 100, self.z)
 
 
-@dataclass
-class Params:
-    duration: float
-    sync: float = 60.0
-    cfl: float = 0.35
-    dt_max: float = 5.0
-    rain: tuple = ((0.0, 0.0),)  # knots (s, m/s)
-    infiltration: float = 0.0  # m/s
-    scheme: str = "hll"
-
-
-def rain_between(knots: tuple, a: float, b: float) -> float:
-    t, r = np.array(knots, float).T
-    at = np.unique(np.clip(np.concatenate([[a, b], t]), a, b))
-    return float(np.trapezoid(np.interp(at, t, r), at))
-
-
-def _hll(hl, ul, vl, hr, ur, vr):
-    dl, dr = hl <= H.H_DRY, hr <= H.H_DRY
-    cl, cr = np.sqrt(H.G * hl), np.sqrt(H.G * hr)
-    u, c = (ul + ur) / 2 + cl - cr, (cl + cr) / 2 + (ul - ur) / 4
-    low = np.where(dl, ur - 2 * cr, np.where(dr, ul - cl, np.minimum(ul - cl, u - c)))
-    high = np.where(dl, ur + cr, np.where(dr, ul + 2 * cl, np.maximum(ur + cr, u + c)))
-    ql, qr = hl * ul, hr * ur
-    pl, pr = ql * ul + H.G / 2 * hl * hl, qr * ur + H.G / 2 * hr * hr
-    width = np.where(high - low > 0, high - low, 1.0)
-
-    def middle(fl, fr, sl, sr):
-        f = np.where(low >= 0, fl, np.where(high <= 0, fr, (high * fl - low * fr + low * high * (sr - sl)) / width))
-        return np.where(dl & dr, 0.0, f)
-
-    mass = middle(ql, qr, hl, hr)
-    return mass, middle(pl, pr, ql, qr), mass * np.where(mass > 0, vl, vr)
-
-
 class Run:
     """One candidate's run. step() advances; ledger rows are (t, volume, rain, inflow, outflow, infiltration, fix, residual)."""
 
@@ -309,7 +225,7 @@ class Run:
         u, v = f * q, f * t
         rise = z[:, 1:] - z[:, :-1]
         hl, hr = np.maximum(h[:, :-1] - np.maximum(rise, 0), 0), np.maximum(h[:, 1:] - np.maximum(-rise, 0), 0)
-        mass, normal, tangential = _hll(hl, u[:, :-1], v[:, :-1], hr, u[:, 1:], v[:, 1:])
+        mass, normal, tangential = hll_of(hl, u[:, :-1], v[:, :-1], hr, u[:, 1:], v[:, 1:])
         for k, s in ((0, first), (-1, last)):  # nothing crosses a closed side
             if self.g.sides.get(s, "wall") == "wall":
                 mass[:, k] = tangential[:, k] = 0.0

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from rillwork.functions import shapes
+from rillwork.operators import checks as C
 from rillwork.operators import design as G
 from rillwork.operators import evaluation as E
 from rillwork.operators import raster as R
@@ -142,6 +141,37 @@ def a28(spark, sf):
     return rows.agg(F.sha2(F.array_join(F.expr("array_sort(collect_list(struct(r, h))).h"), ""), 256).alias("problem_hash"))
 
 
+TILE_HASH = "sha256(string_agg(round(z * 100)::BIGINT || ':' || round(n * 1000000)::BIGINT || ':' || wall::INT, ',' ORDER BY r * 50 + c))"
+
+
+@query(
+    "a28_tree_hash",
+    f"""{V}, t AS (SELECT r // 16 * 4 + c // 16 AS node, {TILE_HASH} AS h FROM cells GROUP BY 1), u AS (SELECT node // 16 AS node, sha256(string_agg(h, ',' ORDER BY node)) AS h FROM t GROUP BY node // 16),
+    w AS (SELECT sha256(string_agg(h, ',' ORDER BY node)) AS h FROM u) SELECT sha256('storm|' || h) AS problem_hash FROM w""",
+)
+def a28b(spark, sf):
+    """The same by a tree of tiles, over heights, roughness and walls."""
+    return C.tree_hash(D.cells(spark, sf), D.NX, "storm")
+
+
+IO6_RULES = """SELECT 'roughness' AS rule, count(*) FILTER (NOT (n >= 0 AND n < 0.5)) AS failures FROM cells UNION ALL SELECT 'height', count(*) FILTER (NOT wall AND (z IS NULL OR isnan(z))) FROM cells
+    UNION ALL SELECT 'cell_number', count(*) FILTER (cell <> r * 50 + c) FROM cells UNION ALL SELECT 'column', count(*) FILTER (NOT c BETWEEN 0 AND 49) FROM cells UNION ALL SELECT 'cell_twice', count(*) FROM (SELECT cell FROM cells GROUP BY cell HAVING count(*) > 1)
+    UNION ALL SELECT 'cells_missing', (count(*) < (max(r) + 1) * 50)::INT FROM cells UNION ALL SELECT 'no_flow_cell', (count(*) FILTER (NOT wall) = 0)::INT FROM cells UNION ALL SELECT 'asset_threshold', count(*) FILTER (threshold < 0) FROM assets
+    UNION ALL SELECT 'asset_weight', count(*) FILTER (weight < 0) FROM assets UNION ALL SELECT 'asset_without_cell', count(*) FROM assets WHERE asset NOT IN (SELECT asset FROM asset_cells SEMI JOIN cells USING (cell))
+    UNION ALL SELECT 'editable_off_grid', 0 UNION ALL SELECT 'guard_off_grid', count(*) FROM guard WHERE cell NOT IN (SELECT cell FROM cells) UNION ALL SELECT 'nothing_editable', (count(*) FILTER (NOT wall) = 0)::INT FROM cells
+    UNION ALL SELECT 'storm_order', count(*) FILTER (t < b) FROM (SELECT *, lag(t) OVER (PARTITION BY series ORDER BY k) AS b FROM knots) UNION ALL SELECT 'storm_rate', count(*) FILTER (rate < 0) FROM knots"""
+SETTING_RULES = ("duration", "sync_interval", "cfl", "dt_max", "infiltration", "scheme", "crs", "cell_size", "levels_end", "level_shares", "method", "robustness", "sides")
+KNOTS = "knots AS (SELECT event_type AS series, event_id AS k, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 1000000 AS t, value - 5 AS rate FROM events)"
+
+
+@query("io6_problem_checks", f"{V}, {KNOTS} {IO6_RULES}" + "".join(f" UNION ALL SELECT '{k}', {int(k in ('crs', 'level_shares'))}" for k in SETTING_RULES))
+def io6(spark, sf):
+    """Every rule over the stored problem, and settings that break two of theirs."""
+    e = D.table(spark, sf, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    storm = e.crossJoin(F.broadcast(e.agg(F.min("us").alias("first")))).select(F.col("event_type").alias("series"), F.col("event_id").alias("k"), ((F.col("us") - F.col("first")) / 1000000).alias("t"), (F.col("value") - 5).alias("rate"))
+    return C.problem_checks(_problem(spark, sf), storm, C.Settings(crs=32633, ground_crs=32632, cell_size=5.0, levels=(2, 1), shares=(1.0,)))
+
+
 @query("c3_materialize", f"{V}, {EDITS} SELECT cand, cell, round(dz + 0.000000123::DOUBLE, 6) AS dz FROM edits")
 def c3(spark, sf):
     return _edits(spark, sf).withColumn("dz", F.round(F.col("dz") + 0.000000123, 6))
@@ -228,13 +258,18 @@ def e10(spark, sf):
 
 @query("c19_revalidation")
 def c19b(spark, sf):
-    """The cheapest design under half and one and a half times the storm."""
-    from rillwork.plans.flow import STORM
-
+    """The cheapest design under half and one and a half times the storm, and on a grid of twice the cells along both axes."""
     one = G.volumes(_edits(spark, sf), 25.0).orderBy(F.col("cut_m3") + F.col("fill_m3"), "cand").limit(1).select("cand")
     best = _primitives(spark, sf).join(F.broadcast(one), "cand")
-    storm = lambda k: _problem(spark, sf, params=replace(STORM, rain=tuple((t, k * x) for t, x in STORM.rain)))
-    return E.revalidated(best, {"rain x 0.5": storm(0.5), "rain x 1.5": storm(1.5)})
+    problem = _problem(spark, sf)
+    return E.revalidated(best, {"finer grid": E.finer(problem), "rain x 0.5": E.scaled(problem, rain=0.5), "rain x 1.5": E.scaled(problem, rain=1.5)})
+
+
+@query("c13_ensemble_runs")
+def c13b(spark, sf):
+    """Every design point under one storm after another; what isn't feasible under one doesn't run the next."""
+    problem = _problem(spark, sf)
+    return E.ensemble_evaluated(_primitives(spark, sf), [E.without_changes(E.scaled(problem, rain=k)) for k in (1.0, 0.5, 1.5)], 0.5, 0.5)
 
 
 @query("c11_lower_bound", f"""{V}, pk AS (SELECT k AS cand, cell, max(h) AS peak FROM traj, range(1, 8) AS t(k) WHERE step <= k GROUP BY 1, 2), ap AS (SELECT cand, asset, max(peak) AS peak FROM pk JOIN asset_cells USING (cell) GROUP BY 1, 2),

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from rillwork.functions import hydraulics as H
-from rillwork.operators import evaluation, flow, validation
+from rillwork.operators import evaluation, flow, sides, tiles, validation
 from rillwork.plans.registry import query
 from rillwork.sources import domain as D
 
@@ -137,33 +137,100 @@ def _nations(spark, sf):
     return at.groupBy("cand", "cell").agg((F.count("*") * 0.05).alias("dz"))
 
 
-STORM = flow.Params(6.0, 3.0, rain=((0, 5000 * validation.MMH),), infiltration=10 * validation.MMH)
+#: Three minutes of a storm of up to 80 mm/h, with a sync point each minute and jobs of eight steps.
+STORM = flow.Params(180.0, 60.0, rain=((0, 30 * validation.MMH), (60, 80 * validation.MMH), (180, 10 * validation.MMH)), infiltration=10 * validation.MMH, hold=8)
 
 
 def _runs(spark, sf, p):
-    edits = _nations(spark, sf)
-    state = evaluation.grids(D.table(spark, sf, "nation").selectExpr("cast(n_nationkey AS bigint) AS cand"), edits, _ground(spark, sf))
-    done, _ = flow.run_batch(state, p, 5.0, 5.0)
-    return done.groupBy("cand").agg(F.count("*").alias("n_cells"), F.round(F.sum("peak"), 9).alias("sum_peak"), F.max("t_peak").alias("t_peak"), F.min("first_wet").alias("first_wet"))
+    cells = _ground(spark, sf)
+    problem = evaluation.prepared(evaluation.Problem(cells, cells.select("cell", "r", "c"), D.assets(spark, sf), D.asset_cells(spark, sf), D.guard(spark, sf), p, D.NX, 5.0))
+    cands = D.table(spark, sf, "nation").selectExpr("cast(n_nationkey AS bigint) AS cand")
+    inside = _nations(spark, sf).join(cells.select("cell"), "cell", "left_semi")
+    return tiles.run_tiles(cands, problem.ground(inside), problem.domain, p), problem.domain
+
+
+def _peaks(spark, sf, p):
+    done, domain = _runs(spark, sf, p)
+    cells = tiles.cells_of(done.state, domain)
+    return cells.groupBy("cand").agg(F.count("*").alias("n_cells"), F.round(F.sum("peak"), 9).alias("sum_peak"), F.max("t_peak").alias("t_peak"), F.min("first_wet").alias("first_wet"))
 
 
 @query("s15_candidate_runs")
 def s15(spark, sf):
     """Peaks of one run for each nation's change of the ground."""
-    return _runs(spark, sf, STORM)
+    return _peaks(spark, sf, STORM)
 
 
 @query("s25_inertial_runs")
 def s25(spark, sf):
-    return _runs(spark, sf, replace(STORM, scheme="inertial"))
+    return _peaks(spark, sf, replace(STORM, scheme="inertial"))
 
 
 @query("s15_run_ledger")
 def s15b(spark, sf):
-    """The ledger of the run without changes: what is there is what fell less what seeped away."""
-    state = _ground(spark, sf).withColumn("cand", F.lit(0).cast("bigint"))
-    _, rows = flow.run_batch(state, STORM, 5.0, 5.0)
-    return spark.createDataFrame(rows).withColumn("residual", F.col("volume") - F.col("rain") + F.col("seeped") - F.col("fix"))
+    """The ledger of each nation's run at its sync points: what is there is what fell less what seeped away."""
+    done, _ = _runs(spark, sf, STORM)
+    return done.ledger.withColumn("residual", F.col("volume") - (F.col("v0") + F.col("rain") - F.col("seeped") + F.col("fix")))
+
+
+#: A stage over half of the north side, an inflow in the west that grows with time, an open south.
+ENDS = (sides.Segment("north", "stage", 0.0, 125.0, level=12.0), sides.Segment("west", "inflow", knots=((0, 0.0), (60, 6.0), (120, 2.0))), sides.Segment("south", "open"))
+
+
+@query("s12_side_ledger")
+def s12b(spark, sf):
+    """What has flowed in and out through each side by each sync point, for each nation's run beside a stage, an inflow and an open side; and the residual of the ledger."""
+    done, _ = _runs(spark, sf, replace(STORM, duration=120.0, sides=ENDS))
+    moved = sum((F.col(f"in_{s}") - F.col(f"out_{s}") for s in sides.SIDES), F.lit(0.0)) / 25.0
+    rows = done.ledger.withColumn("residual", F.col("volume") - (F.col("v0") + F.col("rain") - F.col("seeped") + F.col("fix") + moved))
+    return rows.select("cand", "number", "t", "residual", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"in_{s}").alias("inflow"), F.col(f"out_{s}").alias("outflow")) for s in sides.SIDES))).alias("x")).select("cand", "number", "t", "residual", "x.*")
+
+
+SEGMENTS = "sg AS (SELECT s_suppkey AS segment, CASE s_nationkey % 4 WHEN 0 THEN 'west' WHEN 1 THEN 'east' WHEN 2 THEN 'north' ELSE 'south' END AS side, CASE s_suppkey % 4 WHEN 0 THEN 'wall' WHEN 1 THEN 'open' WHEN 2 THEN 'stage' ELSE 'inflow' END AS kind, s_nationkey * 7.5::DOUBLE - 10 AS start, CASE WHEN s_suppkey % 5 > 0 THEN s_nationkey * 7.5::DOUBLE + s_suppkey % 60 END AS stop, s_acctbal / 100 AS level FROM supplier)"
+
+
+@query(
+    "r12_side_cells",
+    f"""{V}, {SEGMENTS}, sz AS (SELECT max(r)::INT + 1 AS ny FROM cells), b AS (SELECT sg.*, CASE WHEN side IN ('north', 'south') THEN 50 ELSE ny END AS n FROM sg, sz),
+    x AS (SELECT *, CASE WHEN stop IS NULL THEN 0 ELSE least(greatest(floor(start / 5), 0), n) END AS a, CASE WHEN stop IS NULL THEN n ELSE least(greatest(ceil(stop / 5), 0), n) END AS e FROM b),
+    c AS (SELECT x.*, pos, row_number() OVER (PARTITION BY side, pos ORDER BY segment DESC) AS k FROM x, range(10000) AS t(pos) WHERE pos >= a AND pos < e),
+    s AS (SELECT u.side, pos FROM sz, (VALUES ('west', true), ('east', true), ('north', false), ('south', false)) AS u(side, down), range(10000) AS t(pos) WHERE pos < CASE WHEN down THEN ny ELSE 50 END)
+    SELECT s.side, s.pos::INT AS pos, coalesce(kind, 'wall') AS kind, segment, CASE WHEN kind = 'stage' THEN level END AS level, CASE WHEN kind = 'inflow' THEN 1 / ((e - a) * 5::DOUBLE) END AS inv_len FROM s LEFT JOIN (SELECT * FROM c WHERE k = 1) USING (side, pos)""",
+)
+def r12b(spark, sf):
+    """Stretches of the sides in metres, as the kinds of their cells; the last stretch holds."""
+    kinds = F.create_map(*(F.lit(x) for pair in enumerate(("west", "east", "north", "south")) for x in pair)), F.create_map(*(F.lit(x) for pair in enumerate(sides.KINDS) for x in pair))
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    segments = D.table(spark, sf, "supplier").select(
+        key.alias("segment"), kinds[0][(nation % 4).cast("int")].alias("side"), kinds[1][(key % 4).cast("int")].alias("kind"), (nation * 7.5 - 10).alias("start"), F.when(key % 5 > 0, nation * 7.5 + key % 60).alias("end"), (F.col("s_acctbal") / 100).alias("level")
+    )
+    ny = int(D.cells(spark, sf).agg(F.max("r")).first()[0]) + 1
+    return sides.side_cells(segments, D.NX, ny, 5.0, 5.0)
+
+
+@query("s9_wet_tiles")
+def s9(spark, sf):
+    """Runs beside an inflow without rain: cell updates done, and how many of all cells' updates the dry tiles have saved."""
+    done, domain = _runs(spark, sf, replace(STORM, duration=60.0, rain=((0.0, 0.0),), sides=ENDS[1:2]))
+    n = domain.nx * domain.ny
+    return done.ledger.select("cand", "t", "steps", "cells", "skipped", (F.col("steps") * n - F.col("cells")).alias("without_rows"))
+
+
+@query("s22_warm_runs")
+def s22b(spark, sf):
+    """Runs of each nation's change from the last state before water comes to it, against runs from the beginning: steps taken, and whether all peaks are the same."""
+    p = replace(STORM, duration=120.0, sync=30.0, rain=((0.0, 0.0),), sides=ENDS[1:2])
+    cells = _ground(spark, sf)
+    problem = evaluation.without_changes(evaluation.Problem(cells, cells.select("cell", "r", "c"), D.assets(spark, sf), D.asset_cells(spark, sf), D.guard(spark, sf), p, D.NX, 5.0), warm=True)
+    edits = _nations(spark, sf).join(cells.select("cell"), "cell", "left_semi")
+    cands, ground = edits.select("cand").distinct(), problem.ground(edits)
+    start = tiles.warm_start(edits, problem.known, ground, problem.domain, p)
+    cold, warm = tiles.run_tiles(cands, ground, problem.domain, p), tiles.run_tiles(cands, ground, problem.domain, p, start=start)
+    at = lambda x, k: tiles.cells_of(x.state, problem.domain).filter("peak > 0").select("cand", "cell", F.col("peak").alias(k))
+    same = at(cold, "a").join(at(warm, "b"), ["cand", "cell"], "full").groupBy("cand").agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+    work = lambda x, k: x.ledger.groupBy("cand").agg(F.max("cells").alias(k))
+    begun = start.groupBy("cand").agg(F.max("number").alias("from"))
+    return work(cold, "cells_cold").join(work(warm, "cells_warm"), "cand").join(same, "cand", "left").join(begun, "cand", "left").select("cand", F.coalesce("from", F.lit(0)).alias("from"), "cells_cold", "cells_warm", F.coalesce("same", F.lit(True)).alias("same"))
 
 
 @query("e33_validation")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rillwork.operators import raster as R
 from rillwork.plans.registry import query
 from rillwork.sources import domain as D
+from rillwork.sources import rasters
+from rillwork.sources.stored import shared_folder
 
 V = f"WITH {D.SQL}"
 NY = "(SELECT max(r) + 1 FROM cells)"
@@ -218,3 +222,18 @@ def r20(spark, sf):
 )
 def r21(spark, sf):
     return R.outline(_mask(spark, sf), D.NX, _ny(spark, sf))
+
+
+@query("io1_raster_files", f"{V} SELECT r::INT AS r, c::INT AS c, CASE WHEN NOT wall THEN round(z::FLOAT::DOUBLE, 3) END AS value FROM (SELECT g.r, g.c, coalesce(wall, true) AS wall, z FROM (SELECT a.r, b.c FROM (SELECT DISTINCT r FROM cells) a, range(50) AS b(c)) g LEFT JOIN cells USING (r, c))")
+def io1(spark, sf):
+    """The grid's heights written as files of 64 rows of it each, and read back; walls have no value."""
+    cells = D.cells(spark, sf)
+    grids = cells.select(F.floor(F.col("r") / 64).cast("int").alias("k"), "r").groupBy("k").agg((F.max("r") - F.first("k") * 64 + 1).cast("int").alias("ny"))
+    name = F.format_string("rows-%05d.tif", F.col("k"))
+    grids = grids.select(name.alias("file"), F.lit(D.NX).alias("nx"), "ny", F.lit(0.0).alias("x0"), (-F.col("k") * 320.0).alias("y0"), F.lit(5.0).alias("dx"), F.lit(5.0).alias("dy"), F.lit(32632).alias("epsg"))
+    parts = cells.filter("NOT wall").withColumn("k", F.floor(F.col("r") / 64).cast("int")).select(name.alias("file"), (F.col("r") % 64).alias("r"), "c", F.col("z").alias("value"))
+    folder = f"{shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
+    rasters.write_raster(parts, grids, folder, rows=16).write.parquet(f"{folder}-written")
+    back = rasters.read_raster(spark, folder)
+    k = F.regexp_extract("file", r"rows-(\d+)\.tif", 1).cast("int")
+    return back.select((F.col("r") + k * 64).alias("r"), "c", F.round("value", 3).alias("value"))

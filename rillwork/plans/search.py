@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillwork.operators import corridors as C
+from rillwork.operators import design as G
+from rillwork.operators import evaluation as E
 from rillwork.operators import ranking as K
-from rillwork.operators import search
+from rillwork.operators import search, surrogate
 from rillwork.operators.storms import running
 from rillwork.plans.raster import NY, _ny
 from rillwork.plans.registry import query
 from rillwork.sources import domain as D
+from rillwork.sources.stored import shared_folder
 
 V = f"WITH {D.SQL}"
 ORDER = "feasible DESC, CASE WHEN feasible THEN j END, CASE WHEN NOT feasible THEN violation END, CASE WHEN NOT feasible THEN -breach END, eval_index"
@@ -225,12 +231,54 @@ def e6(spark, sf):
 def e5(spark, sf):
     """A short two-level search of an analytic objective, evaluated as tables."""
 
-    def evaluate(level):
+    def evaluate(level, incumbent):
         def run(points):
             square = F.aggregate("u", F.lit(0.0), lambda a, x: a + (x - 0.3) * (x - 0.3))
             return points.select("cand", (F.col("u")[0] > 0.1).alias("feasible"), (square + 0.01 * (level - 1)).alias("j"), F.greatest(0.1 - F.col("u")[0], F.lit(0.0)).alias("violation"))
 
         return run
 
-    t = search.optimize(spark, search.CmaEs(3, seed=5), evaluate, [2, 1], [0.5, 0.5], 40)
-    return spark.createDataFrame([(r["eval_index"], r["level"], r["feasible"], r["j"]) for r in t], "eval_index int, level int, feasible boolean, j double")
+    t = search.searched(spark, search.cma_levels(3, 5), search.Space(3, evaluate), [2, 1], [0.5, 0.5], 40, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}")
+    return t.select("eval_index", "level", "feasible", "j")
+
+
+#: A berm and a swale somewhere on the ground.
+SPECS = [("berm", ("x", 10.0, 240.0), ("y", 10.0, 150.0), ("length", 10.0, 60.0), ("width", 8.0, 24.0), ("angle", 0.0, 180.0), ("height", 0.05, 0.6)), ("swale", ("x", 10.0, 240.0), ("y", 10.0, 150.0), ("length", 10.0, 60.0), ("width", 8.0, 24.0), ("angle", 0.0, 180.0), ("height", 0.05, 0.4))]
+
+
+def search_problem(spark, sf, problem, specs, folder, levels=(2, 1), shares=(0.5, 0.5), budget=16, size=6, **more):
+    """A search for designs on a problem's ground: levels are coarser grids, keys the quantized designs, static rules reject without a run."""
+    known = {k: E.without_changes(E.coarsened(problem, k)) for k in set(levels)}
+    rows = [(slot, kind, i, name, lo, hi) for slot, (kind, *names) in enumerate(specs) for i, (name, lo, hi) in enumerate(names)]
+    rows = [(slot, kind, k, name, lo, hi) for k, (slot, kind, _, name, lo, hi) in enumerate(rows)]
+    bounds = spark.createDataFrame(rows, "slot int, kind string, k int, name string, lo double, hi double")
+    designs = lambda points, key: G.decode(points.select(F.col(key).cast("bigint").alias("cand"), F.posexplode("u").alias("k", "u")), bounds)
+    keys = lambda points, level: G.content_keys(designs(points, "slot"), "search", level).select(F.col("cand").cast("int").alias("slot"), "key")
+
+    def static(level):
+        p = known[level]
+        return lambda points: E.static_checks(G.materialize(designs(points, "slot"), p.editable, p.d, p.most_dz), p).select(F.col("cand").cast("int").alias("slot"))
+
+    space = search.Space(len(rows), lambda level, incumbent: lambda points: E.evaluated(designs(points, "cand"), known[level], incumbent), keys, static)
+    return search.searched(spark, search.cma_levels(len(rows), 11, size), space, list(levels), list(shares), budget, folder, **more)
+
+
+@query("e5_search_runs")
+def e5b(spark, sf):
+    """A search for a berm and a swale over real runs, coarse ones first; every row is an evaluation."""
+    from rillwork.plans.design import _problem
+    from rillwork.plans.flow import STORM
+
+    problem = _problem(spark, sf, params=replace(STORM, duration=60.0), max_volume=400.0, max_slope=0.2)
+    return search_problem(spark, sf, problem, SPECS, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", budget=12).drop("u", "key")
+
+
+@query("e6_surrogate_sums", f"""{V}, e AS (SELECT vec_id AS key, label, 1.0::DOUBLE AS a0, least(greatest(embedding[1]::DOUBLE + 0.5, 0), 1) AS a1, least(greatest(embedding[2]::DOUBLE + 0.5, 0), 1) AS a2, label::DOUBLE AS a3 FROM embeddings),
+    t AS (SELECT unnest([{{'i': 0, 'v': a0}}, {{'i': 1, 'v': a1}}, {{'i': 2, 'v': a2}}, {{'i': 3, 'v': a1 * a1}}, {{'i': 4, 'v': a2 * a2}}, {{'i': 5, 'v': a1 * a2}}, {{'i': 6, 'v': a3}}]) AS x, key FROM e)
+    SELECT a.x.i AS i, b.x.i AS k, round(sum(a.x.v * b.x.v), 6) AS s FROM t a JOIN t b USING (key) GROUP BY 1, 2""")
+def e6b(spark, sf):
+    """The sums that a model of all design points is solved from, over all folds."""
+    u = lambda k: F.least(F.greatest(F.col("embedding")[k].cast("double") + 0.5, F.lit(0.0)), F.lit(1.0))
+    rows = D.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.array(u(0), u(1)).alias("u"), F.col("label").cast("double").alias("j"))
+    s = surrogate.normal_sums(rows, 2).sum(axis=0)
+    return spark.createDataFrame([(i, k, float(s[i, k])) for i in range(7) for k in range(7)], "i int, k int, s double").withColumn("s", F.round("s", 6))

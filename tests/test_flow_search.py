@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.operators import corridors, design, evaluation, flow, ranking, search, validation
+from rillwork.operators import corridors, design, evaluation, flow, ranking, search, surrogate, validation
+from rillwork.operators.sides import Segment
+from rillwork.plans import search as plans
 from rillwork.sources import exchange
+from rillwork.sources.stored import stored
 from rillwork.streaming import sync
 
 
@@ -49,7 +52,6 @@ def test_cma_finds_the_minimum():
         opt.tell(x, [(True, float(v), 0.0) for v in j])
         best = min(best, float(j.min()))
     assert best < 1e-6
-    assert search.surrogate(opt.archive, 4)(np.full((1, 4), 0.3))[0] == pytest.approx(0, abs=1e-3)
     assert search.primitive_polynomials(6) == [3, 7, 11, 13, 19, 25]
 
 
@@ -69,6 +71,112 @@ def test_batch_runs_each_key_once(spark):
     assert ran.value == 2 and sorted((r.slot, r.j) for r in got) == [(0, 0.1), (1, 0.2), (2, 0.1)]
 
 
+def _results(x):
+    return [(True, float(v), 0.0) for v in ((x - 0.3) ** 2 * 10.0 ** np.linspace(0, 2, x.shape[1])).sum(axis=1)]
+
+
+def test_a_model_of_the_archive_saves_runs():
+    """An ellipsoid of eight dimensions, with and without the model in the loop."""
+
+    def runs_until(modelled, goal=1e-6):
+        opt, ran, share = search.CmaEs(8, seed=2), 0, 1.0
+        x_all, j_all = np.zeros((0, 8)), np.zeros(0)
+        while ran < 6000:
+            x = opt.propose(0)
+            recent = slice(max(0, len(x_all) - 150), None)
+            model = surrogate.chosen(surrogate.sums_of(np.arange(len(x_all[recent])) % surrogate.FOLDS, x_all[recent], j_all[recent]), 8) if modelled and len(x_all) > 9 else None
+            guess = model(x) if model else None
+            pick = np.sort(np.argsort(guess, kind="stable")[: max(2, int(np.ceil(share * len(x))))]) if model else np.arange(len(x))
+            got = _results(x[pick])
+            ran += len(pick)
+            told = {int(i): r for i, r in zip(pick, got, strict=True)}
+            if model:
+                share = surrogate.steered(share, surrogate.tau_of(guess[pick], np.array([r[1] for r in got])))
+            opt.tell(x, [told.get(i, (True, float(guess[i]) if model else 0.0, 0.0)) for i in range(len(x))])
+            x_all, j_all = np.concatenate([x_all, x[pick]]), np.concatenate([j_all, [r[1] for r in got]])
+            if j_all.min() < goal:
+                return ran
+        return ran
+
+    plain, modelled = runs_until(False), runs_until(True)
+    assert modelled < 0.7 * plain < 6000
+
+
+def test_model_sums_in_spark_are_the_array_sums(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 3))
+    j = 1 + x @ [1.0, -2.0, 0.5] + 3 * x[:, 0] * x[:, 1]
+    rows = spark.createDataFrame([(str(i), [float(v) for v in p], float(v)) for i, (p, v) in enumerate(zip(x, j, strict=True))], "key string, u array<double>, j double")
+    sums = surrogate.normal_sums(rows, 3)
+    fold = [r[0] for r in rows.select(F.pmod(F.xxhash64("key"), F.lit(surrogate.FOLDS)).cast("int")).collect()]
+    assert np.allclose(sums, surrogate.sums_of(np.array(fold), x, j))
+    model = surrogate.chosen(sums, 3)
+    assert model.size == surrogate.feature_number(3) and np.allclose(model(x), j, atol=1e-6)
+    assert surrogate.chosen(surrogate.sums_of(np.arange(4) % 5, x[:4], j[:4]), 3) is None
+
+
+def test_a_killed_search_goes_on_with_the_same_trace(spark, tmp_path):
+    """The second search stops in its third generation, and another one goes on in its folder; a free space has its share, rules reject without runs."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def evaluate(dead_at=None):
+        calls = []
+
+        def at(level, incumbent):
+            def run(points):
+                calls.append(1)
+                if dead_at is not None and len(calls) > dead_at:
+                    raise KeyboardInterrupt
+
+                def count(batches):
+                    for b in batches:
+                        ran.add(b.num_rows)
+                        yield b
+
+                square = F.aggregate("u", F.lit(0.0), lambda a, x: a + (x - 0.3) * (x - 0.3))
+                return stored(points.mapInArrow(count, points.schema), "ran").select("cand", F.lit(True).alias("feasible"), (square + 0.01 * level).alias("j"), F.lit(0.0).alias("violation"), F.lit(10).cast("bigint").alias("cell_updates"))
+
+            return run
+
+        return at
+
+    static = lambda level: lambda points: points.filter(F.col("u")[0] > 0.7)
+    go = lambda folder, dead=None, **more: search.searched(spark, search.cma_levels(2, 5, 4), search.Space(2, evaluate(dead), static=static), [2, 1], [0.5, 0.5], 16, str(folder), **more)
+    whole = sorted(map(tuple, go(tmp_path / "a").collect()))
+    used = ran.value
+    with pytest.raises(KeyboardInterrupt):
+        go(tmp_path / "b", 2)
+    again = go(tmp_path / "b")
+    assert sorted(map(tuple, again.collect())) == whole and ran.value == 2 * used
+    rows = again.orderBy("eval_index").collect()
+    assert [r.eval_index for r in rows] == list(range(len(rows))) and {r.level for r in rows} == {1, 2} and all(r.u[0] <= 0.7 for r in rows)
+    assert sum(not r.cached for r in rows) >= 16
+    bounded = go(tmp_path / "c", most_updates=50).collect()
+    assert sum(r.cell_updates for r in bounded if not r.cached) < 90
+    mixed = go(tmp_path / "d", most_updates=100, free=(search.Space(3, evaluate()), 0.25)).collect()
+    assert {len(r.u) for r in mixed if r.space == "free"} == {3} and sum(r.space == "free" for r in mixed) > 1
+
+
+def test_a_search_over_real_runs(spark, tmp_path):
+    """24 evaluations of a berm on 40 x 32 cells, coarse ones first: the best one is better than no change, and its figures are those of a run of its own."""
+    z = np.fromfunction(lambda i, j: 3 - 0.05 * j + 0.01 * np.abs(i - 16), (32, 40))
+    cells = _table(spark, flow.Grid(z, 0.03), np.zeros((32, 40))).drop("cand")
+    problem = evaluation.Problem(
+        cells=cells, editable=cells.filter("c between 10 and 30").select("cell", "r", "c"), assets=spark.createDataFrame([(1, 0.0, 1.0)], "asset int, threshold double, weight double"),
+        asset_cells=spark.createDataFrame([(1, 16 * 40 + 36), (1, 15 * 40 + 36)], "asset int, cell bigint"), guard=spark.createDataFrame([(0,)], "cell bigint"),
+        params=flow.Params(30.0, 30.0, dt_max=2.0, hold=16, rain=((0.0, 0.0),), sides=(Segment("west", "inflow", 14.0, 18.0, knots=((0, 0.5), (60, 0.5))), Segment("east", "open"))), nx=40, d=1.0, tile=32, tolerance=1.0, max_volume=60.0,
+    )
+    specs = [("berm", ("x", 10.0, 30.0), ("y", 10.0, 22.0), ("length", 4.0, 16.0), ("width", 2.0, 5.0), ("angle", 0.0, 180.0), ("height", 0.1, 1.0))]
+    trace = plans.search_problem(spark, None, problem, specs, str(tmp_path / "s"), budget=24, size=12).collect()
+    assert sum(not r.cached and r.status != "static_infeasible" for r in trace) >= 24 and {r.level for r in trace} == {1, 2}
+    best = min((r for r in trace if r.level == 1 and r.feasible), key=lambda r: r.j)
+    known = evaluation.without_changes(problem)
+    nothing = evaluation.objective(evaluation.peaks_of(known, known.known), evaluation.no_volume(cells), known, evaluation.grid_assets(known)).first().j
+    bounds = spark.createDataFrame([(0, "berm", k, *x) for k, x in enumerate(specs[0][1:])], "slot int, kind string, k int, name string, lo double, hi double")
+    alone = evaluation.evaluated(design.decode(spark.createDataFrame([(7, k, u) for k, u in enumerate(best.u)], "cand bigint, k int, u double"), bounds), known).first()
+    assert best.j < nothing and alone.j == best.j and alone.status == "ok"
+
+
 def test_trace_survives_a_torn_line(spark, tmp_path):
     p = str(tmp_path / "trace")
     exchange.append_trace(spark.createDataFrame([(1, 0.5)], "eval_index int, j double"), p)
@@ -103,7 +211,8 @@ def test_runs_as_tables_are_the_array_runs(spark, scheme):
     run = flow.Run(grid, p, h)
     for _ in run.syncs():
         pass
-    done, ledger = flow.run_batch(_table(spark, grid, h), p, 2.0, 3.0)
+    done, outcome = flow.run_batch(_table(spark, grid, h), p, 2.0, 3.0)
+    ledger = outcome.ledger.orderBy("number").collect()
     rows = sorted(done.collect(), key=lambda r: r.cell)
     assert np.allclose([r.h for r in rows], run.h.ravel(), atol=1e-9) and np.allclose([r.peak for r in rows], run.peak.ravel(), atol=1e-9)
     assert [x["t"] for x in ledger] == [x[0] for x in run.ledger] and ledger[-1]["steps"] == run.steps
@@ -111,13 +220,13 @@ def test_runs_as_tables_are_the_array_runs(spark, scheme):
     assert last["volume"] == pytest.approx(h.sum() + last["rain"] - last["seeped"] + last["fix"], rel=1e-9)
 
 
-def _problem(spark, **more):
+def _problem(spark, hold=1, **more):
     z = np.fromfunction(lambda i, j: 0.1 * i + 0.02 * j, (8, 10))
     cells = _table(spark, flow.Grid(z, 0.03), np.zeros((8, 10))).drop("cand")
     assets = spark.createDataFrame([(1, 0.002, 2.0)], "asset int, threshold double, weight double")
     given = dict(
         cells=cells, editable=cells.select("cell", "r", "c"), assets=assets, asset_cells=spark.createDataFrame([(1, 4), (1, 5)], "asset int, cell bigint"), guard=spark.createDataFrame([(0,), (9,)], "cell bigint"),
-        params=flow.Params(4.0, 2.0, rain=((0.0, 0.001),)), nx=10, d=1.0, max_volume=30.0, cost_weight=0.01, tolerance=0.5,
+        params=flow.Params(4.0, 2.0, rain=((0.0, 0.001),), hold=hold), nx=10, d=1.0, max_volume=30.0, cost_weight=0.01, tolerance=0.5,
     )
     return evaluation.Problem(**(given | more)), z
 
@@ -147,6 +256,38 @@ def test_evaluation_from_primitives_to_outcomes(spark):
     assert {r.cand: (r.status, r.breach_sync) for r in strict} == {1: ("guard_abort", 2), 2: ("static_infeasible", None)}
 
 
+def test_ensembles_run_only_what_is_feasible(spark):
+    """A second storm makes one design break its guard; the third is run by the other alone. Robust figures follow from the members' own outcomes."""
+    problem, _ = _problem(spark, hold=8)
+    problem = evaluation.replace(problem, params=evaluation.replace(problem.params, sync=4.0))
+    made = spark.createDataFrame([(1, 0, "berm", 5.0, 3.0, 4.0, 2.0, 0.0, 0.3), (2, 0, "berm", 5.0, 4.0, 9.0, 9.0, 0.0, 1.0), (3, 0, "swale", 3.0, 5.0, 3.0, 2.0, 0.0, -0.1)], PRIMITIVES)
+    members = [evaluation.without_changes(problem), evaluation.without_changes(evaluation.scaled(problem, rain=0.5))]
+    got = {r.cand: r for r in evaluation.ensemble_evaluated(made, members, 0.5, 0.5).collect()}
+    other = {r.cand: r for r in evaluation.evaluated(made, members[1]).collect()}
+    assert (got[2].members_run, got[2].status, got[2].feasible) == (1, "static_infeasible", False)
+    for cand in (1, 3):
+        assert got[cand].members_run == 2 and got[cand].feasible and got[cand].violation == 0 and other[cand].j < got[cand].j
+    broken = [members[1], evaluation.replace(members[0], tolerance=-1.0), members[0]]
+    stop = {r.cand: r for r in evaluation.ensemble_evaluated(made, broken, 0.5, 0.5).collect()}
+    assert (stop[1].members_run, stop[1].status, stop[1].feasible) == (2, "guard_abort", False) and stop[1].violation > 0
+    rows = spark.createDataFrame([(1, 0, 3.0), (1, 1, 1.0)], "cand int, member int, j double")
+    assert design.robust(rows, 0.5, 0.5).first().j == 3.5  # the mean, and half of the mean of the worse half
+
+
+def test_levels_and_finer_grids(spark):
+    problem, z = _problem(spark, hold=8)
+    coarse = evaluation.coarsened(problem, 2)
+    rows = {r.cell: r for r in coarse.cells.collect()}
+    assert len(rows) == 20 and coarse.nx == 5 and coarse.d == 2 and all(rows[i * 5 + j].z == pytest.approx(z[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].mean()) for i in range(4) for j in range(5))
+    assert {r.cell for r in coarse.asset_cells.collect()} == {2} and {r.cell for r in coarse.guard.collect()} == {0, 4} and coarse.editable.count() == 20
+    fine = evaluation.finer(problem)
+    assert fine.cells.count() == 320 and fine.d == 0.5 and {r.cell for r in fine.guard.collect()} == {0, 1, 20, 21, 18, 19, 38, 39}
+    got = evaluation.prepared(fine)
+    assert (got.ny, got.nx) == (16, 20)
+    rows = evaluation.revalidated(spark.createDataFrame([(1, 0, "berm", 5.0, 3.0, 4.0, 2.0, 0.0, 0.3)], PRIMITIVES), {"finer": fine}).collect()
+    assert {r.case for r in rows} == {"finer"} and all(r.j_before > 0 and r.status == "ok" for r in rows)
+
+
 def test_ways_upstream_against_a_plain_loop(spark):
     rng = np.random.default_rng(9)
     nx, ny, targets = 9, 8, {"a": {40, 41}, "b": {13}}
