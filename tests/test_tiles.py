@@ -36,7 +36,7 @@ def whole(grid, h, p, dx, dy):
         while t < p.sync_time(number):
             old, over, gains, before, top, count = b, False, [], 0.0, peak.copy(), 0
             for begin, dt, end in tiles.schedule(t, kernel.courant_rate(b, dx, dy, at, inertial), hold, p.sync_time(number), p):
-                over |= before * dt > tiles.LIMIT[p.scheme]
+                over |= not before * dt <= tiles.LIMIT[p.scheme]
                 b, g = step(b, dt, tiles.rain_between(p.rain, begin, end), p.infiltration * dt, sides.totals(p.sides, begin + dt / 2), dx, dy, at)
                 gains.append(g)
                 top, before, count, last = np.maximum(top, b.h), kernel.courant_rate(b, dx, dy, at, inertial), count + 1, end
