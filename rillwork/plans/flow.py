@@ -137,8 +137,8 @@ def _nations(spark, sf):
     return at.groupBy("cand", "cell").agg((F.count("*") * 0.05).alias("dz"))
 
 
-#: Three minutes of a storm of up to 80 mm/h, with a sync point each minute and jobs of eight steps.
-STORM = flow.Params(180.0, 60.0, rain=((0, 30 * validation.MMH), (60, 80 * validation.MMH), (180, 10 * validation.MMH)), infiltration=10 * validation.MMH, hold=8)
+#: Two minutes of a storm of up to 80 mm/h, with a sync point each minute and jobs of twelve steps.
+STORM = flow.Params(120.0, 60.0, rain=((0, 30 * validation.MMH), (60, 80 * validation.MMH), (120, 10 * validation.MMH)), infiltration=10 * validation.MMH, hold=12)
 
 
 def _runs(spark, sf, p):
@@ -180,7 +180,7 @@ ENDS = (sides.Segment("north", "stage", 0.0, 125.0, level=12.0), sides.Segment("
 @query("s12_side_ledger")
 def s12b(spark, sf):
     """What has flowed in and out through each side by each sync point, for each nation's run beside a stage, an inflow and an open side; and the residual of the ledger."""
-    done, _ = _runs(spark, sf, replace(STORM, duration=120.0, sides=ENDS))
+    done, _ = _runs(spark, sf, replace(STORM, sides=ENDS))
     moved = sum((F.col(f"in_{s}") - F.col(f"out_{s}") for s in sides.SIDES), F.lit(0.0)) / 25.0
     rows = done.ledger.withColumn("residual", F.col("volume") - (F.col("v0") + F.col("rain") - F.col("seeped") + F.col("fix") + moved))
     return rows.select("cand", "number", "t", "residual", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"in_{s}").alias("inflow"), F.col(f"out_{s}").alias("outflow")) for s in sides.SIDES))).alias("x")).select("cand", "number", "t", "residual", "x.*")
@@ -219,7 +219,7 @@ def s9(spark, sf):
 @query("s22_warm_runs")
 def s22b(spark, sf):
     """Runs of each nation's change from the last state before water comes to it, against runs from the beginning: steps taken, and whether all peaks are the same."""
-    p = replace(STORM, duration=120.0, sync=30.0, rain=((0.0, 0.0),), sides=ENDS[1:2])
+    p = replace(STORM, sync=30.0, rain=((0.0, 0.0),), sides=ENDS[1:2])
     cells = _ground(spark, sf)
     problem = evaluation.without_changes(evaluation.Problem(cells, cells.select("cell", "r", "c"), D.assets(spark, sf), D.asset_cells(spark, sf), D.guard(spark, sf), p, D.NX, 5.0), warm=True)
     edits = _nations(spark, sf).join(cells.select("cell"), "cell", "left_semi")

@@ -270,7 +270,7 @@ def e5b(spark, sf):
     from rillwork.plans.flow import STORM
 
     problem = _problem(spark, sf, params=replace(STORM, duration=60.0), max_volume=400.0, max_slope=0.2)
-    return search_problem(spark, sf, problem, SPECS, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", budget=12).drop("u", "key")
+    return search_problem(spark, sf, problem, SPECS, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", budget=6, size=4).drop("u", "key")
 
 
 @query("e6_surrogate_sums", f"""{V}, e AS (SELECT vec_id AS key, label, 1.0::DOUBLE AS a0, least(greatest(embedding[1]::DOUBLE + 0.5, 0), 1) AS a1, least(greatest(embedding[2]::DOUBLE + 0.5, 0), 1) AS a2, label::DOUBLE AS a3 FROM embeddings),
