@@ -15,6 +15,8 @@ other columns don't matter.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +73,8 @@ def field(header: str, name: str) -> Column:
 
 
 def _payloads(folder: str) -> str:
-    """The name that the session's catalog has for an archive's payloads."""
-    return "payloads_" + "".join(c if c.isalnum() else "_" for c in folder.rsplit("/", 1)[-1])
+    """The name that the session's catalog has for the payloads of the archive at this whole path."""
+    return f"payloads_{hashlib.sha256(folder.rstrip('/').encode()).hexdigest()[:40]}"
 
 
 def _read(spark, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -202,6 +202,13 @@ def test_archive_empty(spark, tmp_path):
     assert archive.read_records(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_archives_of_one_name(spark, tmp_path):
+    for k, text in enumerate(("<p>one", "<p>two")):
+        archive.write_archive(spark.createDataFrame([(k, "u", text)], "page_id bigint, url string, html string"), str(tmp_path / str(k) / "archive"))
+    for k, text in enumerate((b"<p>one", b"<p>two")):
+        assert [bytes(r.record).endswith(text + b"\r\n\r\n") for r in archive.original_records(spark, str(tmp_path / str(k) / "archive")).collect()] == [True]
+
+
 def test_archive_damage_is_noticed(spark, tmp_path):
     """An archive that another session wrote, whose payload isn't what its header says."""
     good = hashlib.sha256(b"x").hexdigest()
