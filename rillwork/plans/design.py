@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from rillwork.functions import shapes
@@ -261,14 +263,18 @@ def c19b(spark, sf):
     """The cheapest design under half and one and a half times the storm, and on a grid of twice the cells along both axes."""
     one = G.volumes(_edits(spark, sf), 25.0).orderBy(F.col("cut_m3") + F.col("fill_m3"), "cand").limit(1).select("cand")
     best = _primitives(spark, sf).join(F.broadcast(one), "cand")
-    problem = _problem(spark, sf)
+    from rillwork.plans.flow import STORM
+
+    problem = _problem(spark, sf, params=replace(STORM, duration=60.0))
     return E.revalidated(best, {"finer grid": E.finer(problem), "rain x 0.5": E.scaled(problem, rain=0.5), "rain x 1.5": E.scaled(problem, rain=1.5)})
 
 
 @query("c13_ensemble_runs")
 def c13b(spark, sf):
     """Every design point under one storm after another; what isn't feasible under one doesn't run the next."""
-    problem = _problem(spark, sf)
+    from rillwork.plans.flow import STORM
+
+    problem = _problem(spark, sf, params=replace(STORM, duration=60.0))
     return E.ensemble_evaluated(_primitives(spark, sf), [E.without_changes(E.scaled(problem, rain=k)) for k in (1.0, 1.5)], 0.5, 0.5)
 
 

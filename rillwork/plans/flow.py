@@ -174,13 +174,13 @@ def s15b(spark, sf):
 
 
 #: A stage over half of the north side, an inflow in the west that grows with time, an open south.
-ENDS = (sides.Segment("north", "stage", 0.0, 125.0, level=12.0), sides.Segment("west", "inflow", knots=((0, 0.0), (60, 6.0), (120, 2.0))), sides.Segment("south", "open"))
+ENDS = (sides.Segment("north", "stage", 0.0, 125.0, level=0.1), sides.Segment("west", "inflow", knots=((0, 0.0), (12, 0.6), (60, 0.2))), sides.Segment("south", "open"))
 
 
 @query("s12_side_ledger")
 def s12b(spark, sf):
     """What has flowed in and out through each side by each sync point, for each nation's run beside a stage, an inflow and an open side; and the residual of the ledger."""
-    done, _ = _runs(spark, sf, replace(STORM, sides=ENDS))
+    done, _ = _runs(spark, sf, replace(STORM, duration=12.0, sync=6.0, sides=ENDS))
     moved = sum((F.col(f"in_{s}") - F.col(f"out_{s}") for s in sides.SIDES), F.lit(0.0)) / 25.0
     rows = done.ledger.withColumn("residual", F.col("volume") - (F.col("v0") + F.col("rain") - F.col("seeped") + F.col("fix") + moved))
     return rows.select("cand", "number", "t", "residual", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"in_{s}").alias("inflow"), F.col(f"out_{s}").alias("outflow")) for s in sides.SIDES))).alias("x")).select("cand", "number", "t", "residual", "x.*")
@@ -211,7 +211,7 @@ def r12b(spark, sf):
 @query("s9_wet_tiles")
 def s9(spark, sf):
     """Runs beside an inflow without rain: cell updates done, and how many of all cells' updates the dry tiles have saved."""
-    done, domain = _runs(spark, sf, replace(STORM, duration=60.0, rain=((0.0, 0.0),), sides=ENDS[1:2]))
+    done, domain = _runs(spark, sf, replace(STORM, duration=12.0, sync=12.0, rain=((0.0, 0.0),), sides=ENDS[1:2]))
     n = domain.nx * domain.ny
     return done.ledger.select("cand", "t", "steps", "cells", "skipped", (F.col("steps") * n - F.col("cells")).alias("without_rows"))
 
@@ -219,7 +219,7 @@ def s9(spark, sf):
 @query("s22_warm_runs")
 def s22b(spark, sf):
     """Runs of each nation's change from the last state before water comes to it, against runs from the beginning: steps taken, and whether all peaks are the same."""
-    p = replace(STORM, sync=30.0, rain=((0.0, 0.0),), sides=ENDS[1:2])
+    p = replace(STORM, duration=12.0, sync=4.0, rain=((0.0, 0.0),), sides=ENDS[1:2])
     cells = _ground(spark, sf)
     problem = evaluation.without_changes(evaluation.Problem(cells, cells.select("cell", "r", "c"), D.assets(spark, sf), D.asset_cells(spark, sf), D.guard(spark, sf), p, D.NX, 5.0), warm=True)
     edits = _nations(spark, sf).join(cells.select("cell"), "cell", "left_semi")
