@@ -234,7 +234,7 @@ def test_novel_strings_are_found_and_code_is_not(spark):
     code = "client_config_container_account_2"
     again = "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"
     texts = [
-        f"The signature is {b64} here", f"your private key {hex_}", f"the session uses {code} always", f"cookie {again}", f"without any context {b64}", f"auth {b64[:12]}", f"auth {b64} and once more {b64}", f"token={b64}",
+        f"The signature is {b64} here", f"your private key {hex_}", f"for {code[:-1]}1 the session uses {code} always", f"cookie {again}", f"without any context {b64}", f"auth {b64[:12]}", f"auth {b64} and the key {b64}", f"token={b64}",
     ]
     got = {r.doc_id: r for r in novelty.found_secrets(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert [got[i].n_novel for i in range(8)] == [1, 1, 0, 0, 0, 0, 2, 0]
