@@ -116,6 +116,13 @@ def test_packing_is_lossless_and_tight(spark):
     assert len(matrix) == len(seqs) and all(len(r["ids"]) == 2048 for r in matrix)
 
 
+def test_packing_takes_columns_with_dots(spark):
+    rows = [(1, "one two"), (2, None), (3, "")]
+    plain = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    dotted = packing.pack_documents(spark.createDataFrame(rows, "`doc.id` bigint, `raw.text` string"), id_col="doc.id", text_col="raw.text")
+    assert sorted(map(tuple, dotted.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_same_ids_as_the_json_vocabulary():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -85,6 +85,12 @@ def test_segmentation_round_trip(spark, vocabulary):
     assert sorted((r.doc_id or -1, r.sample, r.text) for r in both) == sorted((r.doc_id or -1, r.sample, r.text) for r in out)
 
 
+def test_segmentation_takes_columns_with_dots(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "`doc.id` bigint, `raw.text` string")
+    out = gs.sample_segmentations(docs, k=1, id_col="doc.id", text_col="raw.text", with_text=True).collect()
+    assert {(r.doc_id, r.text) for r in out} == {(1, "one two"), (2, "")}
+
+
 def page(menu, article, extra="", host="a.example"):
     return f'<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><nav><a href="/">{menu}</a></nav>{extra}{article}<footer>&copy; {menu}</footer></body></html>'
 
