@@ -129,23 +129,27 @@ class Lattice:
         left = starts[1:][word] - np.arange(n)
         up, back = _hashes(cp), _powers("back", _BACK, n + 1)
         found, count = [], np.zeros(n + words, np.int64)
-        at = np.arange(n)
-        for size in range(1, vocabulary.longest + 1):
-            h = mix((up[at + size] - up[at]) * back[at] + np.uint64(size))
-            hit, k = vocabulary.find(h)
-            node = at[hit] + word[at[hit]]
-            found.append((node, count[node], node + size, vocabulary.ids[k], vocabulary.log_p[k]))
-            count[node] += 1
-            if size == 1:
-                bare = np.ones(n, bool)
-                bare[at[hit]] = False
-                bare = np.flatnonzero(bare)
-                node = bare + word[bare]
-                found.append((node, count[node], node + 1, -1 - cp[bare].astype(np.int64), vocabulary.byte_log_p * _utf8_length(cp[bare])))
+        # words of some 64 thousand characters at a time, which fit a processor's cache
+        cuts = np.unique(np.searchsorted(starts[:-1], np.arange(0, n, 1 << 16)))
+        bounds = np.r_[starts[cuts[cuts < words]], n] if n else np.zeros(1, np.int64)
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            at = np.arange(low, high)
+            for size in range(1, vocabulary.longest + 1):
+                h = mix((up[at + size] - up[at]) * back[at] + np.uint64(size))
+                hit, k = vocabulary.find(h)
+                node = at[hit] + word[at[hit]]
+                found.append((node, count[node], node + size, vocabulary.ids[k], vocabulary.log_p[k]))
                 count[node] += 1
-            at = at[vocabulary.goes_on[h >> np.uint64(43)] & (left[at] > size)]
-            if not len(at):
-                break
+                if size == 1:
+                    bare = np.ones(high - low, bool)
+                    bare[hit] = False
+                    bare = low + np.flatnonzero(bare)
+                    node = bare + word[bare]
+                    found.append((node, count[node], node + 1, -1 - cp[bare].astype(np.int64), vocabulary.byte_log_p * _utf8_length(cp[bare])))
+                    count[node] += 1
+                at = at[vocabulary.goes_on[h >> np.uint64(43)] & (left[at] > size)]
+                if not len(at):
+                    break
         # edges in order of their nodes
         self.first = np.r_[0, np.cumsum(count)]
         edges = int(self.first[-1])
@@ -154,33 +158,36 @@ class Lattice:
             e = self.first[node] + before
             self.to[e], self.piece[e], score[e] = to, piece, alpha * log_p
         # backward sums, from the ends of words
-        node = np.arange(n) + word
-        depth = left.astype(np.uint16) if n and left.max() < 1 << 16 else left
-        order = np.argsort(depth, kind="stable")
-        node, depth = node[order], left[order]
-        size = count[node]
-        new = np.cumsum(size) - size
-        by_depth = np.repeat(self.first[node] - new, size) + np.arange(edges)
-        total, best, rest = np.zeros(n + words), np.zeros(n + words), np.zeros(n + words)
+        total, best, rest, self.c = np.zeros(n + words), np.zeros(n + words), np.zeros(n + words), np.empty(edges)
         self.best_edge = np.full(n + words, -1)
-        lap = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1]])
-        for a, z in zip(lap, np.r_[lap[1:], len(node)], strict=True):
-            e = by_depth[new[a] : new[z] if z < len(node) else edges]
-            at, these, many = new[a:z] - new[a], node[a:z], size[a:z]
-            value = score[e] + total[self.to[e]]
-            most = np.maximum.reduceat(value, at)
-            total[these] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, many)), at))
-            chance = np.exp(value - np.repeat(total[these], many))
-            value = score[e] + best[self.to[e]]
-            most = np.maximum.reduceat(value, at)
-            best[these] = most
-            top = np.flatnonzero(value == np.repeat(most, many))[::-1]
-            self.best_edge[np.repeat(these, many)[top]] = e[top]  # of ties, the first
-            # chance of any completion but the best: a sum without differences, so the smallest chances count
-            chance[e == np.repeat(self.best_edge[these], many)] *= rest[self.to[self.best_edge[these]]]
-            rest[these] = np.add.reduceat(chance, at)
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            order = low + np.argsort(left[low:high], kind="stable")
+            node, depth = order + word[order], left[order]
+            size = count[node]
+            new = np.r_[0, np.cumsum(size)]
+            by_depth = np.repeat(self.first[node] - new[:-1], size) + np.arange(new[-1])
+            after, own, owner = self.to[by_depth], score[by_depth], np.repeat(np.arange(len(node)), size)
+            lap = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1]])
+            for a, z in zip(lap, np.r_[lap[1:], len(node)], strict=True):
+                s, t = new[a], new[z]
+                e, to, of, at, these = by_depth[s:t], after[s:t], owner[s:t] - a, new[a:z] - s, node[a:z]
+                value = own[s:t] + total[to]
+                most = np.maximum.reduceat(value, at)
+                chance = np.exp(value - most[of])
+                sums = np.add.reduceat(chance, at)
+                total[these] = most + np.log(sums)
+                chance /= sums[of]
+                self.c[e] = chance
+                value = own[s:t] + best[to]
+                most = np.maximum.reduceat(value, at)
+                best[these] = most
+                top = np.flatnonzero(value == most[of])[::-1]
+                self.best_edge[these[of[top]]] = e[top]  # of ties, the first
+                # chance of any completion but the best: a sum without differences, so the smallest chances count
+                first_best = self.best_edge[these]
+                chance[e == first_best[of]] *= rest[self.to[first_best]]
+                rest[these] = np.add.reduceat(chance, at)
         self.log_c = score + total[self.to] - np.repeat(total, count)
-        self.c = np.exp(self.log_c)
         self.rest = rest
         self.start, self.end = starts[:-1] + np.arange(words), node_end
         # the best path of each word
@@ -242,11 +249,11 @@ class Lattice:
                 if (known := seen.get(x[:d])) is None:
                     node = int(self.start[word]) if d == 0 else int(self.to[x[d - 1]])
                     on = {y[d]: out[j][d + 1] for j, y in enumerate(shut) if d < len(y) and y[:d] == x[:d]}
-                    known, at = 0.0, int(self.first[node])
-                    for e in sorted(on):
-                        known += float(self.c[at:e].sum()) + float(self.c[e]) * on[e]
-                        at = e + 1
-                    known += float(self.c[at : int(self.first[node + 1])].sum())
+                    at = int(self.first[node])
+                    chances = self.c[at : int(self.first[node + 1])].tolist()
+                    for e, rest in on.items():
+                        chances[e - at] *= rest
+                    known = sum(chances)
                     seen[x[:d]] = known
                 out[k][d] = known
         return out
@@ -401,7 +408,10 @@ def _sampled(first: np.ndarray, kind: np.ndarray, keys: np.ndarray, pool: Pool,
     place = np.arange(n_words) - first[doc]
     base = keys[doc] + place.astype(np.uint64) * _C[1]
     live = np.flatnonzero(np.diff(first) > 0)
-    p_best, only = np.exp(pool.log[kind]), lat.rest[lat.start[kind]] <= 0
+    p_best, rest_best = np.exp(pool.log[kind]), lat.rest[lat.start[kind]]
+    only = rest_best <= 0
+    with np.errstate(divide="ignore"):
+        side_best = np.log(rest_best)
     # of each text: the queue's nodes (perturbed, sample whose prefix it has, word, segmentations shut out)
     queue: list[list[tuple]] = [[] for _ in range(docs)]
     chosen: list[np.ndarray] = []
@@ -428,11 +438,11 @@ def _sampled(first: np.ndarray, kind: np.ndarray, keys: np.ndarray, pool: Pool,
         chosen.append(seg)
         lw = pool.log[seg]
         before = np.cumsum(lw) - lw
-        gone = np.exp(lw)
+        side, drawn_other = side_best[f], np.flatnonzero(seg[f] != kind[f])
         with np.errstate(divide="ignore"):
-            side = np.where(seg == kind, np.log(lat.rest[lat.start[kind]]), np.log1p(-np.minimum(gone, 1.0)))
-        perturbed = -np.logaddexp(-top[doc], -(before - before[first[doc]] + side + _gumbel(base + salt * np.uint64(5))))
-        perturbed[~fresh] = -np.inf
+            side[drawn_other] = np.log1p(-np.minimum(np.exp(lw[f[drawn_other]]), 1.0))
+        perturbed, of = np.full(n_words, -np.inf), doc[f]
+        perturbed[f] = -np.logaddexp(-top[of], -(before[f] - before[first[of]] + side + _gumbel(base[f] + salt * np.uint64(5))))
         total = np.zeros(docs)
         total[live] = np.add.reduceat(lw, first[live])
         w = np.flatnonzero(on[doc])
