@@ -20,8 +20,10 @@ bytes of texts at a time, or one longer text.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -264,14 +266,14 @@ class Lattice:
         cur, end, out, live = int(self.start[word]), int(self.end[word]), [], list(range(len(shut)))
         if left[0][0] <= 0:
             return None
+        draws = _uniform(key + np.arange(1, end - cur + 1, dtype=np.uint64) * _C[3]).tolist()
         while cur != end:
             a, z = int(self.first[cur]), int(self.first[cur + 1])
-            w = self.c[a:z].copy()
-            for e in {shut[k][len(out)]: k for k in live}.items():
-                w[e[0] - a] *= left[e[1]][len(out) + 1]
-            w = np.cumsum(w)
-            e = a + int(np.searchsorted(w, _uniform(key + np.uint64(len(out) + 1) * _C[3]) * w[-1], side="right"))
-            e = min(e, a + int(np.searchsorted(w, w[-1])))
+            w = self.c[a:z].tolist()
+            for e, k in {shut[k][len(out)]: k for k in live}.items():
+                w[e - a] *= float(left[k][len(out) + 1])
+            w = list(accumulate(w))
+            e = a + min(bisect_right(w, draws[len(out)] * w[-1]), bisect_left(w, w[-1]))
             live = [k for k in live if shut[k][len(out)] == e]
             out.append(e)
             cur = int(self.to[e])
