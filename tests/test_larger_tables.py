@@ -1,5 +1,8 @@
 """What only larger tables had shown, on small ones."""
 
+from pyspark.sql import functions as F
+
+from rillwork.operators import corridors as C
 from rillwork.sources import domain as D
 
 
@@ -15,3 +18,16 @@ def test_roughness_is_the_nearest_double(spark, tmp_path):
     folder = parts(spark, tmp_path, range(1, 51))
     assert [r.n for r in D.cells(spark, folder).orderBy("cell").collect()] == [k / 1000 for k in range(1, 51)]
     assert any(k * 0.001 != k / 1000 for k in range(1, 51))
+
+
+def cancelling(spark, folder):
+    """A discharge (cell, r, c, qx, qy) of each size whose parts cancel north-eastwards."""
+    n = D.cells(spark, parts(spark, folder, range(1, 51))).select("cell", "c", ((F.col("n") - 0.025) * 4000).alias("qy"))
+    exact = F.udf(lambda c: ((c + 1) / 1000 - 0.025) * 4000, "double")
+    return n.select((F.col("c") + 50).alias("cell"), F.lit(1).cast("bigint").alias("r"), "c", exact("c").alias("qx"), "qy")
+
+
+def test_discharges_that_cancel_start_no_corridor(spark, tmp_path):
+    flow = cancelling(spark, tmp_path)
+    north_east = C.inflows(flow, 50, 3).filter("cell = source - 49")
+    assert north_east.count() == 49 and north_east.filter("inflow != 0").isEmpty()
