@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rillwork.operators import corridors as C
+from rillwork.operators import design as G
 from rillwork.sources import domain as D
 
 
@@ -31,3 +32,10 @@ def test_discharges_that_cancel_start_no_corridor(spark, tmp_path):
     flow = cancelling(spark, tmp_path)
     north_east = C.inflows(flow, 50, 3).filter("cell = source - 49")
     assert north_east.count() == 49 and north_east.filter("inflow != 0").isEmpty()
+
+
+def test_an_amount_between_two_figures_goes_up(spark):
+    """226.9761875 m3 of a berm, by sums that come out on either side of it."""
+    sums = spark.createDataFrame([(226.97618749999998,), (226.9761875,), (226.97618750000004,)], "total double")
+    assert {r[0] for r in sums.select(G.half_up(F.col("total") - 150, 6)).collect()} == {76.976188}
+    assert {r[0] for r in sums.select(F.round(F.col("total") - 150, 6)).collect()} != {76.976188}
