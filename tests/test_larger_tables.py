@@ -1,9 +1,12 @@
 """What only larger tables had shown, on small ones."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from rillwork.operators import corridors as C
 from rillwork.operators import design as G
+from rillwork.operators import raster as R
 from rillwork.sources import domain as D
 
 
@@ -39,3 +42,17 @@ def test_an_amount_between_two_figures_goes_up(spark):
     sums = spark.createDataFrame([(226.97618749999998,), (226.9761875,), (226.97618750000004,)], "total double")
     assert {r[0] for r in sums.select(G.half_up(F.col("total") - 150, 6)).collect()} == {76.976188}
     assert {r[0] for r in sums.select(F.round(F.col("total") - 150, 6)).collect()} != {76.976188}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rings_meet_cells_by_row_and_column(spark):
+    """Rows are few where all polygons lie side by side, so a row isn't a key."""
+    cells = spark.range(50).selectExpr("id AS cell", "id div 10 AS r", "id % 10 AS c")
+    ring = "array(struct({0}D AS x, -{1}D AS y), struct({2}D AS x, -{1}D AS y), struct({2}D AS x, -{3}D AS y), struct({0}D AS x, -{3}D AS y)) AS points"
+    rings = spark.range(1).selectExpr("id AS poly", "0 AS ring", ring.format(-3.0, 0.25, 6.25, 4.25)).union(spark.range(1).selectExpr("id AS poly", "1 AS ring", ring.format(2.25, 1.25, 4.25, 3.25)))
+    found = R.rasterize(cells, R.edges_of(rings), 0.0, 0.0, 1.0)
+    assert {r.cell for r in found.collect()} == {r * 10 + c for r in range(4) for c in range(6) if not (1 <= r <= 2 and 2 <= c <= 3)}
+    assert re.search(r"Join Inner, \(\(.*\br#.* AND .*\bc#", plan(found))
