@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rillwork.operators import corridors as C
 from rillwork.operators import design as G
 from rillwork.operators import raster as R
+from rillwork.plans import registry
 from rillwork.sources import domain as D
 
 
@@ -56,3 +57,8 @@ def test_rings_meet_cells_by_row_and_column(spark):
     found = R.rasterize(cells, R.edges_of(rings), 0.0, 0.0, 1.0)
     assert {r.cell for r in found.collect()} == {r * 10 + c for r in range(4) for c in range(6) if not (1 <= r <= 2 and 2 <= c <= 3)}
     assert re.search(r"Join Inner, \(\(.*\br#.* AND .*\bc#", plan(found))
+
+
+def test_lower_bound_picks_its_cells_before_it_aggregates(spark):
+    text = plan(registry.queries()["c11_lower_bound"](spark, "/root/testdata/sf0.001"))
+    assert text.rindex("max(l_quantity") < text.rindex("Join LeftSemi")
