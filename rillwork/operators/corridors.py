@@ -1,11 +1,12 @@
 """Flow corridors: where water enters targets, the ways it comes from, and designs placed along these ways.
 
 Discharges (cell, r, c, qx, qy) point east and south. A walker goes to the neighbour that sends most water towards it, so all walkers
-of a table go on together, some steps a job, until none is left.
+of a table go on together, each as far as its block of cells in a job, until none is left.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,26 +36,41 @@ def starts(flow: DataFrame, targets: DataFrame, nx: int, ny: int) -> DataFrame:
     return into.join(targets.select("target", F.col("cell").alias("start")), ["target", "start"], "left_anti")
 
 
-def traces(found: DataFrame, flow: DataFrame, targets: DataFrame, nx: int, ny: int, steps: int = 8) -> DataFrame:
+def traces(found: DataFrame, flow: DataFrame, targets: DataFrame, nx: int, ny: int, side: int = 64) -> DataFrame:
     """(start, i, cell) of each start's way upstream: to the neighbour outside of all targets and of the way so far that sends most (of
-    equals the lower cell), while that is more than KEEP of the start's inflow; `steps` of them a job."""
+    equals the lower cell), while that is more than KEEP of the start's inflow. A job takes each walker as far as it stays in a block of side x side cells."""
     edges = inflows(flow, nx, ny).filter("inflow > 0").join(targets.select(F.col("cell").alias("source")).distinct(), "source", "left_anti")
-    edges = stored(edges, "inflows")
-    walk = stored(found.groupBy("start").agg(F.max("inflow").alias("least")).select("start", (KEEP * F.col("least")).alias("least"), F.array("start").alias("way"), F.lit(True).alias("live")), "walk")
-    done = None
-    most = STEPS_A_SIDE * (nx + ny)
-    for at in range(0, most, steps):
-        for k in range(min(steps, most - at)):
-            near = walk.withColumn("cell", F.when(F.col("live"), F.element_at("way", -1))).join(edges, "cell", "left")
-            good = (F.col("inflow") > F.col("least")) & ~F.array_contains("way", F.col("source"))
-            best = near.groupBy("start").agg(F.first("least").alias("least"), F.first("way").alias("way"), F.min(F.when(good, F.struct((-F.col("inflow")).alias("x"), F.col("source")))).alias("m"))
-            walk = best.select("start", "least", F.when(F.col("m").isNull(), F.col("way")).otherwise(F.array_append("way", F.col("m.source"))).alias("way"), F.col("m").isNotNull().alias("live"))
-        now = stored(walk, "walk")
+    across, most = -(-nx // side), STEPS_A_SIDE * (nx + ny)
+    block = lambda cell: (F.floor(cell / nx / side) * across + F.floor(cell % nx / side)).cast("bigint").alias("block")
+    edges = stored(edges.select(block(F.col("cell")), F.col("cell").cast("bigint").alias("cell"), F.col("source").cast("bigint").alias("source"), "inflow"), "inflows")
+    walk = found.groupBy("start").agg(F.max("inflow").alias("least")).select(block(F.col("start")), F.col("start").cast("bigint").alias("start"), (KEEP * F.col("least")).alias("least"), F.array(F.col("start").cast("bigint")).alias("way"), F.lit(True).alias("live"))
+    walk, done = stored(walk, "walk"), None
+
+    def walked(walkers: pa.Table, near: pa.Table) -> pa.Table:
+        near = near.sort_by([("inflow", "descending"), ("source", "ascending")])
+        sources: dict[int, list] = {}
+        for cell, source, inflow in zip(near["cell"].to_pylist(), near["source"].to_pylist(), near["inflow"].to_pylist(), strict=True):
+            sources.setdefault(cell, []).append((inflow, source))
+        ways, live, blocks = walkers["way"].to_pylist(), [], []
+        for own, least, way in zip(walkers["block"].to_pylist(), walkers["least"].to_pylist(), ways, strict=True):
+            seen, on, at = set(way), True, own
+            while on and at == own:
+                best = next((s for q, s in sources.get(way[-1], ()) if q > least and s not in seen), None) if len(way) <= most else None
+                if on := best is not None:
+                    way.append(best)
+                    seen.add(best)
+                    at = best // nx // side * across + best % nx // side
+            live.append(on)
+            blocks.append(at)
+        return pa.table({"block": pa.array(blocks, pa.int64()), "start": walkers["start"], "least": walkers["least"], "way": pa.array(ways, pa.list_(pa.int64())), "live": pa.array(live, pa.bool_())})
+
+    while not walk.isEmpty():
+        met = edges.join(F.broadcast(walk.select("block").distinct()), "block", "left_semi")
+        now = stored(walk.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(walked, "block bigint, start bigint, least double, way array<bigint>, live boolean"), "walk")
         ended, walk = now.filter("NOT live").select("start", "way"), now.filter("live")
         done = ended if done is None else done.union(ended)
-        if walk.isEmpty():
-            break
-    return done.union(walk.select("start", "way")).select("start", F.posexplode("way").alias("i", "cell"))
+    done = walk.select("start", "way") if done is None else done
+    return done.select("start", F.posexplode("way").alias("i", "cell"))
 
 
 def chosen(found: DataFrame, ways: DataFrame, editable: DataFrame, nx: int, ny: int, most: int) -> DataFrame:

@@ -62,3 +62,13 @@ def test_rings_meet_cells_by_row_and_column(spark):
 def test_lower_bound_picks_its_cells_before_it_aggregates(spark):
     text = plan(registry.queries()["c11_lower_bound"](spark, "/root/testdata/sf0.001"))
     assert text.rindex("max(l_quantity") < text.rindex("Join LeftSemi")
+
+
+def test_ways_are_the_same_whatever_the_blocks_are(spark):
+    """Along a row and back along the next one, over the borders of blocks of any size."""
+    rows = [(r * 12 + c, r, c, *((-1.0, 0.0) if r == 0 and c else (0.0, -1.0) if r == 0 else (1.0, 0.1))) for r in range(6) for c in range(12)]
+    flow = spark.createDataFrame(rows, "cell bigint, r bigint, c bigint, qx double, qy double")
+    targets = spark.createDataFrame([("a", 0), ("a", 35)], "target string, cell bigint")
+    found = C.starts(flow, targets, 12, 6)
+    ways = {side: sorted(map(tuple, C.traces(found, flow, targets, 12, 6, side=side).collect())) for side in (2, 5, 64)}
+    assert ways[2] == ways[5] == ways[64] and max(w[1] for w in ways[2]) >= 5
