@@ -4,7 +4,7 @@ import glob
 
 import numpy as np
 
-from rillwork.operators import flow, tiles
+from rillwork.operators import evaluation, flow, tiles
 from tests.test_tiles import RAIN, basin, table, whole  # noqa: F401
 
 
@@ -49,3 +49,26 @@ def jobs_of(grid, h, p):
     finally:
         tiles.schedule = real
     return count
+
+
+def test_candidates_run_beside_the_run_without_changes(spark):
+    """Rows for the tiles that a change reaches, with the outcomes of whole runs to the last bit; what gets too fast has a run of its own."""
+    z = np.fromfunction(lambda i, j: 0.02 * i + 0.3 * np.sin(i * 1.7 + j), (120, 8))
+    cells = table(spark, flow.Grid(z, 0.03, np.zeros(z.shape, bool), 1.0, 1.0), np.zeros(z.shape)).drop("cand")
+    assets = spark.createDataFrame([(k, 0.002 * k, 1.0 + 0.37 * k) for k in range(40)], "asset int, threshold double, weight double")
+    at = spark.createDataFrame([(k, 24 * k + j) for k in range(40) for j in range(3)], "asset int, cell bigint")
+    guard = spark.createDataFrame([(c,) for c in range(0, 960, 7)], "cell bigint")
+    p = flow.Params(2.0, 1.0, rain=((0.0, 0.001),), hold=3)
+    problem = evaluation.Problem(cells, cells.select("cell", "r", "c"), assets, at, guard, p, 8, 1.0, tile=6, tolerance=0.004, cost_weight=0.01, max_slope=9.0, pit_depth=9.0)
+    rows = [(1, 0, "berm", 4.0, 30.0, 4.0, 2.0, 0.0, 0.3), (2, 0, "swale", 3.0, 70.0, 3.0, 2.0, 90.0, 0.2), (3, 0, "berm", 4.0, 100.0, 6.0, 3.0, 0.0, 0.9), (4, 0, "berm", 4.0, 50.0, 6.0, 3.0, 0.0, 0.0)]
+    made = spark.createDataFrame(rows, "cand bigint, slot int, kind string, x double, y double, length double, width double, angle double, height double")
+    known = evaluation.without_changes(problem)
+    assert known.known.trail
+    alone = evaluation.replace(known, known=evaluation.replace(known.known, trail=None))
+    got = lambda of, **more: sorted(map(tuple, evaluation.evaluated(made, of, **more).select(*evaluation.OUTCOME.replace(",", "").split()[::2]).collect()))
+    whole = got(alone)
+    assert got(known) == whole and len(whole) == 4
+    bound = sorted(r[3] for r in whole)[1]
+    assert got(known, incumbent=bound) == got(alone, incumbent=bound)
+    owned = tiles.tiles_near(spark.createDataFrame([(1, 30 * 8 + 4)], "cand bigint, cell bigint"), 5, known.domain)
+    assert {r.tile for r in owned.collect()} == {i * 2 + j for i in (4, 5) for j in (0, 1)}
