@@ -1,5 +1,6 @@
 """What only larger tables had shown, on small ones."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from rillwork.operators import corridors as C
 from rillwork.operators import design as G
 from rillwork.operators import raster as R
+from rillwork.operators import tiles as T
 from rillwork.plans import registry
 from rillwork.sources import domain as D
 
@@ -72,3 +74,39 @@ def test_ways_are_the_same_whatever_the_blocks_are(spark):
     found = C.starts(flow, targets, 12, 6)
     ways = {side: sorted(map(tuple, C.traces(found, flow, targets, 12, 6, side=side).collect())) for side in (2, 5, 64)}
     assert ways[2] == ways[5] == ways[64] and max(w[1] for w in ways[2]) >= 5
+
+
+def test_static_checks_send_no_change_to_all_its_neighbours(spark):
+    """Slopes and pits of scattered changes are those of whole grids, and only cells that lie below both neighbours of their row meet the other six."""
+    dice, nx, ny = random.Random(3), 7, 9
+    z = {k: dice.choice((0.0, 0.01, 0.1, 0.4)) for k in range(nx * ny) if k != 31}
+    made = {(cand, k): dice.choice((-1.0, -0.5, -0.3, 0.2)) for cand, n in enumerate((1, 2, 5, 20, 30, 45)) for k in dice.sample(range(nx * ny), n)}
+    cells = spark.createDataFrame([(k, k // nx, k % nx, v) for k, v in z.items()], "cell bigint, r bigint, c bigint, z double")
+    edits = spark.createDataFrame([(*k, v) for k, v in made.items()], "cand bigint, cell bigint, dz double")
+    slopes, pits = {}, set()
+    for cand in range(6):
+        rows, cols = zip(*(divmod(k, nx) for c, k in made if c == cand), strict=True)
+        dz = lambda r, c, cand=cand: made.get((cand, r * nx + c), 0.0)
+        inside = [(r, c) for r in range(min(rows), max(rows) + 1) for c in range(min(cols), max(cols) + 1)]
+        steep = [abs(dz(r, c) - dz(r + i, c + j)) / (3.0 if i else 2.0) for r, c in inside for i, j in ((0, 1), (1, 0)) if (r + i, c + j) in inside]
+        slopes |= {cand: max(steep)} if steep else {}
+        for r, c in inside:
+            around = [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+            if dz(r, c) < 0 and r * nx + c in z and all(0 <= j < nx and i * nx + j in z for i, j in around):
+                own = z[r * nx + c]
+                if all(own + dz(r, c) < z[i * nx + j] + dz(i, j) - 0.01 for i, j in around) and not all(own < z[i * nx + j] - 0.01 for i, j in around):
+                    pits.add((cand, r * nx + c))
+    steepest, new = G.steepest(edits, nx, 2.0, 3.0), G.new_pits(cells, edits, nx)
+    assert dict(steepest.collect()) == slopes and pits and {(r.cand, r.cell) for r in new.collect()} == pits
+    assert "Generate" not in plan(steepest)
+    text = plan(new)
+    assert "Window" in text[text.index("Generate"):]
+
+
+def test_what_is_known_of_cells_comes_with_their_peaks(spark):
+    """Assets of a cell meet it in its tile, so peaks of cells aren't dealt out."""
+    domain = T.Domain(4, 4, 1.0, 1.0, 2)
+    cells = spark.range(16).selectExpr("0L AS cand", "id div 4 AS r", "id % 4 AS c", "0D AS z", "0.03D AS n", "false AS wall", "id * 0.5D AS h", "0D AS qx", "0D AS qy")
+    state = T.tiled(cells, domain).withColumn("peak", F.col("h"))
+    of = spark.createDataFrame([(5, 0.25, [7, 8]), (6, 0.5, None), (15, 0.75, [9])], "cell bigint, base double, assets array<bigint>")
+    assert sorted(map(tuple, T.monitored(state, of, domain).collect())) == [(0, 5, 2.5, 0.25, [7, 8]), (0, 6, 3.0, 0.5, None), (0, 15, 7.5, 0.75, [9])]
