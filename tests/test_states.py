@@ -3,8 +3,10 @@
 import glob
 
 import numpy as np
+import pyarrow as pa
 
 from rillwork.operators import evaluation, flow, tiles
+from rillwork.sources import stored
 from tests.test_tiles import RAIN, basin, table, whole  # noqa: F401
 
 
@@ -72,3 +74,13 @@ def test_candidates_run_beside_the_run_without_changes(spark):
     assert got(known, incumbent=bound) == got(alone, incumbent=bound)
     owned = tiles.tiles_near(spark.createDataFrame([(1, 30 * 8 + 4)], "cand bigint, cell bigint"), 5, known.domain)
     assert {r.tile for r in owned.collect()} == {i * 2 + j for i in (4, 5) for j in (0, 1)}
+
+
+def test_a_worker_gets_few_tiles_at_once(spark):
+    """A tile takes up to some hundred kB, so a worker's memory mustn't follow from the rows that a file has."""
+    seen = lambda batches: (b.slice(0, 1).select(["id"]).set_column(0, "id", pa.array([b.num_rows], pa.int64())) for b in batches)
+    before = spark.conf.get(stored.BATCH)
+    df = spark.range(100, numPartitions=1).mapInArrow(seen, "id bigint")
+    assert stored.stored(df, "seen").agg({"id": "max"}).first()[0] == 100
+    assert stored.stored(df, "seen", stored.TILES).agg({"id": "max"}).first()[0] <= stored.TILES < 100
+    assert spark.conf.get(stored.BATCH) == before
