@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillwork.operators import corridors as C
 from rillwork.operators import design as G
 from rillwork.operators import raster as R
+from rillwork.operators import sides
 from rillwork.operators import tiles as T
 from rillwork.plans import registry
 from rillwork.sources import domain as D
@@ -110,3 +111,22 @@ def test_what_is_known_of_cells_comes_with_their_peaks(spark):
     state = T.tiled(cells, domain).withColumn("peak", F.col("h"))
     of = spark.createDataFrame([(5, 0.25, [7, 8]), (6, 0.5, None), (15, 0.75, [9])], "cell bigint, base double, assets array<bigint>")
     assert sorted(map(tuple, T.monitored(state, of, domain).collect())) == [(0, 5, 2.5, 0.25, [7, 8]), (0, 6, 3.0, 0.5, None), (0, 15, 7.5, 0.75, [9])]
+
+
+def test_side_cells_take_the_last_segment_of_blocks(spark):
+    """Many stretches of a long side: of a block's segments only the last one goes on to its cells, and what holds is what the stretches give one after another."""
+    dice, nx, ny = random.Random(5), 7, 203
+    made = [(k, dice.choice(sides.SIDES), dice.choice(sides.KINDS), *((None, None) if k % 5 == 0 else (a := dice.uniform(-20, 600), a + dice.uniform(0, 400))), k * 0.5) for k in range(60)]
+    for given in (made, made[31:32], []):
+        of = sides.side_cells(spark.createDataFrame(given, "segment int, side string, kind string, start double, end double, level double"), nx, ny, 2.0, 3.0)
+        want = {}
+        for s in sides.SIDES:
+            n, d = (nx, 2.0) if s in ("north", "south") else (ny, 3.0)
+            want |= {(s, i): ("wall", None, None, None) for i in range(n)}
+            for segment, side, kind, start, end, level in given:
+                if side == s:
+                    a, e = sides.Segment(side, kind, start, end).cells(nx, ny, d)
+                    want |= {(s, i): (kind, segment, level if kind == "stage" else None, 1 / ((e - a) * d) if kind == "inflow" else None) for i in range(a, e)}
+        assert {(r.side, r.pos): tuple(r)[2:] for r in of.collect()} == want
+    text = plan(of)
+    assert "Window" not in text and re.search(r"explode\(sequence\(cast\(shiftleft.*?Aggregate.*?explode\(filter", text, re.S)
