@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +49,33 @@ def test_a_search_for_the_cheapest_design_runs_once(spark, tmp_path, monkeypatch
     monkeypatch.setattr(P.E, "revalidated", lambda best, cases: seen.append(best) or best)
     P.c19b(spark, "/root/testdata/sf0.001")
     assert not re.search("embeddings", seen[0]._jdf.queryExecution().optimizedPlan().toString()) and seen[0].inputFiles() and not any("embeddings" in f for f in seen[0].inputFiles())
+
+
+def test_tiles_that_many_candidates_want_are_dealt_out(spark):
+    """All designs may lie in one tile; none of its rows meets more than some hundred of them, and a reader has few rows of a table of tiles at once."""
+    keys = spark.range(700).select(F.col("id").alias("cand"), F.expr("id div 600").alias("tile"))
+    many, few = tiles.spread(keys, spark.range(3).select(F.col("id").alias("tile"), (F.col("id") * 2).alias("x")))
+    assert sorted(tuple(r) for r in few.collect()) == [(0, 0, k) for k in range(5)] + [(1, 2, 0)]
+    met = many.join(few, ["tile", "part"])
+    assert sorted((r.cand, r.tile, r.x) for r in met.collect()) == [(k, k // 600, k // 600 * 2) for k in range(700)]
+    assert max(r["count"] for r in met.groupBy("tile", "part").count().collect()) <= 2 * tiles.A_TASK
+    table = evaluation.stored(keys.coalesce(1), "tiles", 32)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in (x.replace("///", "/") for x in table.inputFiles())]
+    assert sum(g.num_rows for g in groups) == 700 and max(g.row_group(k).num_rows for g in groups for k in range(g.num_row_groups)) <= 128
+
+
+def test_static_checks_have_tasks_by_designs(spark, monkeypatch):
+    """Compressed changes of many designs are few bytes, by which Spark would deal them out to no more tasks than there are cores."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    table = evaluation.stored(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "many", tasks=24)
+    assert len(table.inputFiles()) > 4 * spark.sparkContext.defaultParallelism and table.count() == 100
+    assert before == {k: spark.conf.get(k) for k in before}
+    seen = {}
+    real = evaluation.stored
+    monkeypatch.setattr(evaluation, "stored", lambda df, name, batch=None, tasks=None: seen.setdefault(name, tasks) and False or real(df, name, batch, tasks))
+    monkeypatch.setattr(evaluation, "DESIGNS", 50)
+    from rillwork.plans import design as P
+
+    rows = evaluation.evaluated(P._primitives(spark, "/root/testdata/sf0.001"), evaluation.without_changes(P._problem(spark, "/root/testdata/sf0.001")))
+    n = P._primitives(spark, "/root/testdata/sf0.001").select("cand").distinct().count()
+    assert rows.count() == n and seen["edits"] == seen["rejected"] == -(-n // 50) > 4
