@@ -51,6 +51,17 @@ def test_a_search_for_the_cheapest_design_runs_once(spark, tmp_path, monkeypatch
     assert not re.search("embeddings", seen[0]._jdf.queryExecution().optimizedPlan().toString()) and seen[0].inputFiles() and not any("embeddings" in f for f in seen[0].inputFiles())
 
 
+def test_every_design_is_revalidated(spark, monkeypatch):
+    """c19_revalidation runs all design points, not the cheapest one alone."""
+    from rillwork.plans import design as P
+
+    seen = []
+    monkeypatch.setattr(P.E, "revalidated", lambda designs, cases: seen.append((designs, cases)) or designs)
+    P.c19b(spark, "/root/testdata/sf0.001")
+    designs, cases = seen[0]
+    assert len(cases) == 3 and {r.cand for r in designs.collect()} == {r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id").collect()}
+
+
 def test_tiles_that_many_candidates_want_are_dealt_out(spark):
     """All designs may lie in one tile; none of its rows meets more than some hundred of them, and a reader has few rows of a table of tiles at once."""
     keys = spark.range(700).select(F.col("id").alias("cand"), F.expr("id div 600").alias("tile"))
