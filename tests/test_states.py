@@ -84,3 +84,20 @@ def test_a_worker_gets_few_tiles_at_once(spark):
     assert stored.stored(df, "seen").agg({"id": "max"}).first()[0] == 100
     assert stored.stored(df, "seen", stored.TILES).agg({"id": "max"}).first()[0] <= stored.TILES < 100
     assert spark.conf.get(stored.BATCH) == before
+
+
+def test_steps_end_where_they_are_not_sound(monkeypatch):
+    """A tile whose held step has become too long takes no further ones, carefully or not, and gives what it gave of the counts before."""
+    domain, taken = tiles.Domain(6, 6, 5.0, 5.0, 6), []
+    real = tiles.kernel.inertial_step
+    monkeypatch.setattr(tiles.kernel, "inertial_step", lambda *a: taken.append(a[1]) or real(*a))
+    cells = {"z": np.zeros((6, 6)), "n": np.full((6, 6), 0.03), "wall": np.zeros((6, 6), bool), "h": np.ones((6, 6)), "qx": np.zeros((6, 6)), "qy": np.zeros((6, 6)), "peak": np.ones((6, 6)), "t_peak": np.zeros((6, 6)), "first_wet": np.zeros((6, 6))}
+    for most, level, over in ((8, 2, False), (4, 0, True)):
+        p = tiles.Params(60.0, 60.0, dt_max=5.0, hold=most, scheme="inertial")
+        row = {"cand": 0, "tile": 0, "a": 0, "b": 0} | {k: v.tobytes() for k, v in cells.items()} | {"totals": [0.0] * len(tiles.TOTALS)}
+        row |= {"t": 0.0, "rate": 0.01, "hold": 4, "steps": 0, "dt_min": None, "dt_max": None, "rain_scale": 1.0, "inflow_scale": 1.0}
+        taken.clear()
+        got = tiles._advanced(domain, p, most + 2, 60.0)(pa.table({k: [v] for k, v in row.items()})).to_pylist()
+        assert taken == [5.0]
+        assert [(r["level"], r["first"], r["over"]) for r in got] == [(level, level, over)]
+    assert got[0]["healthy"]
